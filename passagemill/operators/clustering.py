@@ -143,9 +143,9 @@ _SUMS = "cluster_id int, n bigint, total array<double>"
 
 def _sums(groups: np.ndarray, x: np.ndarray, into: dict) -> None:
     names, inverse = np.unique(groups, return_inverse=True)
-    totals = np.zeros((len(names), x.shape[1]))
-    np.add.at(totals, inverse, x)
     counts = np.bincount(inverse, minlength=len(names))
+    starts = np.r_[0, np.cumsum(counts)[:-1]]
+    totals = np.add.reduceat(x[np.argsort(inverse, kind="stable")], starts, axis=0)
     for name, total, count in zip(names.tolist(), totals, counts.tolist()):
         n, t = into.get(name, (0, 0.0))
         into[name] = (n + count, t + total)
@@ -351,7 +351,7 @@ def _distance_sums(x: np.ndarray, own_ids: np.ndarray, y: np.ndarray, other_ids:
 
 
 def silhouette(
-    vectors: DataFrame, assignments: DataFrame, sizes: DataFrame | None = None, block_rows: int = BLOCK_ROWS
+    vectors: DataFrame, assignments: DataFrame, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """One row: exact mean silhouette over all points (0 for one cluster or one point).
 
