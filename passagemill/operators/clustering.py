@@ -289,14 +289,15 @@ def _most_common(members: DataFrame, value: str) -> DataFrame:
 def word_counts(members: DataFrame) -> DataFrame:
     """cluster_id, word, weight over the members' content and symbol names."""
     words = F.regexp_extract_all("content", F.lit("([a-zA-Z][a-zA-Z0-9_]*[a-zA-Z0-9])"), 1)
-    in_text = members.select("cluster_id", F.lower(F.explode(words)).alias("word"), F.lit(1).alias("weight"))
+    in_text = members.select("cluster_id", F.explode(words).alias("word"), F.lit(1).alias("weight"))
     if "symbol_name" in members.columns:
         parts = F.regexp_extract_all("symbol_name", F.lit("([A-Z]?[a-z]+)"), 1)
         named = members.filter(F.col("symbol_name").isNotNull()).select(
-            "cluster_id", F.lower(F.explode(parts)).alias("word"), F.lit(SYMBOL_WORD_WEIGHT).alias("weight")
+            "cluster_id", F.explode(parts).alias("word"), F.lit(SYMBOL_WORD_WEIGHT).alias("weight")
         )
         in_text = in_text.unionByName(named)
-    counted = in_text.filter((F.length("word") >= LEAST_WORD_LENGTH) & ~F.col("word").isin(*STOP_WORDS))
+    lowered = in_text.withColumn("word", F.lower("word"))
+    counted = lowered.filter((F.length("word") >= LEAST_WORD_LENGTH) & ~F.col("word").isin(*STOP_WORDS))
     return counted.groupBy("cluster_id", "word").agg(F.sum("weight").alias("weight"))
 
 

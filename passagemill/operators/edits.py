@@ -17,7 +17,7 @@ def valid_identifier(name: Column) -> Column:
 
 
 def _line_flags(targets: Column, n_lines: Column) -> Column:
-    """Array of booleans, true at the 1-based positions in ``targets`` (sorted, distinct)."""
+    """One boolean per line, true at the 1-based positions in ``targets`` (sorted, distinct)."""
 
     def gap(t: Column, j: Column) -> Column:
         previous = F.when(j > 0, F.element_at(targets, F.greatest(j, F.lit(1)))).otherwise(F.lit(0))
@@ -25,7 +25,8 @@ def _line_flags(targets: Column, n_lines: Column) -> Column:
 
     last = F.coalesce(F.try_element_at(targets, F.lit(-1)), F.lit(0))
     tail = F.array_repeat(F.lit(False), F.greatest(n_lines - last, F.lit(0)))
-    return F.concat(F.flatten(F.transform(targets, gap)), tail)
+    # targets past the last line are ignored
+    return F.slice(F.concat(F.flatten(F.transform(targets, gap)), tail), F.lit(1), n_lines)
 
 
 def rename(files: DataFrame, targets: DataFrame, old: str, new: str, dry_run: bool = False) -> DataFrame:
