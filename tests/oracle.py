@@ -97,5 +97,5 @@ if __name__ == "__main__":
             else:
                 verdict = f"rows only: {query(spark, sf).count()}"
         except Exception as e:  # noqa: BLE001
-            verdict = "ERROR " + str(e)[:900]
+            verdict = "ERROR " + str(e)[:4000]
         print(f"{name:32s} {time.time() - at:6.2f}s {verdict}", flush=True)
