@@ -13,9 +13,7 @@ WHITE_SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205
 NOT_WHITE_SPACE = r"[^\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 # Java counts accented letters as word characters, ECMAScript and RE2 do not.
-WORD_BOUNDARY = (
-    r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-)
+WORD_CHARACTER = "[A-Za-z0-9_]"
 
 # File extension -> language name; unknown extensions name themselves.
 LANGUAGE_OF_EXTENSION = {
@@ -78,7 +76,19 @@ def quote_regex(text: str) -> str:
 
 
 def whole_word(text: str) -> str:
-    return WORD_BOUNDARY + quote_regex(text) + WORD_BOUNDARY
+    """Pattern for ``text`` with an ASCII word boundary on both sides.
+
+    Which look-around a boundary needs depends on the character next to it. The literal comes first,
+    so the matcher can skip ahead to it before it looks around.
+    """
+
+    def is_word(ch: str) -> bool:
+        return re.match(WORD_CHARACTER, ch) is not None
+
+    quoted = quote_regex(text)
+    before = f"(?<!{WORD_CHARACTER}{quoted})" if is_word(text[0]) else f"(?<={WORD_CHARACTER}{quoted})"
+    after = f"(?!{WORD_CHARACTER})" if is_word(text[-1]) else f"(?={WORD_CHARACTER})"
+    return quoted + before + after
 
 
 def extension_of(filepath: Column) -> Column:
@@ -201,7 +211,8 @@ def keyword_score(query: str, content: Column, filepath: Column) -> Column:
     text, path = F.lower(content), F.lower(filepath)
     points, bonus = F.lit(0.0), F.lit(0.0)
     for term in terms:
-        points = points + F.contains(text, F.lit(term)).cast("double") + F.contains(path, F.lit(term)).cast("double") * 0.5
-        bonus = bonus + text.rlike(whole_word(term)).cast("double") * 0.5
+        found = F.contains(text, F.lit(term))
+        points = points + found.cast("double") + F.contains(path, F.lit(term)).cast("double") * 0.5
+        bonus = bonus + (found & text.rlike(whole_word(term))).cast("double") * 0.5
     n = float(len(terms))
     return F.least(points / n + F.least(bonus / n, F.lit(0.5)), F.lit(1.0))

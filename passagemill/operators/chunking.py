@@ -169,7 +169,7 @@ OUTLINES = {
         (
             Definition(
                 r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly|override) +)*"
-                r"(?!if\b|for\b|while\b|switch\b|return\b|catch\b)(\w+)\s*(?:<[^>]*>)?\([^;]*\{\s*\}?\s*$",
+                r"(?!if\b|for\b|while\b|switch\b|return\b|catch\b)(\w+)\s*(?:<[^>]*>)?\(.*\)[^;{(=]*\{",
                 "method",
             ),
         ),
@@ -209,7 +209,7 @@ OUTLINES = {
         (
             Definition(
                 r"^\s+(?:(?:public|protected|private|abstract|final|static|synchronized) +)+"
-                r"(?:[\w<>\[\], ?]+ +)?(\w+)\s*\([^;]*\{?\s*\}?\s*$",
+                r"(?:[\w<>\[\], ?]+ +)?(\w+)\s*\(",
                 "method",
             ),
         ),

@@ -38,7 +38,7 @@ def rename(files: DataFrame, targets: DataFrame, old: str, new: str, dry_run: bo
     if not re.match(VALID_IDENTIFIER, new):
         raise ValueError(f"Invalid identifier: {new}")
     word = whole_word(old)
-    per_file = targets.groupBy("filepath").agg(F.sort_array(F.collect_set("line")).alias("targets"))
+    per_file = targets.groupBy("filepath").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("targets"))
     joined = files.select("filepath", "content").join(per_file, "filepath")
 
     def replaced(lines: Column) -> Column:
@@ -52,9 +52,10 @@ def rename(files: DataFrame, targets: DataFrame, old: str, new: str, dry_run: bo
 
         return let(_line_flags(F.col("targets"), F.size(lines)), on)
 
-    result = joined.select("filepath", let(lines_of(F.col("content")), replaced).alias("r"))
-    columns = ["filepath", "r.replacements"] + ([] if dry_run else ["r.content"])
-    return result.select(*columns).filter(F.col("replacements") > 0)
+    # exploding the filtered result, not filtering it afterwards, keeps the work to one evaluation per file
+    changed = F.filter(F.array(let(lines_of(F.col("content")), replaced)), lambda r: r["replacements"] > 0)
+    result = joined.select("filepath", F.explode(changed).alias("r"))
+    return result.select("filepath", "r.replacements", *([] if dry_run else ["r.content"]))
 
 
 def rename_targets(references: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -99,7 +100,10 @@ def apply_line_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     neighbouring line is not blank. Line numbers of the result tell where the body now stands.
     """
     joined = docs.select("filepath", "content").join(
-        edits.select("filepath", "action", "start_line", "end_line", "body"), "filepath"
+        edits.select(
+            "filepath", "action", F.col("start_line").cast("int"), F.col("end_line").cast("int"), "body"
+        ),
+        "filepath",
     )
     action, start, end = F.col("action"), F.col("start_line"), F.col("end_line")
     no_lines = F.array().cast("array<string>")

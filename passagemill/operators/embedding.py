@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,12 +39,11 @@ class HashEmbedder:
         if len(self._known) > 200_000:
             self._known.clear()
         for row, text in enumerate(texts):
-            for word in re.findall("[A-Za-z0-9_]+", text or ""):
-                word = word.lower()
+            for word, n in Counter(re.findall("[A-Za-z0-9_]+", text or "")).items():
                 slot = self._known.get(word)
                 if slot is None:
-                    slot = self._known[word] = self._slot(word)
-                out[row, slot[0]] += slot[1]
+                    slot = self._known[word] = self._slot(word.lower())
+                out[row, slot[0]] += n * slot[1]
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0)
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -229,20 +231,29 @@ def first_symbol_per_file(symbols: DataFrame, pattern: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- references
 
-IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
+IDENTIFIER = r"\b[A-Za-z_][A-Za-z0-9_]*\b"
+# Up to this many names are searched as one alternation instead of scanning every identifier.
+ALTERNATION = 50
 _TOKENS = "filepath string, line int, column int, name string, snippet string"
 
 
 def _token_rows(names: frozenset | None):
     """Arrow task: identifier occurrences of whole texts, with the line before and after."""
-    word = re.compile(IDENTIFIER)
+    if names is not None and len(names) <= ALTERNATION:
+        longest_first = sorted(names, key=lambda n: (-len(n), n))
+        word = re.compile(r"\b(?:" + "|".join(re.escape(n) for n in longest_first) + r")\b", re.ASCII)
+    else:
+        word = re.compile(IDENTIFIER, re.ASCII)
 
     def rows_of(path: str, text: str) -> Iterator[tuple]:
+        first = word.search(text)
+        if first is None:
+            return
         lines, ends, at = text.split("\n"), [], -1
         for line in lines:
             at += len(line) + 1
             ends.append(at)
-        for m in word.finditer(text):
+        for m in word.finditer(text, first.start()):
             if names is not None and m.group() not in names:
                 continue
             i = bisect.bisect_left(ends, m.start())
@@ -296,8 +307,10 @@ def find_occurrences(files: DataFrame, names: DataFrame, broadcast_names: int =
     head = [r["name"] for r in wanted.limit(broadcast_names + 1).collect()]
     texts = files.select("filepath", "content")
     if len(head) <= broadcast_names:
-        if len(head) == 1:
-            texts = texts.filter(F.contains("content", F.lit(head[0])))
+        if len(head) == 0:
+            return texts.limit(0).mapInArrow(_token_rows(None), _TOKENS)
+        if len(head) <= 3:
+            texts = texts.filter(reduce(or_, [F.contains("content", F.lit(n)) for n in head]))
         return texts.mapInArrow(_token_rows(frozenset(head)), _TOKENS)
     return texts.mapInArrow(_token_rows(None), _TOKENS).join(wanted, "name").select(
         "filepath", "line", "column", "name", "snippet"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions.kinds import kind_number
 from passagemill.operators.usage import event_savings
+from passagemill.session import spread
 
 # Which usage event each raw event stands for; two event types never occur.
 EVENT_OF = {
@@ -18,8 +19,13 @@ EVENT_OF = {
 }
 
 
+# Text tables by their key: the work per row is heavy, so all cores should take part.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan, TEXT_TABLES[name]) if name in TEXT_TABLES else scan
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,14 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what}: more than {limit} rows")
     return rows
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Hash a scanned table over all cores if it is stored in fewer pieces than there are cores.
+
+    A small table may lie in one Parquet row group, which only one task can read; text work on it
+    would use one core. A table with enough splits is left as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    pieces = scan.select(key)._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if pieces >= cores else scan.repartition(cores, key)
