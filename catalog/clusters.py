@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.chunks import CHUNKS, FILES, text_chunks
+from passagemill.functions.vectors import literal_vector, squared_l2
 from passagemill.operators import clustering
 from passagemill.plans import roles
 from passagemill.plans.summary import corpus_summary as summary_of
@@ -98,9 +99,20 @@ def silhouette_blocks(spark, sf):
 
 
 def kmeans_full(spark, sf):
-    """Random start: only the number of rows and the assignment invariant can be checked."""
-    assigned, centers = clustering.kmeans(roles.vectors(spark, sf))
-    return assigned.join(F.broadcast(centers.select("cluster_id", "size")), "cluster_id")
+    """The start is random, so the result is checked by what must hold of any run."""
+    vectors = roles.vectors(spark, sf)
+    assigned, centers = clustering.kmeans(vectors)
+    rows = centers.orderBy("cluster_id").collect()  # at most 20 clusters
+    own = F.element_at(F.array(*[literal_vector(r["centroid"]) for r in rows]), F.col("cluster_id") + 1)
+    nearest = F.least(*[squared_l2(F.col("embedding"), literal_vector(r["centroid"])) for r in rows])
+    placed = vectors.join(assigned, "id")
+    sizes = [r["size"] for r in rows]
+    return placed.agg(
+        F.count(F.lit(1)).alias("points"),
+        F.count_if(squared_l2(F.col("embedding"), own) > nearest + 1e-9).alias("misplaced"),
+        F.lit(len(rows) <= clustering.default_clusters(sum(sizes))).alias("within_bound"),
+        F.lit(sizes == sorted(sizes, reverse=True)).alias("largest_first"),
+    )
 
 
 def corpus_summary(spark, sf):
@@ -167,6 +179,7 @@ SQL = {
     "cluster_keywords": f"WITH {_MEMBERS}, {words_sql(True)} SELECT cluster_id, word, weight, place FROM top",
     "silhouette_exact": _SILHOUETTE,
     "silhouette_blocks": _SILHOUETTE,
+    "kmeans_full": "SELECT count(*) AS points, 0::BIGINT AS misplaced, true AS within_bound, true AS largest_first FROM embeddings",
     "corpus_summary": f"""WITH {CHUNKS}, {_MEMBERS[len(FILES) + 1:]}, {words_sql(False)},
         d AS (SELECT cluster_id, regexp_extract(filepath, '^(.*)/[^/]*$', 1) AS dir, count(*) AS n FROM members GROUP BY 1, 2),
         bd AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, dir) = 1),

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalog.chunks import CHUNKS, FILES, text_chunks, widened
-from passagemill.functions.text import line_range, lines_of
+from catalog.search import QUERY
+from catalog.search import SQL as SEARCH_SQL
+from catalog.usage import CALLS
+from passagemill.functions.text import directory_of, line_range, lines_of
 from passagemill.operators import changes
 from passagemill.operators.chunking import chunk_by_lines
-from passagemill.operators.embedding import check_dimensions
-from passagemill.operators.search import project_result
+from passagemill.operators.embedding import HashEmbedder, check_dimensions, embed
+from passagemill.operators.search import hybrid_search, project_result
 from passagemill.plans import roles
-from passagemill.sources.store import lookup
+from passagemill.session import new_work_path, stage
+from passagemill.sources.files import scan_corpus
+from passagemill.sources.store import ChunkStore, lookup, nearest, read_many_json
 
 
 def _changes(spark, sf):
@@ -131,7 +137,60 @@ def chunks_reslice(spark, sf):
     )
 
 
+def store_update(spark, sf):
+    """Chunk table on disk: written from the stored snapshot, then brought up to date bucket by bucket."""
+    store = ChunkStore(spark, new_work_path(spark, "store"), buckets=8)
+    blank = F.lit(None).cast("array<float>").alias("embedding")
+    store.write_chunks(chunk_by_lines(roles.stored_snapshot(spark, sf), 10, 2).select("*", blank))
+    changed = stage(_changes(spark, sf), "changes")
+    fresh = chunk_by_lines(changes.to_process(roles.current_snapshot(spark, sf), changed), 10, 2).select("*", blank)
+    store.replace_files(changed.filter(F.col("change").isin("modified", "deleted")), fresh)
+    return widened(store.load_chunks().select("id", "filepath", "content", "start_line", "end_line"))
+
+
+def nearest_in_store(spark, sf):
+    """Hybrid search that reads the contents of the few fetched chunks only."""
+    embedder = HashEmbedder()
+    store = ChunkStore(spark, new_work_path(spark, "store"), buckets=8)
+    store.write_chunks(embed(text_chunks(spark, sf), "content", embedder))
+    vector = embedder([QUERY])[0].astype("float32").tolist()
+    found = hybrid_search(store, QUERY, vector, 10, scan=nearest)
+    return widened(
+        found.select("id", "filepath", "start_line", "end_line", F.col("position").cast("long"), F.round("score", 6).alias("score"))
+    )
+
+
+def json_sidecars(spark, sf):
+    """Usage counts that every agent left as JSON in its own folder, read back and merged."""
+    path = new_work_path(spark, "agents")
+    calls = roles.usage_calls(roles.table(spark, sf, "events"))
+    counts = calls.groupBy("origin", F.col("type").alias("command")).agg(F.count(F.lit(1)).alias("count"))
+    counts.write.partitionBy("origin").json(path)
+    schema = StructType.fromDDL("command string, count long")
+    merged = read_many_json(spark, f"{path}/*", schema, multi_line=False)
+    agent = F.regexp_extract("source", "origin=([^/]*)/", 1)
+    return merged.groupBy(agent.alias("origin"), "command").agg(F.sum("count").alias("count"))
+
+
+def scan_files(spark, sf):
+    """Documents written as a tree of text files, then scanned by glob: bytes and lines per folder."""
+    root = new_work_path(spark, "tree")
+    texts = roles.table(spark, sf, "documents").select("source", "lang", "text")
+    texts.write.partitionBy("source", "lang").text(root)
+    found = scan_corpus(spark, root, ["**/*.txt", "source=src1/**"], ["**/lang=fr/**"])
+    folder = F.regexp_replace(directory_of(F.col("filepath")), "source=|lang=", "")
+    return found.groupBy(folder.alias("folder"), "language").agg(
+        F.sum("size").alias("bytes"),
+        F.sum(F.octet_length("content")).alias("read_bytes"),
+        F.sum(F.size(F.split("content", "\n", -1)) - 1).alias("lines"),
+    )
+
+
 QUERIES = {
+    "store_update": store_update,
+    "nearest_in_store": nearest_in_store,
+    "json_sidecars": json_sidecars,
+    "scan_files": scan_files,
     "detect_changes": detect_changes,
     "staleness_reason": staleness_reason,
     "deleted_files": deleted_files,
@@ -159,6 +218,11 @@ _SUM = _SUM.replace(' COLLATE "C"', "")
 _HINT = " Run clear_index followed by index_codebase to rebuild."
 
 SQL = {
+    "store_update": f"WITH {CHUNKS} SELECT id, filepath, content, start_line, end_line FROM chunks WHERE language <> 'fr'",
+    "nearest_in_store": SEARCH_SQL["index_and_search"],
+    "json_sidecars": f"WITH {CALLS} SELECT origin, type AS command, count(*) AS count FROM calls GROUP BY ALL",
+    "scan_files": """SELECT source || '/' || lang AS folder, 'txt' AS language, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(strlen(text) + 1) AS BIGINT) AS read_bytes,
+        CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM documents WHERE lang <> 'fr' GROUP BY source, lang""",
     "detect_changes": f"WITH {_CHANGES} SELECT * FROM changes",
     "staleness_reason": f"""WITH {_CHANGES}, n AS (SELECT count(*) FILTER (change='added') AS a, count(*) FILTER (change='modified') AS m, count(*) FILTER (change='deleted') AS d FROM changes)
         SELECT a + m + d > 0 AS stale, nullif(concat_ws(', ', CASE WHEN a > 0 THEN a || ' new file(s)' END, CASE WHEN m > 0 THEN m || ' modified file(s)' END,

@@ -224,7 +224,22 @@ farthest AS (SELECT *, max(distance) OVER () AS far FROM fetched)
 SELECT id, round(CASE WHEN far > 0 THEN 1 - distance / far ELSE 1.0 END, 6) AS similarity FROM farthest
 WHERE {keep} AND CASE WHEN far > 0 THEN 1 - distance / far ELSE 1.0 END >= {threshold} ORDER BY distance, id LIMIT 10"""
 
+# One step per query of a client: drop expired entries, take the first fit and renew it, else store the query.
+REUSE_SQL = """WITH RECURSIVE q AS (SELECT event_id, user_id, event_type AS opt, epoch_us(ts) AS us, embedding::DOUBLE[] AS v,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events JOIN embeddings ON vec_id = CAST(json_extract_string(props, '$.k') AS BIGINT)),
+r AS (
+  SELECT user_id, n, event_id, NULL::BIGINT AS reused_from, NULL::DOUBLE AS similarity, [{'id': event_id, 'opt': opt, 'us': us, 'v': v}] AS store FROM q WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, event_id, hit.id, CASE WHEN hit IS NOT NULL THEN list_cosine_similarity(hit.v, v) END,
+    CASE WHEN hit IS NULL THEN list_append(alive[greatest(1, len(alive) - 48):], {'id': event_id, 'opt': opt, 'us': us, 'v': v})
+    ELSE list_transform(alive, lambda e: {'id': e.id, 'opt': e.opt, 'us': CASE WHEN e.id = hit.id THEN us ELSE e.us END, 'v': e.v}) END
+  FROM (SELECT *, list_filter(alive, lambda e: e.opt = opt AND list_cosine_similarity(e.v, v) >= 0.92)[1] AS hit
+    FROM (SELECT q.*, list_filter(r.store, lambda e: q.us - e.us < 86400000000) AS alive FROM r JOIN q ON q.user_id = r.user_id AND q.n = r.n + 1)))
+SELECT event_id AS query_id, reused_from, round(similarity, 6) AS similarity FROM r"""
+
 SQL = {
+    "reuse_similar_queries": REUSE_SQL,
     "knn_exact": f"WITH {PASSAGES} SELECT id, round(distance, 6) AS distance FROM near ORDER BY near.distance, id LIMIT 20",
     "keyword_score": f"WITH {FILES} SELECT doc_id, round({keyword_sql(TERMS + ['src7', 'that'])}, 6) AS score FROM files",
     "hybrid_search": _hybrid_sql(PASSAGES, 30),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.chunks import CHUNKS, widened
+from catalog.search import REUSE_SQL
 from catalog.usage import CALLS, EVENTS
 from passagemill.operators.chunking import chunk_by_lines
 from passagemill.operators.embedding import HashEmbedder
@@ -111,6 +112,7 @@ QUERIES = {
 _FORMAT = "'%Y-%m-%d %H:%M:%S'"
 
 SQL = {
+    "stream_reuse_queries": REUSE_SQL,
     "stream_usage_counts": f"WITH {CALLS} SELECT type, count(*) AS count FROM calls GROUP BY type",
     "stream_savings": f"""WITH {EVENTS} SELECT type, count(*) AS count, CAST(sum(floor(chars_avoided / 4.0)) AS BIGINT) AS tokens_saved,
         CAST(sum(chars_returned) AS BIGINT) AS chars_returned, CAST(sum(chars_avoided) AS BIGINT) AS chars_avoided FROM scored GROUP BY type""",

@@ -139,8 +139,11 @@ def grep_context(spark, sf):
 
 
 def grep_multiline(spark, sf):
-    """A match that spans two lines."""
-    return _plain(grep_ops.grep(roles.files(spark, sf), r"\.\n[A-Z][a-z]+ "))
+    """Matches that span two lines, per file."""
+    found = grep_ops.grep(roles.files(spark, sf), r"\.\n[A-Z][a-z]+ ")
+    return found.groupBy("filepath").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("match_length").alias("chars"), F.min("line").cast("long").alias("first_line")
+    )
 
 
 def grep_budget(spark, sf):
@@ -242,6 +245,9 @@ SQL = {
     "grep_context": f"""WITH {LINES}, nl AS (SELECT filepath, language, ls, unnest(ls) AS txt, unnest(range(1, len(ls)+1)) AS line FROM lines),
         m AS (SELECT *, regexp_extract(txt, '[A-Z][a-z]+\\.$') AS hit FROM nl WHERE regexp_matches(txt, '[A-Z][a-z]+\\.$') AND language IN ('en', 'de') AND NOT starts_with(filepath, 'src1/'))
         SELECT filepath, line, length(txt) - length(hit) AS match_start, length(hit) AS match_length, array_to_string(ls[greatest(1, line-1):line+2], chr(10)) AS content FROM m""",
+    "grep_multiline": f"""WITH {FILES}, m AS (SELECT filepath, content, regexp_extract_all(content, '\\.\\n[A-Z][a-z]+ ') AS hits FROM files)
+        SELECT filepath, len(hits) AS n, list_sum([length(h) for h in hits])::BIGINT AS chars,
+        1 + length(content[1:position(hits[1] IN content) - 1]) - length(replace(content[1:position(hits[1] IN content) - 1], chr(10), '')) AS first_line FROM m WHERE len(hits) > 0""",
     "grep_budget": f"""WITH {occurrences('the')}, b AS (SELECT *, coalesce(sum(length(txt) + 50) OVER (ORDER BY filepath, line, col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM occ)
         SELECT filepath, line, col AS match_start, used FROM b WHERE used < 50000""",
     "matches_by_file": f"WITH {occurrences('the')} SELECT filepath, count(*) AS n, min(line) AS first_line, max(line) AS last_line FROM occ GROUP BY filepath",

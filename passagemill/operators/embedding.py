@@ -92,8 +92,9 @@ def check_dimensions(
     ``index_record`` holds embedding_backend, embedding_model and embedding_dimensions of the
     index; the stored vectors' own widths are checked too.
     """
-    widths = chunks.agg(F.min(F.size("embedding")).alias("narrowest"), F.max(F.size("embedding")).alias("widest"))
-    one = widths.crossJoin(index_record.limit(1))  # one row each
+    key = F.lit(1).alias("one")
+    widths = chunks.agg(F.min(F.size("embedding")).alias("narrowest"), F.max(F.size("embedding")).alias("widest"), key)
+    one = widths.join(index_record.limit(1).select("*", key), "one")
     stored = F.when(F.col("narrowest") != dim, F.col("narrowest")).otherwise(
         F.when(F.col("widest") != dim, F.col("widest")).otherwise(F.col("embedding_dimensions"))
     )

@@ -6,7 +6,7 @@ squared Euclidean, rounded to 12 decimals so that equal distances stay ties, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -71,11 +71,13 @@ def hybrid_search(
     semantic_weight: float = SEMANTIC_WEIGHT,
     keyword_weight: float = KEYWORD_WEIGHT,
     prefilter: bool = False,
+    scan: Callable[..., DataFrame] = knn,
 ) -> DataFrame:
     """Vector search, then re-ranking by 0.7 * rank score + 0.3 * keyword score.
 
     Filters work on the fetched rows, so fewer than ``limit`` may come back; ``prefilter`` applies
-    them to the whole table first. Everything after the top-k runs on at most 100 rows.
+    them to the whole table first. Everything after the top-k runs on at most 100 rows. ``scan`` is
+    the nearest-row search, for corpora that are not a plain DataFrame.
     """
     filtered = path_glob is not None or bool(languages)
     if filtered:
@@ -86,7 +88,7 @@ def hybrid_search(
     def kept(df: DataFrame) -> DataFrame:
         return filter_language(filter_path(df, path_glob), languages)
 
-    near = knn(kept(chunks), query_vec, fetch) if prefilter else kept(knn(chunks, query_vec, fetch))
+    near = scan(kept(chunks), query_vec, fetch) if prefilter else kept(scan(chunks, query_vec, fetch))
     by_distance = Window.orderBy("distance", "id")  # over at most `fetch` rows
     scored = near.withColumn("position", F.row_number().over(by_distance) - 1).withColumn(
         "score",

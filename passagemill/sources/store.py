@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.operators.search import knn
 from passagemill.session import bounded_rows, stage
 
 CHUNK_SCHEMA = T.StructType(
@@ -73,12 +74,15 @@ def read_json_record(spark: SparkSession, path: str, schema: T.StructType) -> Da
         return spark.createDataFrame([], schema)
 
 
-def read_many_json(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """The same JSON file of every matching folder, with its path as ``source``; bad ones are skipped."""
+def read_many_json(spark: SparkSession, pattern: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """The same JSON file of every matching folder, with its path as ``source``; bad ones are skipped.
+
+    With ``multi_line`` a file is one record, else every line is.
+    """
     read = (
         spark.read.schema(schema)
         .option("mode", "DROPMALFORMED")
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
     )
@@ -88,6 +92,25 @@ def read_many_json(spark: SparkSession, pattern: str, schema: T.StructType) -> D
         return spark.createDataFrame([], schema).withColumn("source", F.lit(None).cast("string"))
 
 
+def nearest(store: ChunkStore, query_vec, k: int) -> DataFrame:
+    """``search.knn`` over a store, reading the wide columns of the k chosen rows only.
+
+    The first pass scans id, path and vector. The second reads the buckets of at most k files, found
+    by partition pruning, and picks the rows by id.
+    """
+    narrow = store.load_chunks().select("id", "filepath", "embedding")
+    head = bounded_rows(
+        knn(narrow, query_vec, k).select("id", "distance", bucket_of(F.col("filepath"), store.buckets).alias("bucket")),
+        k,
+        "nearest rows",
+    )
+    chosen = store.spark.createDataFrame([(r["id"], r["distance"]) for r in head], "id string, distance double")
+    wide = store.bucketed().filter(
+        F.col("bucket").isin(sorted({r["bucket"] for r in head})) & F.col("id").isin([r["id"] for r in head])
+    )
+    return wide.drop("bucket").join(F.broadcast(chosen), "id")
+
+
 class ChunkStore:
     """Chunk table, file times and index record under one folder."""
 
@@ -113,9 +136,9 @@ class ChunkStore:
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def load_chunks(self) -> DataFrame:
-        return self._bucketed().drop("bucket")
+        return self.bucketed().drop("bucket")
 
-    def _bucketed(self) -> DataFrame:
+    def bucketed(self) -> DataFrame:
         schema = T.StructType(CHUNK_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())])
         return self.spark.read.schema(schema).parquet(self.chunks_path)
 
@@ -162,7 +185,7 @@ class ChunkStore:
         hit = [r["bucket"] for r in bounded_rows(touched, self.buckets, "buckets")]
         if not hit:
             return
-        kept = self._bucketed().filter(F.col("bucket").isin(hit)).join(gone, "filepath", "left_anti").drop("bucket")
+        kept = self.bucketed().filter(F.col("bucket").isin(hit)).join(gone, "filepath", "left_anti").drop("bucket")
         fitted = new_chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
         merged = stage(kept.select(*CHUNK_SCHEMA.names).unionByName(fitted), "chunks")
         self._placed(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
