@@ -120,15 +120,22 @@ def search_by_concept_representatives(spark, sf):
     return found.select("id", "language", F.col("place").cast("long").alias("place"))
 
 
-def reuse_similar_queries(spark, sf):
-    """Events as queries asked with the vector ``k``; a client's equal or similar query within a day is reused."""
-    asked = roles.table(spark, sf, "events").select(
+def asked_queries(events, vectors):
+    """Events as queries for the vector ``k``; their languages come in either order."""
+    kind, english = F.col("event_type"), F.lit("en")
+    languages = F.when(F.col("value") < 10, F.array(kind, english)).otherwise(F.array(english, kind))
+    return events.select(
         F.col("event_id").alias("query_id"),
         F.col("user_id").alias("client"),
-        F.col("event_type").alias("options"),
+        search.options_key(F.lit(10), F.lit("src/**"), languages).alias("options"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.get_json_object("props", "$.k").cast("long").alias("id"),
-    ).join(roles.vectors(spark, sf), "id")
+    ).join(vectors, "id")
+
+
+def reuse_similar_queries(spark, sf):
+    """A client's equal or similar query within a day is reused."""
+    asked = asked_queries(roles.table(spark, sf, "events"), roles.vectors(spark, sf))
     return scored(search.reuse_similar_queries(asked, ttl_seconds=86400), "similarity")
 
 

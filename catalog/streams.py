@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.chunks import CHUNKS, widened
-from catalog.search import REUSE_SQL
+from catalog.search import REUSE_SQL, asked_queries
 from catalog.usage import CALLS, EVENTS
 from passagemill.operators.chunking import chunk_by_lines
 from passagemill.operators.embedding import HashEmbedder
@@ -86,13 +86,7 @@ def stream_ingest(spark, sf):
 
 def stream_reuse_queries(spark, sf):
     """Streaming form of reuse_similar_queries: the same answers, one client store as state."""
-    asked = _events(spark, sf).select(
-        F.col("event_id").alias("query_id"),
-        F.col("user_id").alias("client"),
-        F.col("event_type").alias("options"),
-        "ts",
-        F.get_json_object("props", "$.k").cast("long").alias("id"),
-    ).join(roles.vectors(spark, sf), "id")
+    asked = asked_queries(_events(spark, sf), roles.vectors(spark, sf))
     found = drain(reuse.reuse_similar_queries(asked, ttl_seconds=86400))
     return found.withColumn("similarity", F.round("similarity", 6))
 

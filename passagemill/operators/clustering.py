@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions.text import directory_of
-from passagemill.functions.vectors import matrix_of, squared_distances
+from passagemill.functions.vectors import matrix_of, nearest_rows
 from passagemill.session import bounded_rows
 
 # Bounds of the number of clusters, and defaults of the iteration.
@@ -114,13 +114,12 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            dist = np.round(np.sqrt(squared_distances(matrix_of(batch.column("embedding")), matrix)), 12)
-            best = dist.argmin(axis=1)
+            best, dist = nearest_rows(matrix, matrix_of(batch.column("embedding")))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array(np.array(names, dtype=np.int32)[best]),
-                    pa.array(dist[np.arange(len(best)), best]),
+                    pa.array(dist),
                 ],
                 ["id", "cluster_id", "distance"],
             )
@@ -189,7 +188,7 @@ def lloyd_step(vectors: DataFrame, start: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x = matrix_of(batch.column("embedding"))
-                best = np.round(np.sqrt(squared_distances(x, matrix)), 12).argmin(axis=1)
+                best, _ = nearest_rows(matrix, x)
                 _sums(np.array(names, dtype=np.int32)[best], x, sums)
         if sums:
             yield _sums_batch(sums)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions.text import keyword_score, path_matches, trimmed
-from passagemill.functions.vectors import literal_vector, matrix_of, squared_l2
+from passagemill.functions.vectors import matrix_of, near_pairs, squared_l2_to
 
 DISTANCE_DIGITS = 12
 
@@ -37,7 +37,7 @@ RESULT_COLUMNS = ["id", "filepath", "content", "start_line", "end_line", "langua
 
 
 def with_distance(chunks: DataFrame, query_vec: Sequence[float]) -> DataFrame:
-    d = F.round(squared_l2(F.col("embedding"), literal_vector(query_vec)), DISTANCE_DIGITS)
+    d = F.round(squared_l2_to(F.col("embedding"), query_vec), DISTANCE_DIGITS)
     return chunks.withColumn("distance", d)
 
 
@@ -155,30 +155,6 @@ def _smallest(queries: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) ->
     return order[place < k]
 
 
-def _candidates(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, exact distance) holding at least the k nearest rows of ``x`` for every row of ``y``.
-
-    One matrix product finds them with a margin wider than its rounding error; only those are
-    computed exactly.
-    """
-    found = []
-    step = max(1, 4_000_000 // max(1, len(x)))
-    x2 = (x * x).sum(axis=1)
-    for at in range(0, len(y), step):
-        part = y[at : at + step]
-        rough = x2[:, None] + (part * part).sum(axis=1)[None, :] - 2.0 * (x @ part.T)
-        if len(x) > k:
-            bound = np.partition(rough, k - 1, axis=0)[k - 1]
-            mask = rough <= bound + 1e-9 * (1.0 + np.abs(bound) + x2.max())
-        else:
-            mask = np.ones_like(rough, dtype=bool)
-        row, query = np.nonzero(mask)
-        diff = x[row] - part[query]
-        exact = np.round(np.einsum("ij,ij->i", diff, diff), DISTANCE_DIGITS)
-        found.append((query + at, row, exact))
-    return tuple(np.concatenate(c) for c in zip(*found))
-
-
 class _TopK:
     """Running k best rows per query over the batches of one partition."""
 
@@ -191,7 +167,8 @@ class _TopK:
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         if not len(x):
             return
-        query, row, dist = _candidates(x, self.y, self.k)
+        query, row, dist = near_pairs(x, self.y, self.k)
+        dist = np.round(dist, DISTANCE_DIGITS)
         new_ids = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
         query, dist = np.concatenate([self.query, query]), np.concatenate([self.dist, dist])
         best = _smallest(query, dist, new_ids, self.k)
@@ -359,6 +336,12 @@ def _quiet_spans(queries: DataFrame, ttl_us: int) -> DataFrame:
     return stamped.join(spans, ["client", "bucket"]).drop("bucket")
 
 
+def options_key(limit: Column, path_glob: Column, languages: Column) -> Column:
+    """Search options as one text: equal for the same limit, path and set of languages in any order."""
+    listed = F.array_join(F.array_sort(F.coalesce(languages, F.array().cast("array<string>"))), ",")
+    return F.to_json(F.struct(limit.alias("limit"), path_glob.alias("path"), listed.alias("languages")))
+
+
 def reuse_similar_queries(
     queries: DataFrame,
     threshold: float = REUSE_SIMILARITY,
