@@ -353,12 +353,13 @@ def _split_class(section: Column, outline: Outline, max_lines: int) -> Column:
                 "end_line", base["end_line"] + shift
             )
 
+        def parts_of(spans: Column) -> Column:
+            has_members = F.exists(spans, lambda s: s["at"].isNotNull())
+            return F.when(has_members, F.transform(spans, piece)).otherwise(same)
+
         lead = outline.lead and outline.lead.replace("^", r"^\s*", 1)
-        spans = _spans(_tags(lines, outline.members, lead))
-        parts = F.transform(spans, piece)
-        has_members = F.exists(spans, lambda s: s["at"].isNotNull())
-        split = (section["symbol_type"] == "class") & (F.size(lines) > max_lines) & has_members
-        return F.when(split, parts).otherwise(same)
+        big = (section["symbol_type"] == "class") & (F.size(lines) > max_lines)
+        return F.when(big, let(_spans(_tags(lines, outline.members, lead)), parts_of)).otherwise(same)
 
     return let(lines_of(section["content"]), members_of)
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from passagemill.functions.text import directory_of
 from passagemill.functions.vectors import matrix_of, nearest_rows
-from passagemill.session import bounded_rows
+from passagemill.session import bounded_rows, small
 
 # Bounds of the number of clusters, and defaults of the iteration.
 LEAST_CLUSTERS, MOST_CLUSTERS = 3, 20
@@ -229,7 +229,7 @@ def kmeans(
     raw = nearest_centroid(vectors, found)
     sizes = raw.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     clusters = sizes.join(found, "cluster_id")
-    mapping = F.broadcast(renumber_by_size(clusters))  # one row per cluster
+    mapping = small(renumber_by_size(clusters), wanted)
     assigned = raw.join(mapping, "cluster_id").select("id", F.col("new_id").cast("int").alias("cluster_id"))
     numbered = clusters.join(mapping, "cluster_id").select(
         F.col("new_id").cast("int").alias("cluster_id"), "size", "centroid"
@@ -279,10 +279,15 @@ def representatives(
 # --------------------------------------------------------------------------- labels and keywords
 
 
-def _most_common(members: DataFrame, value: str) -> DataFrame:
-    """cluster_id, value: the most frequent non-null one, first by name among equals."""
-    counts = members.filter(F.col(value).isNotNull()).groupBy("cluster_id", value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("cluster_id").agg(F.min(F.struct(-F.col("n"), F.col(value).alias("v")))["v"].alias(value))
+def _most_common(counts: DataFrame, value: str) -> DataFrame:
+    """cluster_id, value: the most frequent non-null one, first by name among equals.
+
+    Nulls are passed over in the aggregate: a filter would move below the counts and keep the plans
+    of several values from sharing them.
+    """
+    sums = counts.groupBy("cluster_id", value).agg(F.sum("n").alias("n"))
+    ranked = F.when(F.col(value).isNotNull(), F.struct(-F.col("n"), F.col(value).alias("v")))
+    return sums.groupBy("cluster_id").agg(F.min(ranked)["v"].alias(value))
 
 
 def word_counts(members: DataFrame) -> DataFrame:
@@ -317,12 +322,18 @@ def cluster_labels(members: DataFrame, representative_keywords: DataFrame | None
     Without either: the first two keywords of the representatives joined by &, else ``Code``.
     members: cluster_id, filepath, optionally symbol_type.
     """
-    placed = members.withColumn("dir", directory_of(F.col("filepath")))
     typed = "symbol_type" in members.columns
-    label = members.select("cluster_id").distinct().join(_most_common(placed, "dir"), "cluster_id", "left")
+    kinds = ["symbol_type"] if typed else []
+    # one pass over the members; everything after works on these counts
+    counts = (
+        members.withColumn("dir", directory_of(F.col("filepath")))
+        .groupBy("cluster_id", "dir", *kinds)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    label = _most_common(counts, "dir")  # one row per cluster
     parts = [F.element_at(F.split("dir", "/"), -1)]
     if typed:
-        label = label.join(_most_common(members, "symbol_type"), "cluster_id", "left")
+        label = label.join(_most_common(counts, "symbol_type"), "cluster_id", "left")
         parts.append(F.concat("symbol_type", F.lit("s")))
     text = F.concat_ws(" ", *parts)
     fallback = F.lit("Code")

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 DEFAULT_BATCH_SIZE = 256
 
+_WORD = re.compile("[A-Za-z0-9_]+")
+
 
 class HashEmbedder:
     """Offline embedder: signed word counts hashed into ``dim`` buckets, scaled to length 1.
@@ -35,15 +37,19 @@ class HashEmbedder:
         return int(digest[:8], 16) % self.dim, 1.0 if int(digest[8], 16) < 8 else -1.0
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        if len(self._known) > 200_000:
-            self._known.clear()
-        for row, text in enumerate(texts):
-            for word, n in Counter(re.findall("[A-Za-z0-9_]+", text or "")).items():
-                slot = self._known.get(word)
+        known = self._known
+        if len(known) > 200_000:
+            known.clear()
+        rows = []
+        for text in texts:
+            row = [0.0] * self.dim
+            for word, n in Counter(_WORD.findall(text or "")).items():
+                slot = known.get(word)
                 if slot is None:
-                    slot = self._known[word] = self._slot(word.lower())
-                out[row, slot[0]] += n * slot[1]
+                    slot = known[word] = self._slot(word.lower())
+                row[slot[0]] += n * slot[1]
+            rows.append(row)
+        out = np.array(rows).reshape(len(texts), self.dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0)
 

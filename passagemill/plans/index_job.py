@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from passagemill.operators import changes, clustering
 from passagemill.operators.chunking import DEFAULT_MAX_LINES, DEFAULT_OVERLAP, chunk_files
 from passagemill.operators.embedding import HashEmbedder, check_dimensions, embed
-from passagemill.session import stage
+from passagemill.session import small, stage
 from passagemill.sources.files import DEFAULT_EXCLUDE, DEFAULT_INCLUDE, scan_corpus
 from passagemill.sources.store import CHUNK_SCHEMA, ChunkStore, read_json_record
 
@@ -231,7 +231,8 @@ class CorpusIndex:
         assigned = self.spark.read.parquet(assigned_path)
         members = chunks.drop("embedding").join(assigned, "id")
         reps = clustering.representatives(vectors, assigned, centers)
-        rep_members = chunks.drop("embedding").join(F.broadcast(reps.select("id", "cluster_id")), "id")  # a few per cluster
+        few = clustering.REPRESENTATIVES * centers.count()
+        rep_members = chunks.drop("embedding").join(small(reps.select("id", "cluster_id"), few), "id")
         labels = clustering.cluster_labels(
             members, clustering.keyword_lists(clustering.cluster_keywords(rep_members))
         )

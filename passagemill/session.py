@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORK_DIR_SETTING = "spark.checkpoint.dir"
 
@@ -46,6 +47,14 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
+BROADCAST_ROWS = 10_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a frame known to hold at most ``rows`` rows, if that is few; else leave the choice to Spark."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Hash a scanned table over all cores if it is stored in fewer pieces than there are cores.
 

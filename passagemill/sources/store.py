@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.operators.search import knn
-from passagemill.session import bounded_rows, stage
+from passagemill.session import bounded_rows, small, stage
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -108,7 +108,7 @@ def nearest(store: ChunkStore, query_vec, k: int) -> DataFrame:
     wide = store.bucketed().filter(
         F.col("bucket").isin(sorted({r["bucket"] for r in head})) & F.col("id").isin([r["id"] for r in head])
     )
-    return wide.drop("bucket").join(F.broadcast(chosen), "id")
+    return wide.drop("bucket").join(small(chosen, k), "id")
 
 
 class ChunkStore:
