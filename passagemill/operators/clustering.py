@@ -279,15 +279,20 @@ def representatives(
 # --------------------------------------------------------------------------- labels and keywords
 
 
-def _most_common(counts: DataFrame, value: str) -> DataFrame:
-    """cluster_id, value: the most frequent non-null one, first by name among equals.
+def _most_common(members: DataFrame, values: list[str]) -> DataFrame:
+    """cluster_id and per column its most frequent non-null value, first by name among equals.
 
-    Nulls are passed over in the aggregate: a filter would move below the counts and keep the plans
-    of several values from sharing them.
+    One pass and no join: the columns are counted together and then turned into (name, value) rows.
     """
-    sums = counts.groupBy("cluster_id", value).agg(F.sum("n").alias("n"))
-    ranked = F.when(F.col(value).isNotNull(), F.struct(-F.col("n"), F.col(value).alias("v")))
-    return sums.groupBy("cluster_id").agg(F.min(ranked)["v"].alias(value))
+    counts = members.groupBy("cluster_id", *values).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("what"), F.col(v).alias("value")) for v in values]))
+    sums = counts.select("cluster_id", "n", pairs.alias("p")).groupBy("cluster_id", "p").agg(F.sum("n").alias("n"))
+
+    def commonest(what: str):
+        wanted = (F.col("p.what") == what) & F.col("p.value").isNotNull()
+        return F.min(F.when(wanted, F.struct(-F.col("n"), F.col("p.value").alias("v"))))["v"].alias(what)
+
+    return sums.groupBy("cluster_id").agg(*[commonest(v) for v in values])
 
 
 def word_counts(members: DataFrame) -> DataFrame:
@@ -322,19 +327,13 @@ def cluster_labels(members: DataFrame, representative_keywords: DataFrame | None
     Without either: the first two keywords of the representatives joined by &, else ``Code``.
     members: cluster_id, filepath, optionally symbol_type.
     """
-    typed = "symbol_type" in members.columns
-    kinds = ["symbol_type"] if typed else []
-    # one pass over the members; everything after works on these counts
-    counts = (
-        members.withColumn("dir", directory_of(F.col("filepath")))
-        .groupBy("cluster_id", "dir", *kinds)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    label = _most_common(counts, "dir")  # one row per cluster
+    placed = members.withColumn("dir", directory_of(F.col("filepath")))
     parts = [F.element_at(F.split("dir", "/"), -1)]
-    if typed:
-        label = label.join(_most_common(counts, "symbol_type"), "cluster_id", "left")
+    if "symbol_type" in members.columns:
+        label = _most_common(placed, ["dir", "symbol_type"])
         parts.append(F.concat("symbol_type", F.lit("s")))
+    else:
+        label = _most_common(placed, ["dir"])
     text = F.concat_ws(" ", *parts)
     fallback = F.lit("Code")
     if representative_keywords is not None:

@@ -84,8 +84,7 @@ def test_labels_scan_the_members_once(spark, stored):
     members = stored[1].withColumn("cluster_id", F.size("embedding") % 3).select("cluster_id", "filepath", "symbol_type")
     frame = clustering.cluster_labels(members)
     frame.collect()
-    final = plan(frame).split("Initial Plan")[0]
-    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+    assert plan(frame).split("Initial Plan")[0].count("FileScan") == 1
 
 
 def test_incremental_run_prunes_buckets(spark, stored, tmp_path):
