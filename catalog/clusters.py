@@ -183,7 +183,7 @@ SQL = {
     "corpus_summary": f"""WITH {CHUNKS}, {_MEMBERS[len(FILES) + 1:]}, {words_sql(False)},
         d AS (SELECT cluster_id, regexp_extract(filepath, '^(.*)/[^/]*$', 1) AS dir, count(*) AS n FROM members GROUP BY 1, 2),
         bd AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, dir) = 1),
-        {_PAIRS[len('WITH '):]}
+        {_PAIRS[len('WITH '):].replace('FROM embeddings)', 'FROM embeddings SEMI JOIN documents ON vec_id = doc_id)')}
         SELECT 'total' AS fact, 'files' AS item, CAST(count(DISTINCT filepath) AS DOUBLE) AS value, NULL AS text FROM chunks
         UNION ALL SELECT 'total', 'chunks', count(*), NULL FROM chunks
         UNION ALL SELECT 'language files', language, count(DISTINCT filepath), NULL FROM chunks GROUP BY language
