@@ -41,7 +41,7 @@ def current_files(spark, sf):
     return _changes(spark, sf).filter("change <> 'deleted'").select("filepath")
 
 
-def index_incremental(spark, sf):
+def incremental_equals_full(spark, sf):
     """Chunk table after an incremental run over the stored snapshot's chunks."""
     stored = chunk_by_lines(roles.stored_snapshot(spark, sf), 10, 2)
     changed = _changes(spark, sf)
@@ -195,7 +195,7 @@ QUERIES = {
     "staleness_reason": staleness_reason,
     "deleted_files": deleted_files,
     "current_files": current_files,
-    "index_incremental": index_incremental,
+    "incremental_equals_full": incremental_equals_full,
     "delete_by_key": delete_by_key,
     "index_checksum": index_checksum,
     "index_digest": index_digest,
@@ -229,7 +229,7 @@ SQL = {
         CASE WHEN d > 0 THEN d || ' deleted file(s)' END), '') AS reason FROM n""",
     "deleted_files": f"WITH {_CHANGES} SELECT filepath FROM stored WHERE filepath NOT IN (SELECT filepath FROM cur)",
     "current_files": f"WITH {_CHANGES} SELECT filepath FROM cur",
-    "index_incremental": f"WITH {CHUNKS} SELECT id, filepath, content, start_line, end_line FROM chunks WHERE language <> 'fr'",
+    "incremental_equals_full": f"WITH {CHUNKS} SELECT id, filepath, content, start_line, end_line FROM chunks WHERE language <> 'fr'",
     "delete_by_key": f"WITH {_CHANGES}{_CHUNKS_TOO} SELECT id, language FROM chunks WHERE filepath NOT IN (SELECT filepath FROM changes WHERE change IN ('modified', 'deleted'))",
     "index_checksum": f"WITH {CHUNKS} SELECT {_SUM} AS checksum FROM files",
     "index_digest": f"""WITH {CHUNKS} SELECT substr(sha256(sum(('0x' || substr(sha256(filepath), 1, 15))::BIGINT)::VARCHAR || ':' || count(*) || ':' || (SELECT count(*) FROM chunks)), 1, 16) AS checksum FROM files""",

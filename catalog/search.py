@@ -133,7 +133,7 @@ def asked_queries(events, vectors):
     ).join(vectors, "id")
 
 
-def reuse_similar_queries(spark, sf):
+def dedup_similar_queries(spark, sf):
     """A client's equal or similar query within a day is reused."""
     asked = asked_queries(roles.table(spark, sf, "events"), roles.vectors(spark, sf))
     return scored(search.reuse_similar_queries(asked, ttl_seconds=86400), "similarity")
@@ -179,7 +179,7 @@ QUERIES = {
     "search_similar_batch": search_similar_batch,
     "search_by_concept_query": search_by_concept_query,
     "search_by_concept_reps": search_by_concept_representatives,
-    "reuse_similar_queries": reuse_similar_queries,
+    "dedup_similar_queries": dedup_similar_queries,
     "path_glob_filter": path_glob_filter,
     "filter_language": filter_language,
     "vector_measures": vector_measures,
@@ -246,7 +246,7 @@ r AS (
 SELECT event_id AS query_id, reused_from, round(similarity, 6) AS similarity FROM r"""
 
 SQL = {
-    "reuse_similar_queries": REUSE_SQL,
+    "dedup_similar_queries": REUSE_SQL,
     "knn_exact": f"WITH {PASSAGES} SELECT id, round(distance, 6) AS distance FROM near ORDER BY near.distance, id LIMIT 20",
     "keyword_score": f"WITH {FILES} SELECT doc_id, round({keyword_sql(TERMS + ['src7', 'that'])}, 6) AS score FROM files",
     "hybrid_search": _hybrid_sql(PASSAGES, 30),

@@ -85,7 +85,7 @@ def stream_ingest(spark, sf):
 
 
 def stream_reuse_queries(spark, sf):
-    """Streaming form of reuse_similar_queries: the same answers, one client store as state."""
+    """Streaming form of dedup_similar_queries: the same answers, one client store as state."""
     asked = asked_queries(_events(spark, sf), roles.vectors(spark, sf))
     found = drain(reuse.reuse_similar_queries(asked, ttl_seconds=86400))
     return found.withColumn("similarity", F.round("similarity", 6))
@@ -100,13 +100,13 @@ QUERIES = {
     "stream_daily_windows": stream_daily_windows,
     "stream_sliding_windows": stream_sliding_windows,
     "stream_ingest": stream_ingest,
-    "stream_reuse_queries": stream_reuse_queries,
+    "stream_dedup_similar_queries": stream_reuse_queries,
 }
 
 _FORMAT = "'%Y-%m-%d %H:%M:%S'"
 
 SQL = {
-    "stream_reuse_queries": REUSE_SQL,
+    "stream_dedup_similar_queries": REUSE_SQL,
     "stream_usage_counts": f"WITH {CALLS} SELECT type, count(*) AS count FROM calls GROUP BY type",
     "stream_savings": f"""WITH {EVENTS} SELECT type, count(*) AS count, CAST(sum(floor(chars_avoided / 4.0)) AS BIGINT) AS tokens_saved,
         CAST(sum(chars_returned) AS BIGINT) AS chars_returned, CAST(sum(chars_avoided) AS BIGINT) AS chars_avoided FROM scored GROUP BY type""",

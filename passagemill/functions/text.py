@@ -8,9 +8,15 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters ECMAScript regular expressions call white space.
-WHITE_SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-NOT_WHITE_SPACE = r"[^\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# The code points ECMAScript regular expressions and trim call white space.
+WHITE_SPACE_CODES = [
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680,
+    0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A,
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
+]
+WHITE_SPACE_CHARACTERS = "".join(chr(c) for c in WHITE_SPACE_CODES)
+WHITE_SPACE = "[" + "".join(f"\\x{{{c:X}}}" for c in WHITE_SPACE_CODES) + "]"
+NOT_WHITE_SPACE = "[^" + WHITE_SPACE[1:]
 
 # Java counts accented letters as word characters, ECMAScript and RE2 do not.
 WORD_CHARACTER = "[A-Za-z0-9_]"
@@ -67,7 +73,7 @@ def is_blank(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE_CHARACTERS))
 
 
 def quote_regex(text: str) -> str:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import extension_of, is_blank, join_lines, language_of, let, lines_of
+from passagemill.functions.text import is_blank, join_lines, language_of, let, lines_of
 
 # Limits of the line and structure chunkers.
 DEFAULT_MAX_LINES = 100

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from passagemill.functions.text import NOT_WHITE_SPACE, is_blank, join_lines, let, lines_of, whole_word
 
-VALID_IDENTIFIER = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
+VALID_IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*"
 
 
 def valid_identifier(name: Column) -> Column:
-    return name.rlike(VALID_IDENTIFIER)
+    return name.rlike(rf"\A{VALID_IDENTIFIER}\z")
 
 
 def _line_flags(targets: Column, n_lines: Column) -> Column:
@@ -35,7 +35,7 @@ def rename(files: DataFrame, targets: DataFrame, old: str, new: str, dry_run: bo
     Returns the files that change: filepath, replacements and, unless dry, their new content. Every
     occurrence on a target line counts.
     """
-    if not re.match(VALID_IDENTIFIER, new):
+    if not re.fullmatch(VALID_IDENTIFIER, new):
         raise ValueError(f"Invalid identifier: {new}")
     word = whole_word(old)
     per_file = targets.groupBy("filepath").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("targets"))

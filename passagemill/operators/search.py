@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagemill.functions.text import keyword_score, path_matches, trimmed
+from passagemill.functions.text import WHITE_SPACE_CHARACTERS, keyword_score, path_matches, trimmed
 from passagemill.functions.vectors import matrix_of, near_pairs, squared_l2_to
 from passagemill.session import small
 
@@ -101,9 +101,8 @@ def hybrid_search(
     return project_result(best, "position", "score")
 
 
-def _similarity(limit: int, threshold: float, partition: list[str], same: Column) -> tuple:
-    """Columns and filter shared by the single and the batch form of similar search."""
-    window = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
+def _similarity(threshold: float, window, same: Column) -> tuple[Column, Column]:
+    """Similarity column and filter shared by the single and the batch form of similar search."""
     farthest = F.max("distance").over(window)
     similarity = F.when(farthest > 0, 1 - F.col("distance") / farthest).otherwise(F.lit(1.0))
     keep = ~same & (F.col("similarity") >= threshold)
@@ -131,14 +130,15 @@ def search_similar(
         raise ValueError("give a location or a text")
     same = F.lit(False)
     if exclude_self and text is not None:
-        same = trimmed(F.col("content")) == F.trim(F.lit(text.strip()))
+        same = trimmed(F.col("content")) == F.lit(text.strip(WHITE_SPACE_CHARACTERS))
     elif exclude_self:
         same = (
             (F.col("filepath") == location[0])
             & (F.col("start_line") == location[1])
             & (F.col("end_line") == location[2])
         )
-    similarity, keep = _similarity(limit, threshold, [], same)
+    fetched = Window.partitionBy(F.lit(0))  # at most 100 rows
+    similarity, keep = _similarity(threshold, fetched, same)
     near = knn(chunks, query_vec, similar_fetch(limit)).withColumn("similarity", similarity)
     return project_result(near.filter(keep).orderBy("distance", "id").limit(limit), "similarity")
 
@@ -280,7 +280,7 @@ def search_similar_batch(
     with sources times limit however many copies a passage has.
     """
     near = knn_batch(chunks, sources.withColumnRenamed("id", "query_id"), similar_fetch(limit))
-    similarity, keep = _similarity(limit, threshold, ["query_id"], F.col("id") == F.col("query_id"))
+    similarity, keep = _similarity(threshold, Window.partitionBy("query_id"), F.col("id") == F.col("query_id"))
     kept = near.withColumn("similarity", similarity).filter(keep)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return (

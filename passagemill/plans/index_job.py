@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +20,14 @@ from passagemill.operators import changes, clustering
 from passagemill.operators.chunking import DEFAULT_MAX_LINES, DEFAULT_OVERLAP, chunk_files
 from passagemill.operators.embedding import HashEmbedder, check_dimensions, embed
 from passagemill.session import small, stage
-from passagemill.sources.files import DEFAULT_EXCLUDE, DEFAULT_INCLUDE, scan_corpus
+from passagemill.sources.files import DEFAULT_EXCLUDE, DEFAULT_INCLUDE, read_files, scan_corpus
 from passagemill.sources.store import CHUNK_SCHEMA, ChunkStore, read_json_record
 
 VERSION = "1"
 
+# Up to this many changed files are read by name instead of scanning the tree.
+NAMED_FILES = 10_000
+
 STAGE_SCHEMA = T.StructType(
     [
         T.StructField("phase", T.StringType()),
@@ -170,7 +174,7 @@ class CorpusIndex:
         if changed.filter("change <> 'unchanged'").isEmpty():
             return IndexResult(0, self.store.count_rows(), True)
         times = self.files(with_content=False).select("filepath", "mtime")
-        fresh = stage(self._chunk(changes.to_process(self.files(), changed)), "fresh")
+        fresh = stage(self._chunk(self._changed_files(changed)), "fresh")
         outdated = changed.filter(F.col("change").isin("modified", "deleted"))
         self.store.replace_files(outdated, self._embed(fresh))
         self.store.write_files(times)
@@ -178,6 +182,16 @@ class CorpusIndex:
         n = changed.filter(F.col("change").isin("added", "modified")).count()
         return IndexResult(n, created, True)
 
+    def _changed_files(self, changed: DataFrame) -> DataFrame:
+        """Texts of new and newer files. A bounded number is read by name, more by scanning the tree."""
+        head = changed.filter(F.col("change").isin("added", "modified")).select("filepath").limit(NAMED_FILES + 1).collect()
+        if 0 < len(head) <= NAMED_FILES:
+            try:
+                return read_files(self.spark, self.root, [r["filepath"] for r in head])
+            except AnalysisException:  # a file went away since the listing; the scan leaves it out
+                pass
+        return changes.to_process(self.files(), changed)
+
     def _write_record(self, per_file: DataFrame) -> int:
         n = self.store.count_rows()
         files = self.store.load_files()

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 WORK_DIR_SETTING = "spark.checkpoint.dir"
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
@@ -19,12 +22,13 @@ def work_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get(WORK_DIR_SETTING, None)
     if configured:
-        return configured
+        return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {WORK_DIR_SETTING} to a folder all executors can reach")
-    path = tempfile.mkdtemp(prefix="passagemill-")
-    spark.conf.set(WORK_DIR_SETTING, path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="passagemill-")
+    return _local_dirs[app]
 
 
 def new_work_path(spark: SparkSession, name: str) -> str:

@@ -96,6 +96,15 @@ def scan_corpus(
     return _columns(_tree(spark, root), root, keep, with_content)
 
 
+def read_files(spark: SparkSession, root: str, filepaths: Sequence[str]) -> DataFrame:
+    """Only the named files below ``root``; the rest of the tree is not touched."""
+    quoted = [re.sub(r"([*?\[\]{}\\])", r"\\\1", f"{root.rstrip('/')}/{p}") for p in filepaths]
+    named = (
+        spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(quoted)
+    )
+    return _columns(named, root, F.lit(True), True)
+
+
 def file_stats(
     spark: SparkSession,
     root: str,

@@ -50,7 +50,18 @@ RECORD_SCHEMA = T.StructType(
         ),
     ]
 )
-BUCKETS = 64
+LAYOUT_SCHEMA = T.StructType([T.StructField("buckets", T.IntegerType())])
+
+# A new table gets a power of two of buckets, so that one holds up to about this many chunks.
+ROWS_PER_BUCKET = 1_000_000
+LEAST_BUCKETS = 16
+
+
+def buckets_for(rows: int) -> int:
+    buckets = LEAST_BUCKETS
+    while buckets * ROWS_PER_BUCKET < rows:
+        buckets *= 2
+    return buckets
 
 
 def bucket_of(filepath: Column, buckets: int) -> Column:
@@ -95,15 +106,11 @@ def read_many_json(spark: SparkSession, pattern: str, schema: T.StructType, mult
 def nearest(store: ChunkStore, query_vec, k: int) -> DataFrame:
     """``search.knn`` over a store, reading the wide columns of the k chosen rows only.
 
-    The first pass scans id, path and vector. The second reads the buckets of at most k files, found
-    by partition pruning, and picks the rows by id.
+    The first pass scans ids and vectors. The second reads at most k buckets, chosen by partition
+    pruning, and picks the rows by id.
     """
-    narrow = store.load_chunks().select("id", "filepath", "embedding")
-    head = bounded_rows(
-        knn(narrow, query_vec, k).select("id", "distance", bucket_of(F.col("filepath"), store.buckets).alias("bucket")),
-        k,
-        "nearest rows",
-    )
+    narrow = store.bucketed().select("id", "bucket", "embedding")
+    head = bounded_rows(knn(narrow, query_vec, k).select("id", "distance", "bucket"), k, "nearest rows")
     chosen = store.spark.createDataFrame([(r["id"], r["distance"]) for r in head], "id string, distance double")
     wide = store.bucketed().filter(
         F.col("bucket").isin(sorted({r["bucket"] for r in head})) & F.col("id").isin([r["id"] for r in head])
@@ -112,10 +119,15 @@ def nearest(store: ChunkStore, query_vec, k: int) -> DataFrame:
 
 
 class ChunkStore:
-    """Chunk table, file times and index record under one folder."""
+    """Chunk table, file times and index record under one folder.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    The number of buckets is fixed when the whole table is written, given or fitted to its rows, and
+    kept beside it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.wanted_buckets = spark, path.rstrip("/"), buckets
+        self.layout_path = f"{self.path}/layout"
         self.chunks_path = f"{self.path}/chunks"
         self.files_path = f"{self.path}/file_metadata"
         self.record_path = f"{self.path}/index_record"
@@ -153,22 +165,32 @@ class ChunkStore:
     def count_rows(self) -> int:
         return self.load_chunks().count()
 
+    @property
+    def buckets(self) -> int:
+        layout = read_json_record(self.spark, self.layout_path, LAYOUT_SCHEMA).first()
+        if layout is None:
+            raise ValueError(f"no chunk table under {self.path}")
+        return layout["buckets"]
+
     # ------------------------------------------------------------- writes
 
-    def _placed(self, chunks: DataFrame) -> DataFrame:
+    def _placed(self, chunks: DataFrame, buckets: int) -> DataFrame:
         fitted = chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
-        bucketed = fitted.withColumn("bucket", bucket_of(F.col("filepath"), self.buckets))
+        bucketed = fitted.withColumn("bucket", bucket_of(F.col("filepath"), buckets))
         # a bucket may outgrow one task: AQE splits oversized partitions of this rebalance
         return bucketed.hint("rebalance", "bucket")
 
     def write_chunks(self, chunks: DataFrame) -> None:
-        """Replace the whole table."""
-        self._placed(chunks).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        """Replace the whole table. Without a given number of buckets the rows are counted first."""
+        buckets = self.wanted_buckets or buckets_for(chunks.count())
+        layout = self.spark.createDataFrame([(buckets,)], LAYOUT_SCHEMA)
+        layout.coalesce(1).write.mode("overwrite").json(self.layout_path)
+        self._placed(chunks, buckets).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             "bucket"
         ).parquet(self.chunks_path)
 
     def append_chunks(self, chunks: DataFrame) -> None:
-        self._placed(chunks).write.mode("append").partitionBy("bucket").parquet(self.chunks_path)
+        self._placed(chunks, self.buckets).write.mode("append").partitionBy("bucket").parquet(self.chunks_path)
 
     def replace_files(self, filepaths: DataFrame, new_chunks: DataFrame) -> None:
         """Drop all chunks of ``filepaths`` and add ``new_chunks``, rewriting only their buckets.
@@ -176,22 +198,20 @@ class ChunkStore:
         The new content of those buckets is staged first: a table must not be overwritten while it
         is being read.
         """
+        buckets = self.buckets
+        place = bucket_of(F.col("filepath"), buckets).alias("bucket")
         gone = filepaths.select("filepath").distinct()
-        touched = (
-            gone.unionByName(new_chunks.select("filepath"))
-            .select(bucket_of(F.col("filepath"), self.buckets).alias("bucket"))
-            .distinct()
-        )
-        hit = [r["bucket"] for r in bounded_rows(touched, self.buckets, "buckets")]
+        touched = gone.unionByName(new_chunks.select("filepath")).select(place).distinct()
+        hit = [r["bucket"] for r in bounded_rows(touched, buckets, "buckets")]
         if not hit:
             return
         kept = self.bucketed().filter(F.col("bucket").isin(hit)).join(gone, "filepath", "left_anti").drop("bucket")
         fitted = new_chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
         merged = stage(kept.select(*CHUNK_SCHEMA.names).unionByName(fitted), "chunks")
-        self._placed(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        self._placed(merged, buckets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "bucket"
         ).parquet(self.chunks_path)
-        left = {r["bucket"] for r in merged.select(bucket_of(F.col("filepath"), self.buckets).alias("bucket")).distinct().collect()}
+        left = {r["bucket"] for r in bounded_rows(merged.select(place).distinct(), buckets, "buckets")}
         for bucket in sorted(set(hit) - left):  # dynamic overwrite leaves a bucket alone that got no rows
             self._delete(f"{self.chunks_path}/bucket={bucket}")
 

@@ -207,3 +207,25 @@ def test_json_records(spark, tmp_path):
         (tmp_path / agent / "usage.json").write_text(text)
     got = read_many_json(spark, f"{tmp_path}/*/usage.json", typed).orderBy("command").collect()
     assert [(r["command"], r["count"]) for r in got] == [("x", 2), ("y", 3)] and "/a/usage.json" in got[0]["source"]
+
+
+def test_bucket_count_is_fitted_and_remembered(spark, tmp_path):
+    from passagemill.sources import store as store_module
+
+    assert [store_module.buckets_for(n) for n in (0, 16_000_000, 16_000_001, 10**9)] == [16, 16, 32, 1024]
+    chunks = spark.createDataFrame([("a:1-1", "a")], "id string, filepath string").select(
+        "*", *[F.lit(None).alias(f.name) for f in store_module.CHUNK_SCHEMA if f.name not in ("id", "filepath")]
+    )
+    ChunkStore(spark, str(tmp_path / "s"), buckets=5).write_chunks(chunks)
+    assert ChunkStore(spark, str(tmp_path / "s")).buckets == 5
+    with pytest.raises(ValueError, match="no chunk table"):
+        ChunkStore(spark, str(tmp_path / "none")).buckets
+
+
+def test_named_files_with_glob_characters(spark, root):
+    (root / "src/a[1]{b}.py").write_text("x = 1")
+    (root / "src/a1.py").write_text("y = 1")
+    got = tree.read_files(spark, str(root), ["src/a[1]{b}.py", "src/b.ts"]).orderBy("filepath").collect()
+    assert [(r["filepath"], r["language"]) for r in got] == [("src/a[1]{b}.py", "python"), ("src/b.ts", "typescript")]
+    listed = {r["filepath"] for r in tree.file_stats(spark, str(root)).collect()}
+    assert "src/a[1]{b}.py" in listed

@@ -116,3 +116,28 @@ def test_kinds(spark):
     assert table[5] == "Class" and len(table) == 26
     df = spark.createDataFrame([("class",), ("import",), ("section",)], "t string")
     assert [r[0] for r in df.select(kinds.chunk_type_kind(F.col("t"))).collect()] == [5, 2, 13]
+
+
+class _Session:
+    """Stands in for a session: a setting, a master and an application id."""
+
+    def __init__(self, setting, master):
+        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{setting}-{master}"})
+
+
+def test_work_dir_comes_from_the_session():
+    from passagemill.session import work_dir
+
+    assert work_dir(_Session("hdfs://shared/x/", "yarn")) == "hdfs://shared/x"
+    local = _Session(None, "local[2]")
+    assert work_dir(local) == work_dir(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(_Session(None, "spark://host:7077"))
+
+
+def test_identifiers(spark):
+    from passagemill.operators.edits import valid_identifier
+
+    df = spark.createDataFrame([("a_1",), ("_",), ("1a",), ("a b",), ("a\n",), ("é",), ("",)], "n string")
+    assert [r[0] for r in df.select(valid_identifier(F.col("n"))).collect()] == [True, True] + [False] * 5
