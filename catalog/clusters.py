@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.chunks import CHUNKS, FILES, text_chunks
-from passagemill.functions.vectors import literal_vector, squared_l2
+from passagemill.functions.vectors import l2, literal_vector
 from passagemill.operators import clustering
 from passagemill.plans import roles
 from passagemill.plans.summary import corpus_summary as summary_of
@@ -104,12 +104,12 @@ def kmeans_full(spark, sf):
     assigned, centers = clustering.kmeans(vectors)
     rows = centers.orderBy("cluster_id").collect()  # at most 20 clusters
     own = F.element_at(F.array(*[literal_vector(r["centroid"]) for r in rows]), F.col("cluster_id") + 1)
-    nearest = F.least(*[squared_l2(F.col("embedding"), literal_vector(r["centroid"])) for r in rows])
-    placed = vectors.join(assigned, "id")
+    best = clustering.nearest_centroid(vectors, centers).select("id", "distance")
+    placed = vectors.join(assigned, "id").join(best, "id")
     sizes = [r["size"] for r in rows]
     return placed.agg(
         F.count(F.lit(1)).alias("points"),
-        F.count_if(squared_l2(F.col("embedding"), own) > nearest + 1e-9).alias("misplaced"),
+        F.count_if(l2(F.col("embedding"), own) > F.col("distance") + 1e-9).alias("misplaced"),
         F.lit(len(rows) <= clustering.default_clusters(sum(sizes))).alias("within_bound"),
         F.lit(sizes == sorted(sizes, reverse=True)).alias("largest_first"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from passagemill.functions.text import directory_of
 from passagemill.functions.vectors import matrix_of, nearest_rows
-from passagemill.session import bounded_rows, small
+from passagemill.session import bounded_rows, small, stage
 
 # Bounds of the number of clusters, and defaults of the iteration.
 LEAST_CLUSTERS, MOST_CLUSTERS = 3, 20
@@ -226,7 +226,8 @@ def kmeans(
     model = KMeans(k=wanted, maxIter=max_iter, tol=tol, seed=seed, initMode="k-means||").fit(points)
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     found = spark.createDataFrame(centers, "cluster_id int, centroid array<double>")
-    raw = nearest_centroid(vectors, found)
+    # staged: sizes, numbering and assignments all read it
+    raw = stage(nearest_centroid(vectors, found), "assignments")
     sizes = raw.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     clusters = sizes.join(found, "cluster_id")
     mapping = small(renumber_by_size(clusters), wanted)
