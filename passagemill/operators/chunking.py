@@ -27,8 +27,11 @@ def chunk_id(filepath: Column, start: Column, end: Column, name: Column) -> Colu
     return F.concat(plain, F.coalesce(F.concat(F.lit(":"), F.when(name != "", name)), F.lit("")))
 
 
-def _exploded(files: DataFrame, pieces: Column, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per piece; ``pieces`` is an array of struct(content, start_line, end_line, type, name)."""
+def _exploded(files: DataFrame, pieces: Column, keep: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """One row per piece; ``pieces`` is an array of struct(content, start_line, end_line, type, name).
+
+    ``keep`` are columns of the file, ``extra`` further fields of the pieces.
+    """
     rows = files.select("filepath", "language", *keep, F.explode(pieces).alias("p"))
     return rows.select(
         chunk_id(F.col("filepath"), F.col("p.start_line"), F.col("p.end_line"), F.col("p.symbol_name")).alias("id"),
@@ -40,6 +43,7 @@ def _exploded(files: DataFrame, pieces: Column, keep: Sequence[str] = ()) -> Dat
         F.col("p.symbol_type").alias("symbol_type"),
         F.col("p.symbol_name").alias("symbol_name"),
         *keep,
+        *[F.col(f"p.{c}").alias(c) for c in extra],
     )
 
 
@@ -421,7 +425,8 @@ def chunk_files(
     """Structure chunks where the language has an outline and a definition was found, else line windows.
 
     One pass over the files: each row builds the pieces of its own language only. ``method`` tells
-    which chunker made the chunk and ``fell_back`` whether the structure chunker found nothing.
+    which chunker made the chunk and ``fell_back`` whether the structure chunker found nothing; they
+    travel inside the pieces, since Catalyst would copy the whole expression for each column.
     """
     outlines = OUTLINES if outlines is None else outlines
 
@@ -435,19 +440,16 @@ def chunk_files(
         def choose(pieces: Column) -> Column:
             found = F.coalesce(F.exists(pieces, lambda p: p["symbol_type"] != "other"), F.lit(False))
             by_lines = _not_blank(_line_windows(lines, max_lines, overlap))
-            return F.struct(
-                F.when(found, pieces).otherwise(by_lines).alias("pieces"),
-                F.when(found, F.lit("structure")).otherwise(F.lit("lines")).alias("method"),
-                (pieces.isNotNull() & ~found).alias("fell_back"),
-            )
+            return let(found, lambda f: F.transform(F.when(f, pieces).otherwise(by_lines), lambda p: mark(p, pieces, f)))
+
+        def mark(p: Column, pieces: Column, found: Column) -> Column:
+            method = F.when(found, F.lit("structure")).otherwise(F.lit("lines"))
+            return p.withField("method", method).withField("fell_back", pieces.isNotNull() & ~found)
 
         return let(structured, choose)
 
-    routed = files.select("filepath", "language", *keep, let(lines_of(F.col("content")), build).alias("r"))
-    routed = routed.select(
-        "filepath", "language", *keep, F.col("r.method").alias("method"), F.col("r.fell_back").alias("fell_back"), "r.pieces"
-    )
-    return _exploded(routed, F.col("pieces"), [*keep, "method", "fell_back"])
+    pieces = let(lines_of(F.col("content")), build)
+    return _exploded(files, pieces, keep, ["method", "fell_back"])
 
 
 def chunking_stats(chunked_files: DataFrame, shown: int = 5) -> DataFrame:

@@ -127,4 +127,6 @@ def apply_line_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
         return let(body, place)
 
-    return joined.select("filepath", let(lines_of(F.col("content")), edited).alias("r")).select("filepath", "r.*")
+    # exploded, so that a later filter on the new range does not repeat the edit
+    result = F.explode(F.array(let(lines_of(F.col("content")), edited)))
+    return joined.select("filepath", result.alias("r")).select("filepath", "r.*")

@@ -141,3 +141,19 @@ def test_ingest_replaces_changed_files(spark, tmp_path):
     query.awaitTermination()
     got = sorted((r["id"], r["content"]) for r in store.load_chunks().collect())
     assert got == [("a:1-1", "new"), ("b:1-1", "x")]
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    schema = "filepath string, n int"
+    stream = stream_of(spark, tmp_path, [spark.createDataFrame([("a", 1)], schema)])
+    checkpoint, seen = str(tmp_path / "checkpoint"), []
+
+    def run():
+        sink = {"log": lambda df, n: seen.extend(r["filepath"] for r in df.collect())}
+        sinks.fan_out(stream, sink, checkpoint, "append", {"availableNow": True}).awaitTermination()
+
+    run()
+    run()
+    spark.createDataFrame([("b", 2)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert seen == ["a", "b"]
