@@ -121,6 +121,7 @@ def search_similar(
     limit: int = 10,
     threshold: float = 0.0,
     exclude_self: bool = True,
+    scan: Callable[..., DataFrame] = knn,
 ) -> DataFrame:
     """Passages like a given one, by location (path, start, end) or by text.
 
@@ -139,7 +140,7 @@ def search_similar(
         )
     fetched = Window.partitionBy(F.lit(0))  # at most 100 rows
     similarity, keep = _similarity(threshold, fetched, same)
-    near = knn(chunks, query_vec, similar_fetch(limit)).withColumn("similarity", similarity)
+    near = scan(chunks, query_vec, similar_fetch(limit)).withColumn("similarity", similarity)
     return project_result(near.filter(keep).orderBy("distance", "id").limit(limit), "similarity")
 
 

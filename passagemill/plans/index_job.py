@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.functions.text import line_range, lines_of
 from passagemill.operators import changes, clustering
 from passagemill.operators.chunking import DEFAULT_MAX_LINES, DEFAULT_OVERLAP, chunk_files
 from passagemill.operators.embedding import HashEmbedder, check_dimensions, embed
+from passagemill.operators.search import hybrid_search, search_by_concept, search_similar
+from passagemill.plans.summary import corpus_summary
 from passagemill.session import small, stage
 from passagemill.sources.files import DEFAULT_EXCLUDE, DEFAULT_INCLUDE, read_files, scan_corpus
-from passagemill.sources.store import CHUNK_SCHEMA, ChunkStore, read_json_record
+from passagemill.sources.store import CHUNK_SCHEMA, ChunkStore, nearest, read_json_record
 
 VERSION = "1"
 
@@ -260,3 +263,64 @@ class CorpusIndex:
         )
         clusters.write.mode("overwrite").parquet(clusters_path)
         return assigned, self.spark.read.parquet(clusters_path)
+
+    # ------------------------------------------------------------- answers
+
+    def _vector(self, text: str) -> list[float]:
+        return [float(x) for x in self.embedder([text])[0]]
+
+    def _fresh(self, auto_reindex: bool) -> None:
+        if auto_reindex and self.staleness().first()["stale"]:
+            self.index()
+
+    def search(
+        self,
+        query: str,
+        limit: int = 10,
+        path_glob: str | None = None,
+        languages: Sequence[str] | None = None,
+        auto_reindex: bool = True,
+    ) -> DataFrame:
+        """Hybrid search, after bringing the index up to date if files changed."""
+        self._fresh(auto_reindex)
+        return hybrid_search(self.store, query, self._vector(query), limit, path_glob, languages, scan=nearest)
+
+    def search_similar(
+        self,
+        code: str | None = None,
+        filepath: str | None = None,
+        start_line: int | None = None,
+        end_line: int | None = None,
+        limit: int = 10,
+        threshold: float = 0.0,
+        exclude_self: bool = True,
+    ) -> DataFrame:
+        """Chunks like a piece of text, or like a file or a line range of it."""
+        if code is None and filepath is None:
+            raise ValueError("Either code or filepath must be provided")
+        if code is None:
+            lines = lines_of(F.col("content"))
+            last = F.size(lines) if end_line is None else F.lit(end_line)
+            row = read_files(self.spark, self.root, [filepath]).select(line_range(lines, F.lit(start_line or 1), last)).first()
+            source = row[0] if row else ""
+        else:
+            source = code
+        if not source.strip():
+            raise ValueError("Source code is empty")
+        # a whole file is no chunk: only a given line range can be left out as itself
+        place = None if code is not None else (filepath, start_line or 0, end_line or 0)
+        vector = self._vector(source)
+        return search_similar(self.store, vector, place, code, limit, threshold, exclude_self, scan=nearest)
+
+    def search_by_concept(self, concept: int, query: str | None = None, limit: int = 10) -> DataFrame:
+        """Chunks of one concept: near a query, or its representatives."""
+        assigned, clusters = self.concepts()
+        stored = clusters.select("cluster_id", F.posexplode("representative_ids").alias("place", "id"))
+        vector = None if query is None else self._vector(query)
+        return search_by_concept(self.store.load_chunks(), assigned, concept, vector, limit, stored)
+
+    def summary(self, k: int | None = None, exact_rows: int = clustering.BLOCK_ROWS) -> DataFrame:
+        """Totals, languages, concepts, keywords and quality; exact quality up to ``exact_rows`` chunks."""
+        assigned, _ = self.concepts(k=k)
+        chunks = self.store.load_chunks()
+        return corpus_summary(chunks, chunks.join(assigned, "id"), self.store.count_rows() <= exact_rows)

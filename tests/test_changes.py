@@ -229,3 +229,30 @@ def test_named_files_with_glob_characters(spark, root):
     assert [(r["filepath"], r["language"]) for r in got] == [("src/a[1]{b}.py", "python"), ("src/b.ts", "typescript")]
     listed = {r["filepath"] for r in tree.file_stats(spark, str(root)).collect()}
     assert "src/a[1]{b}.py" in listed
+
+
+def test_questions_to_an_index(spark, root, tmp_path):
+    index = CorpusIndex(spark, str(root), str(tmp_path / "store"))
+    assert index.search("hello").first()["id"] == "src/a/x.py:3-5:hello"  # indexes first
+    touch(root / "src/b.ts", "export function farewell() {\n}\n", 10)
+    assert index.search("farewell function", path_glob="src/*.ts").first()["id"] == "src/b.ts:1-3:farewell"
+    assert index.search("farewell", languages=["Python"]).filter("language <> 'python'").count() == 0
+
+    near = index.search_similar(filepath="src/a/x.py", start_line=3, end_line=5)
+    assert near.filter("filepath = 'src/a/x.py' AND start_line = 3").count() == 0 and near.count() > 0
+    whole = index.search_similar(filepath="src/a/x.py", start_line=3, end_line=5, exclude_self=False)
+    assert (whole.first()["id"], whole.first()["similarity"]) == ("src/a/x.py:3-5:hello", 1.0)
+    assert index.search_similar(code="export function farewell() {\n}").filter("filepath = 'src/b.ts'").count() == 0
+    assert index.search_similar(filepath="src/b.ts", limit=2).count() == 2
+    with pytest.raises(ValueError, match="must be provided"):
+        index.search_similar()
+    with pytest.raises(ValueError, match="empty"):
+        index.search_similar(code=" \n")
+
+    _, clusters = index.concepts(k=2)
+    first = clusters.filter("cluster_id = 0").first()
+    assert [r["id"] for r in index.search_by_concept(0).collect()] == first["representative_ids"]
+    members = {r["id"] for r in index.concepts()[0].filter("cluster_id = 0").collect()}
+    assert {r["id"] for r in index.search_by_concept(0, "line").collect()} <= members
+    facts = {(r["fact"], r["item"]): r["value"] for r in index.summary().collect()}
+    assert facts["total", "files"] == 3 and facts["total", "chunks"] == index.store.count_rows()
