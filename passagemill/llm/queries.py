@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import chat, fingerprint, sharding
+from passagemill.llm import bpe, chat, fingerprint, sharding
 from passagemill.llm.common import spread, table
 
 
@@ -14,6 +15,12 @@ def op1_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded with the 50k byte-level vocabulary."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents placed in 1,024 shards."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -28,6 +35,6 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(talks.withColumn("parts", chat.text_part(F.col("text")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op5_permutation_sharding, op6_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting)}
 
 SQL: dict[str, str] = {}
