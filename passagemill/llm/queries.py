@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, chat, fingerprint, sharding
+from passagemill.llm import bpe, chat, fingerprint, sharding, simhash
 from passagemill.llm.common import spread, table
 
 
@@ -15,6 +15,12 @@ def op1_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return simhash.groups(docs)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded with the 50k byte-level vocabulary."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -35,6 +41,6 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(talks.withColumn("parts", chat.text_part(F.col("text")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting)}
 
 SQL: dict[str, str] = {}
