@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, chat, fingerprint, sharding, simhash
+from passagemill.llm import bpe, chat, fingerprint, pii, sharding, simhash
 from passagemill.llm.common import spread, table
 
 
@@ -41,6 +41,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(talks.withColumn("parts", chat.text_part(F.col("text")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting)}
+def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii)}
 
 SQL: dict[str, str] = {}
