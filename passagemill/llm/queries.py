@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, chat, fingerprint, pii, sharding, simhash
+from passagemill.llm import bpe, chat, fingerprint, pii, sharding, simhash, toxicity
 from passagemill.llm.common import spread, table
 
 
@@ -46,6 +46,12 @@ def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii)}
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labelled ones."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii, op9_toxicity_chain)}
 
 SQL: dict[str, str] = {}
