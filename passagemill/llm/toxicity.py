@@ -5,16 +5,16 @@ before it. In training these are out-of-fold predictions, so that a later model
 unsure as those it will get for new documents. Here the chain is low quality, toxic, severe; the labels hold
 the first two, severe means a toxic document with at least the median number of marked words.
 
-The models are fitted on a bounded sample of the labelled rows (``MAX_LABELLED``, by hash of the id); the
-words that become features are picked by a chi-square test on the whole sample, counted in Spark. Every
-document is scored in one pass over its whole text.
+The models are fitted on a bounded sample of the labelled rows (``MAX_LABELLED``, by hash of the id). Features
+are words and word beginnings, since insults are inflected; they are picked by a chi-square test on the whole
+sample, counted in Spark, the best of each family. Every document is scored in one pass over its whole text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from passagemill.llm.common import batches, doc_texts, rows_of
 
 CATEGORIES = ("low_quality", "toxic", "severe")
-MAX_LABELLED, MAX_WORDS, MIN_DOCS, FOLDS, PENALTY = 20_000, 64, 5, 5, 1.0
+MAX_LABELLED, MAX_WORDS, MIN_DOCS, FOLDS, PENALTY = 20_000, 64, 5, 5, 0.3
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _MEASURES = 6
@@ -35,7 +36,7 @@ def words_in(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def measures_of(text: str, words: list[str], distinct: set[str]) -> list[float]:
+def measures_of(text: str, words: list[str], distinct: Collection[str]) -> list[float]:
     """Numbers on the whole text: length, capitals, marks, digits, repetition, word length."""
     n = max(1, len(text))
     letters = sum(map(len, words))
@@ -47,24 +48,42 @@ def measures_of(text: str, words: list[str], distinct: set[str]) -> list[float]:
 _CAPITALS, _DIGITS = re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"[0-9]+")
 
 
+def stems_of(word: str, lengths=BEGINNINGS) -> list[str]:
+    """The word and, marked by a star, its longer beginnings."""
+    return [word, *(word[:n] + "*" for n in lengths if n < len(word))]
+
+
 @dataclass
 class Chain:
-    """Feature words with their columns, and one weight vector a category; empty weights: a constant."""
+    """Feature stems with their columns, those of them that mark toxicity, and one weight vector a category; empty weights: a constant."""
 
-    words: dict[str, int] = field(default_factory=dict)
+    stems: dict[str, int] = field(default_factory=dict)
+    markers: frozenset[str] = frozenset()
     weights: list[np.ndarray] = field(default_factory=list)
     constants: list[float] = field(default_factory=list)
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        x = np.zeros((len(texts), 1 + _MEASURES + len(self.words)))
+    def features(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """One row a text (a one, the measures, how often markers occur, each stem), and the distinct marked words."""
+        first = 3 + _MEASURES
+        x = np.zeros((len(texts), first + len(self.stems)))
         x[:, 0] = 1
+        marked = []
+        lengths = sorted({len(s) - 1 for s in self.stems if s[-1] == "*"})
         for i, text in enumerate(texts):
             words = words_in(text)
-            distinct = set(words)
-            x[i, 1 : 1 + _MEASURES] = measures_of(text, words, distinct)
-            for word in distinct & self.words.keys():
-                x[i, 1 + _MEASURES + self.words[word]] = 1
-        return x
+            counts = Counter(words)
+            x[i, 1 : 1 + _MEASURES] = measures_of(text, words, counts.keys())
+            hits = distinct = 0
+            for word, n in counts.items():
+                own = [s for s in stems_of(word, lengths) if s in self.stems]
+                for stem in own:
+                    x[i, first + self.stems[stem]] += n
+                if own and not self.markers.isdisjoint(own):
+                    hits, distinct = hits + n, distinct + 1
+            x[i, first - 2 : first] = np.log1p(hits), min(5.0, 100 * hits / max(1, len(words)))
+            marked.append(distinct)
+        x[:, first:] = np.log1p(x[:, first:])
+        return x, marked
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(CATEGORIES)))
@@ -122,19 +141,31 @@ def _sample(labels: DataFrame, limit: int) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(bad, toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def _count_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_stems(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
     by: list[Counter] = [Counter(), Counter()]
     for text, low, toxic in rows_of(frames):
-        distinct = set(words_in(text))
+        distinct = {s for w in set(words_in(text)) for s in stems_of(w)}
         total.update(distinct)
         for c, flag in enumerate((low, toxic)):
             if flag:
                 by[c].update(distinct)
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("n_low", pa.int64()), ("n_toxic", pa.int64())])
+    schema = pa.schema([("stem", pa.string()), ("n", pa.int64()), ("n_low", pa.int64()), ("n_toxic", pa.int64())])
     yield from batches(((w, n, by[0][w], by[1][w]) for w, n in total.items()), schema)
 
 
+def _best_of_families(stems: list[str], most: int) -> list[str]:
+    """The first ``most`` of ranked stems, leaving out those that begin with, or are a beginning of, one taken before."""
+    taken: list[str] = []
+    for stem in stems:
+        bare = stem.rstrip("*")
+        if not any(bare.startswith(t.rstrip("*")) or t.startswith(bare) for t in taken):
+            taken.append(stem)
+            if len(taken) == most:
+                break
+    return taken
+
+
 def _chi_square(n: str, hits: str, rows: int, positive: int):
     """Of the two-by-two table word x class, signed: only words that are more frequent in the class count."""
     a, b = F.col(hits).cast("double"), F.col(n).cast("double") - F.col(hits)
@@ -149,26 +180,29 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, words:
     chosen = _sample(labels, limit).collect()
     known = spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, low_quality int, toxic int")
     sample = doc_texts(docs).join(F.broadcast(known), "doc_id")
-    counts = sample.select("text", "low_quality", "toxic").mapInArrow(_count_words, "word string, n long, n_low long, n_toxic long")
-    by_word = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_low", "n_toxic")]).where(F.col("n") >= MIN_DOCS)
+    counts = sample.select("text", "low_quality", "toxic").mapInArrow(_count_stems, "stem string, n long, n_low long, n_toxic long")
+    by_stem = counts.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("n", "n_low", "n_toxic")]).where(F.col("n") >= MIN_DOCS)
     rows, bad, toxic = (len(chosen), sum(r.low_quality for r in chosen), sum(r.toxic for r in chosen))
-    scored = by_word.select(
-        "word",
+    scored = by_stem.select(
+        "stem",
         _chi_square("n", "n_low", rows, bad).alias("low"),
         _chi_square("n", "n_toxic", rows, toxic).alias("toxic"),
     )
-    top = lambda c: scored.where(F.col(c) > 0).orderBy(F.desc(c), "word").limit(words).select("word", F.lit(c).alias("of"), F.col(c).alias("score"))
+    # Ten beginnings of a family may rank before the next family.
+    top = lambda c: scored.where(F.col(c) > 0).orderBy(F.desc(c), F.desc(F.length("stem")), "stem").limit(16 * words).select("stem", F.lit(c).alias("of"), F.col(c).alias("score"))
     picked = top("low").unionByName(top("toxic")).collect() if rows else []
-    chain = Chain({w: i for i, w in enumerate(sorted({r.word for r in picked}))})
-    markers = {r.word for r in picked if r.of == "toxic" and r.score >= 0.01 * rows}
-    width = 1 + _MEASURES + len(chain.words)
+    ranked = {c: sorted((r for r in picked if r.of == c), key=lambda r: (-r.score, -len(r.stem), r.stem)) for c in ("low", "toxic")}
+    best = {c: _best_of_families([r.stem for r in ranked[c]], words) for c in ranked}
+    strong = {r.stem for r in ranked["toxic"] if r.score >= 0.005 * rows and r.score >= 12}
+    chain = Chain({s: i for i, s in enumerate(sorted({*best["low"], *best["toxic"]}))}, frozenset(strong & set(best["toxic"])))
+    width = 3 + _MEASURES + len(chain.stems)
 
     def featured(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             for doc_id, text, low, tox in rows_of(frames):
-                x = chain.features([text])[0]
-                at = np.flatnonzero(x)
-                yield doc_id, low, tox, len(markers & set(words_in(text))) if tox else 0, at.tolist(), x[at].tolist()
+                x, marked = chain.features([text])
+                at = np.flatnonzero(x[0])
+                yield doc_id, low, tox, marked[0], at.tolist(), x[0][at].tolist()
 
         schema = pa.schema([("doc_id", pa.int64()), ("low", pa.int32()), ("toxic", pa.int32()), ("marks", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
         yield from batches(each(), schema, 256)
@@ -178,12 +212,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, words:
     got = sorted(made.collect(), key=lambda r: r.doc_id) if rows else []
     x, y = np.zeros((len(got), width)), np.zeros((len(got), 3))
     for i, r in enumerate(got):
-        x[i, r.at] = r.x
-        y[i] = r.low, r.toxic, 0
-    marks = np.array([r.marks for r in got])
+        x[i, r["at"]] = r["x"]
+        y[i] = r["low"], r["toxic"], 0
+    marks = np.array([r["marks"] for r in got])
     if len(got) and y[:, 1].any():
         y[:, 2] = (y[:, 1] > 0) & (marks >= max(1, np.median(marks[y[:, 1] > 0])))
-    folds = np.array([r.doc_id % FOLDS for r in got])
+    folds = np.array([r["doc_id"] % FOLDS for r in got])
     chain.weights, chain.constants, _ = fit_chain(x, y, folds) if len(got) else ([np.zeros(0)] * 3, [0.0] * 3, None)
     return chain
 
@@ -200,7 +234,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         for frame in frames:
             for at in range(0, frame.num_rows, 256):
                 ids, texts = frame.slice(at, 256).columns
-                p = chain.probabilities(chain.features(texts.to_pylist()))
+                p = chain.probabilities(chain.features(texts.to_pylist())[0])
                 toxic = p[:, CATEGORIES.index("toxic")] >= THRESHOLD
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(p[:, c]) for c in range(len(CATEGORIES))), pa.array(toxic)], schema=schema)
 
@@ -217,7 +251,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for at in range(0, frame.num_rows, 256):
                 piece = frame.slice(at, 256)
                 texts = [t or "" for t in piece.column(text).to_pylist()]
-                p = chain.probabilities(chain.features(texts))
+                p = chain.probabilities(chain.features(texts)[0])
                 yield piece.filter(pa.array(p[:, CATEGORIES.index("toxic")] < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
