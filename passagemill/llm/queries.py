@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, chat, fingerprint, pii, sharding, simhash, toxicity
+from passagemill.llm import bpe, chat, decontamination, fingerprint, pii, sharding, simhash, toxicity
 from passagemill.llm.common import spread, table
 
 
@@ -52,6 +52,12 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii, op9_toxicity_chain)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii, op9_toxicity_chain, op10_decontamination)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_decontamination": decontamination.SQL}
