@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, chat, decontamination, fingerprint, pii, sharding, simhash, toxicity
+from passagemill.llm import bpe, chat, decontamination, fingerprint, pii, quality, sharding, simhash, toxicity
 from passagemill.llm.common import spread, table
 
 
@@ -21,6 +21,12 @@ def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(docs)
 
 
+def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under a model of the trusted ones, and whether they are kept."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    return quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded with the 50k byte-level vocabulary."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -58,6 +64,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii, op9_toxicity_chain, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op3_kneser_ney_quality, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii, op9_toxicity_chain, op10_decontamination)}
 
 SQL: dict[str, str] = {"op10_decontamination": decontamination.SQL}
