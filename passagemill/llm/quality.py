@@ -190,7 +190,8 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     """
     trusted_ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     table = class_table(frequent_points(docs))
-    model = train(count_grams(doc_texts(docs).join(trusted_ids, "doc_id", "left_semi"), table))
+    # Texts are dealt by id at every size; broadcasting the ids only while they are few would hide what a larger table costs.
+    model = train(count_grams(doc_texts(docs).join(trusted_ids.hint("merge"), "doc_id", "left_semi"), table))
     rated = perplexities(docs, model, table).withColumn("cell", F.round(-F.col("log10_prob") / F.col("symbols") * _GRID).cast("long"))
     scored = stage(rated, "perplexities")
     trusted = stage(scored.join(trusted_ids, "doc_id", "left_semi").select("lang", "cell"), "trusted")
