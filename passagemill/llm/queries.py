@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, chat, decontamination, fingerprint, pii, quality, sharding, simhash, toxicity
+from passagemill.llm import bpe, chat, ctw, decontamination, fingerprint, pii, quality, sharding, simhash, toxicity
 from passagemill.llm.common import spread, table
 
 
@@ -52,6 +52,11 @@ def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
+def op8_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the context trees of the training ones."""
+    return ctw.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labelled ones."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -64,6 +69,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op3_kneser_ney_quality, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii, op9_toxicity_chain, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op3_kneser_ney_quality, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii, op8_context_tree_scores, op9_toxicity_chain, op10_decontamination)}
 
 SQL: dict[str, str] = {"op10_decontamination": decontamination.SQL}
