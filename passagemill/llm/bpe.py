@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -190,8 +191,13 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Digests of the ids and of the bytes they decode to, one row per input row, in one pass over the texts."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Digests of the ids and of the bytes they decode to, one row per input row, in one pass over the texts.
+
+    Null or empty texts have no ids (digests of nothing); repeated rows stay; an empty table gives no rows.
+    ``with_ids`` adds the ids themselves.
+    """
+    schema = pa.schema([*_DIGEST, ("ids", pa.list_(pa.int32()))]) if with_ids else _DIGEST
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
@@ -200,8 +206,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for doc_id, text in rows_of(frames):
                 ids = bpe.encode(text)
                 decimal = " ".join(map(bpe.decimal.__getitem__, ids))
-                yield doc_id, len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+                digests = hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+                yield (doc_id, len(ids), *digests, np.array(ids, np.int32)) if with_ids else (doc_id, len(ids), *digests)
 
-        yield from batches(rows(), _DIGEST)
+        yield from batches(rows(), schema, 256)
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return doc_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

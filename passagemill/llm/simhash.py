@@ -22,8 +22,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from passagemill.llm.common import doc_texts, rows_of, stage
 from passagemill.llm.components import components
@@ -261,6 +262,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> Data
     return found.where("a <> b").unionByName(shared)
 
 
+def _components(marked: DataFrame, radius: int, dense: int) -> DataFrame:
+    """fp, root, component_id of the fingerprints (rows doc_id, fp) that have a link or several rows."""
+    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+    roots = stage(components(links(nodes, radius, dense), "a", "b"), "roots")
+    linked = nodes.join(roots, F.col("fp") == F.col("node"))
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    copies = nodes.where("n > 1").join(roots, F.col("fp") == F.col("node"), "left_anti")
+    return linked.join(smallest, "root").select("fp", "root", "component_id").unionByName(copies.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id")))
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of every row.
 
@@ -269,16 +280,38 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, dense:
     component's id unless nothing else is in it; an empty table gives no rows.
     """
     marked = stage(fingerprints(docs, shingle), "fingerprints")
-    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
-    roots = components(links(nodes, radius, dense), "a", "b")
-    linked = nodes.join(roots, F.col("fp") == F.col("node"))
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    joined = linked.join(smallest, "root").select("fp", "component_id")
-    copies = nodes.where("n > 1").join(roots, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("first").alias("component_id"))
+    found = _components(marked, radius, dense).drop("root")
     # A fingerprint may belong to a third of all rows: both sides are salted.
     salts = 16
-    spread_out = joined.unionByName(copies).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread_out = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     return salted.join(spread_out, ["fp", "salt"], "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """One row of each group of near duplicates, all columns: that of the group's smallest doc_id.
+
+    Of rows that repeat an id the least text stays. Rows without an id stay only where no row of the group has
+    one, the least text of the group.
+    """
+    marked = stage(fingerprints(docs, shingle), "fingerprints")
+    found = stage(_components(marked, radius, dense), "components")
+    going = marked.join(found, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("_group_going")).distinct()
+    by_id = Window.partitionBy("_group_id").orderBy(F.asc_nulls_first("text"))
+    named = docs.where("doc_id IS NOT NULL").withColumn("_group_id", F.col("doc_id").cast("long"))
+    stays = named.join(going.hint("merge"), F.col("_group_id") == F.col("_group_going"), "left_anti").withColumn("_group_row", F.row_number().over(by_id))
+    kept = stays.where("_group_row = 1").select(docs.columns)
+
+    def marked_too(frames):
+        for frame in frames:
+            at = frame.schema.get_field_index("text")
+            fps = [fingerprint(word_hashes(t or "", shingle)) for t in frame.column(at).to_pylist()]
+            yield frame.append_column("_group_fp", pa.array(np.array(fps, np.uint64).view(np.int64)))
+
+    unnamed = docs.where("doc_id IS NULL").mapInArrow(marked_too, StructType([*docs.schema.fields, StructField("_group_fp", LongType())]))
+    roots = found.select(F.col("fp").alias("_group_fp"), F.col("root").alias("_group_root"), F.col("component_id").alias("_group_first"))
+    alone = unnamed.join(roots, "_group_fp", "left").where("_group_first IS NULL").withColumn("_group_root", F.coalesce("_group_root", "_group_fp"))
+    first = F.row_number().over(Window.partitionBy("_group_root").orderBy(F.asc_nulls_first("text")))
+    return kept.unionByName(alone.withColumn("_group_row", first).where("_group_row = 1").select(docs.columns))
