@@ -290,8 +290,8 @@ SQL = {
         a AS (SELECT k, count(*) FILTER (v <> 0) AS used, round(coalesce(sum(abs((v / norm)::FLOAT::DOUBLE)), 0), 4) AS total FROM cells JOIN norms USING (k) GROUP BY 1)
         SELECT conv_id, turn, coalesce(used, 0) AS used, coalesce(total, 0) AS total FROM q LEFT JOIN a USING (k)""",
     "check_dimensions": """WITH w AS (SELECT max(len(embedding)) AS d FROM embeddings)
-        SELECT 'hash/md5-words-32/32' AS "case", true AS mismatch, 'Embedding dimension mismatch: index has '||d||'-dim vectors, current backend (hash) produces 32-dim vectors. Reindex required.' AS reason FROM w
-        UNION ALL SELECT 'hash/md5-words-128/64', true, 'Embedding model mismatch: index uses ''md5-words-64'', current backend uses ''md5-words-128''. Reindex required.'
-        UNION ALL SELECT 'other/md5-words-64/64', true, 'Embedding backend changed from ''hash'' to ''other''. Reindex required.'
+        SELECT 'hash/md5-words-32/32' AS "case", true AS mismatch, 'The vectors are '||d||' wide, those of hash are 32 wide. Index again.' AS reason FROM w
+        UNION ALL SELECT 'hash/md5-words-128/64', true, 'The vectors come from model md5-words-64, this embedder is md5-words-128. Index again.'
+        UNION ALL SELECT 'other/md5-words-64/64', true, 'The vectors come from hash, this embedder is other. Index again.'
         UNION ALL SELECT 'hash/md5-words-64/64', false, NULL""",
 }

@@ -89,15 +89,10 @@ def cluster_keywords(spark, sf):
     return found.select("cluster_id", "word", "weight", F.col("place").cast("long").alias("place"))
 
 
-def silhouette_exact(spark, sf):
+def silhouette_squared(spark, sf):
     return rounded(clustering.silhouette(roles.vectors(spark, sf), roles.assignments(spark, sf)), "silhouette")
 
 
-def silhouette_blocks(spark, sf):
-    """The same over many small blocks: the form a large table takes."""
-    return rounded(clustering.silhouette(roles.vectors(spark, sf), roles.assignments(spark, sf), 200), "silhouette")
-
-
 def kmeans_full(spark, sf):
     """The start is random, so the result is checked by what must hold of any run."""
     vectors = roles.vectors(spark, sf)
@@ -132,8 +127,7 @@ QUERIES = {
     "cluster_labels": cluster_labels,
     "cluster_labels_by_keywords": cluster_labels_by_keywords,
     "cluster_keywords": cluster_keywords,
-    "silhouette_exact": silhouette_exact,
-    "silhouette_blocks": silhouette_blocks,
+    "silhouette_squared": silhouette_squared,
     "kmeans_full": kmeans_full,
     "corpus_summary": corpus_summary,
 }
@@ -158,7 +152,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DES
 
 
 _PAIRS = """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT label, count(*) AS size FROM e GROUP BY label),
-s AS (SELECT a.id, a.label, b.label AS other, sum(CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.v, b.v) END) AS t FROM e a, e b GROUP BY 1, 2, 3),
+s AS (SELECT a.id, a.label, b.label AS other, sum(CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.v, b.v) * list_distance(a.v, b.v) END) AS t FROM e a, e b GROUP BY 1, 2, 3),
 p AS (SELECT id, coalesce(max(CASE WHEN s.label = other AND size > 1 THEN t / (size - 1) END), 0) AS a, min(CASE WHEN s.label <> other THEN t / size END) AS b FROM s JOIN n ON n.label = other GROUP BY id),
 sil AS (SELECT avg(CASE WHEN b IS NULL THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM p)"""
 _SILHOUETTE = _PAIRS + " SELECT round(silhouette, 6) AS silhouette FROM sil"
@@ -177,8 +171,7 @@ SQL = {
         SELECT cluster_id, concat_ws(' ', list_last(string_split(dir, '/')), symbol_type || 's') AS label FROM bd LEFT JOIN bt USING (cluster_id)""",
     "cluster_labels_by_keywords": f"WITH {_MEMBERS}, {words_sql(False)} SELECT cluster_id, string_agg(word, ' & ' ORDER BY place) AS label FROM top WHERE place <= 2 GROUP BY cluster_id",
     "cluster_keywords": f"WITH {_MEMBERS}, {words_sql(True)} SELECT cluster_id, word, weight, place FROM top",
-    "silhouette_exact": _SILHOUETTE,
-    "silhouette_blocks": _SILHOUETTE,
+    "silhouette_squared": _SILHOUETTE,
     "kmeans_full": "SELECT count(*) AS points, 0::BIGINT AS misplaced, true AS within_bound, true AS largest_first FROM embeddings",
     "corpus_summary": f"""WITH {CHUNKS}, {_MEMBERS[len(FILES) + 1:]}, {words_sql(False)},
         d AS (SELECT cluster_id, regexp_extract(filepath, '^(.*)/[^/]*$', 1) AS dir, count(*) AS n FROM members GROUP BY 1, 2),

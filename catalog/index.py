@@ -61,7 +61,7 @@ def index_checksum(spark, sf):
 
 def index_digest(spark, sf):
     files = roles.files(spark, sf)
-    return changes.index_digest(files, text_chunks(spark, sf).count())
+    return changes.index_checksum(files.repartition(7), text_chunks(spark, sf).count())
 
 
 def _record(spark, sf, chunk_shift: int = 0, other_files: bool = False):
@@ -213,9 +213,8 @@ cur AS (SELECT f.* REPLACE (mtime + coalesce(shift, 0) AS mtime) FROM files f LE
 changes AS (SELECT coalesce(c.filepath, s.filepath) AS filepath, CASE WHEN s.filepath IS NULL THEN 'added' WHEN c.filepath IS NULL THEN 'deleted'
   WHEN c.mtime > s.mtime THEN 'modified' ELSE 'unchanged' END AS change FROM cur c FULL OUTER JOIN stored s ON c.filepath = s.filepath)"""
 _CHUNKS_TOO = CHUNKS[len(FILES):]
-_SUM = """substr(sha256('{"files":[' || string_agg('"' || filepath || '"', ',' ORDER BY filepath COLLATE "C") || '],"chunkCount":' || (SELECT count(*) FROM chunks) || '}'), 1, 16)"""
-_SUM = _SUM.replace(' COLLATE "C"', "")
-_HINT = " Run clear_index followed by index_codebase to rebuild."
+_DIGEST = f"""WITH {CHUNKS} SELECT substr(sha256(sum(('0x' || substr(sha256(filepath), 1, 15))::BIGINT)::VARCHAR || ':' || count(*) || ':' || (SELECT count(*) FROM chunks)), 1, 16) AS checksum FROM files"""
+_HINT = " Clear it and index again."
 
 SQL = {
     "store_update": f"WITH {CHUNKS} SELECT id, filepath, content, start_line, end_line FROM chunks WHERE language <> 'fr'",
@@ -231,17 +230,17 @@ SQL = {
     "current_files": f"WITH {_CHANGES} SELECT filepath FROM cur",
     "incremental_equals_full": f"WITH {CHUNKS} SELECT id, filepath, content, start_line, end_line FROM chunks WHERE language <> 'fr'",
     "delete_by_key": f"WITH {_CHANGES}{_CHUNKS_TOO} SELECT id, language FROM chunks WHERE filepath NOT IN (SELECT filepath FROM changes WHERE change IN ('modified', 'deleted'))",
-    "index_checksum": f"WITH {CHUNKS} SELECT {_SUM} AS checksum FROM files",
-    "index_digest": f"""WITH {CHUNKS} SELECT substr(sha256(sum(('0x' || substr(sha256(filepath), 1, 15))::BIGINT)::VARCHAR || ':' || count(*) || ':' || (SELECT count(*) FROM chunks)), 1, 16) AS checksum FROM files""",
+    "index_checksum": _DIGEST,
+    "index_digest": _DIGEST,
     "validate_index": f"""WITH {CHUNKS}, n AS (SELECT count(*) AS c FROM chunks)
         SELECT 'sound' AS "case", false AS corrupted, NULL AS reason FROM n
-        UNION ALL SELECT 'missing', true, 'Missing index metadata file. Index may be incomplete.{_HINT}' FROM n
-        UNION ALL SELECT 'count', true, 'Chunk count mismatch: metadata says ' || (c + 5) || ', index has ' || c || '.{_HINT}' FROM n
-        UNION ALL SELECT 'files', true, 'Checksum mismatch: file metadata does not match index.{_HINT}' FROM n""",
+        UNION ALL SELECT 'missing', true, 'The index has no record of its last run.{_HINT}' FROM n
+        UNION ALL SELECT 'count', true, 'The record counts ' || (c + 5) || ' chunks, the table holds ' || c || '.{_HINT}' FROM n
+        UNION ALL SELECT 'files', true, 'The file table is not the one that was indexed.{_HINT}' FROM n""",
     "index_status": f"""WITH {CHUNKS}, n AS (SELECT count(*) AS c FROM chunks)
         SELECT c AS chunk_count, (SELECT count(*) FROM files) AS file_count, '2024-01-01T00:00:00.000Z' AS last_updated, 'hash' AS embedding_backend, 'md5-words-64' AS embedding_model,
-        true AS corrupted, 'Chunk count mismatch: metadata says ' || (c + 1) || ', index has ' || c || '.{_HINT}' AS corruption_reason,
-        true AS backend_mismatch, 'Embedding model mismatch: index uses ''md5-words-64'', current backend uses ''other''. Reindex required.' AS backend_mismatch_reason FROM n""",
+        true AS corrupted, 'The record counts ' || (c + 1) || ' chunks, the table holds ' || c || '.{_HINT}' AS corruption_reason,
+        true AS backend_mismatch, 'The vectors come from model md5-words-64, this embedder is other. Index again.' AS backend_mismatch_reason FROM n""",
     "language_stats": f"WITH {CHUNKS} SELECT language, count(DISTINCT filepath) AS files, count(*) AS chunks FROM chunks GROUP BY language",
     "lookup_chunks": f"WITH {CHUNKS} SELECT c.* FROM chunks c JOIN files f USING (filepath) WHERE c.start_line = 1 AND f.doc_id IN (SELECT doc_id FROM labels)",
     "chunks_reslice": f"WITH {CHUNKS} SELECT count(*) AS chunks, count(*) AS equal FROM chunks",

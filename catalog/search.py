@@ -57,7 +57,7 @@ def hybrid_search_filtered(spark, sf):
 def hybrid_search_prefilter(spark, sf):
     return _answer(
         search.hybrid_search(
-            roles.passages(spark, sf), QUERY, roles.vector_of(spark, sf, START), 10, "!src1*/**", ["es"], prefilter=True
+            roles.passages(spark, sf), QUERY, roles.vector_of(spark, sf, START), 10, "!src1*/**", ["es"]
         )
     )
 
@@ -120,25 +120,6 @@ def search_by_concept_representatives(spark, sf):
     return found.select("id", "language", F.col("place").cast("long").alias("place"))
 
 
-def asked_queries(events, vectors):
-    """Events as queries for the vector ``k``; their languages come in either order."""
-    kind, english = F.col("event_type"), F.lit("en")
-    languages = F.when(F.col("value") < 10, F.array(kind, english)).otherwise(F.array(english, kind))
-    return events.select(
-        F.col("event_id").alias("query_id"),
-        F.col("user_id").alias("client"),
-        search.options_key(F.lit(10), F.lit("src/**"), languages).alias("options"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.get_json_object("props", "$.k").cast("long").alias("id"),
-    ).join(vectors, "id")
-
-
-def dedup_similar_queries(spark, sf):
-    """A client's equal or similar query within a day is reused."""
-    asked = asked_queries(roles.table(spark, sf, "events"), roles.vectors(spark, sf))
-    return scored(search.reuse_similar_queries(asked, ttl_seconds=86400), "similarity")
-
-
 def path_glob_filter(spark, sf):
     files = roles.files(spark, sf)
     path = F.col("filepath")
@@ -179,7 +160,6 @@ QUERIES = {
     "search_similar_batch": search_similar_batch,
     "search_by_concept_query": search_by_concept_query,
     "search_by_concept_reps": search_by_concept_representatives,
-    "dedup_similar_queries": dedup_similar_queries,
     "path_glob_filter": path_glob_filter,
     "filter_language": filter_language,
     "vector_measures": vector_measures,
@@ -203,9 +183,9 @@ def keyword_sql(terms: list[str]) -> str:
 TERMS = QUERY.split()
 
 
-def _hybrid_sql(with_sql: str, fetch: int, before: str = "true", after: str = "true", columns: str = "id") -> str:
+def _hybrid_sql(with_sql: str, fetch: int, before: str = "true", columns: str = "id") -> str:
     return f"""WITH {with_sql}, top AS (SELECT * FROM near WHERE {before} ORDER BY distance, id LIMIT {fetch}),
-      ranked AS (SELECT *, row_number() OVER (ORDER BY distance, id) - 1 AS position FROM top WHERE {after}),
+      ranked AS (SELECT *, row_number() OVER (ORDER BY distance, id) - 1 AS position FROM top),
       s AS (SELECT *, 0.7 * (1 - position / {fetch}.0) + 0.3 * {keyword_sql(TERMS)} AS raw FROM ranked)
       SELECT {columns}, position, round(raw, 6) AS score FROM s ORDER BY round(raw, 12) DESC, position LIMIT 10"""
 
@@ -231,26 +211,11 @@ farthest AS (SELECT *, max(distance) OVER () AS far FROM fetched)
 SELECT id, round(CASE WHEN far > 0 THEN 1 - distance / far ELSE 1.0 END, 6) AS similarity FROM farthest
 WHERE {keep} AND CASE WHEN far > 0 THEN 1 - distance / far ELSE 1.0 END >= {threshold} ORDER BY distance, id LIMIT 10"""
 
-# One step per query of a client: drop expired entries, take the first fit and renew it, else store the query.
-REUSE_SQL = """WITH RECURSIVE q AS (SELECT event_id, user_id, event_type AS opt, epoch_us(ts) AS us, embedding::DOUBLE[] AS v,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
-  FROM events JOIN embeddings ON vec_id = CAST(json_extract_string(props, '$.k') AS BIGINT)),
-r AS (
-  SELECT user_id, n, event_id, NULL::BIGINT AS reused_from, NULL::DOUBLE AS similarity, [{'id': event_id, 'opt': opt, 'us': us, 'v': v}] AS store FROM q WHERE n = 1
-  UNION ALL
-  SELECT user_id, n, event_id, hit.id, CASE WHEN hit IS NOT NULL THEN list_cosine_similarity(hit.v, v) END,
-    CASE WHEN hit IS NULL THEN list_append(alive[greatest(1, len(alive) - 48):], {'id': event_id, 'opt': opt, 'us': us, 'v': v})
-    ELSE list_transform(alive, lambda e: {'id': e.id, 'opt': e.opt, 'us': CASE WHEN e.id = hit.id THEN us ELSE e.us END, 'v': e.v}) END
-  FROM (SELECT *, list_filter(alive, lambda e: e.opt = opt AND list_cosine_similarity(e.v, v) >= 0.92)[1] AS hit
-    FROM (SELECT q.*, list_filter(r.store, lambda e: q.us - e.us < 86400000000) AS alive FROM r JOIN q ON q.user_id = r.user_id AND q.n = r.n + 1)))
-SELECT event_id AS query_id, reused_from, round(similarity, 6) AS similarity FROM r"""
-
 SQL = {
-    "dedup_similar_queries": REUSE_SQL,
     "knn_exact": f"WITH {PASSAGES} SELECT id, round(distance, 6) AS distance FROM near ORDER BY near.distance, id LIMIT 20",
     "keyword_score": f"WITH {FILES} SELECT doc_id, round({keyword_sql(TERMS + ['src7', 'that'])}, 6) AS score FROM files",
     "hybrid_search": _hybrid_sql(PASSAGES, 30),
-    "hybrid_search_filtered": _hybrid_sql(PASSAGES, 50, after="starts_with(filepath, 'src1') AND language IN ('en', 'de')"),
+    "hybrid_search_filtered": _hybrid_sql(PASSAGES, 50, before="starts_with(filepath, 'src1') AND language IN ('en', 'de')"),
     "hybrid_search_prefilter": _hybrid_sql(PASSAGES, 50, before="NOT starts_with(filepath, 'src1') AND language = 'es'"),
     "index_and_search": _hybrid_sql(
         CHUNKS + "," + _hashed_near("chunks", f"SELECT '{QUERY}' AS t"), 30, columns="id, filepath, start_line, end_line"
@@ -267,7 +232,7 @@ SQL = {
         k AS (SELECT *, CASE WHEN far > 0 THEN 1 - distance / far ELSE 1.0 END AS sim FROM s)
         SELECT query_id, id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place
         FROM k WHERE id <> query_id AND sim >= 0.02 QUALIFY place <= 5""",
-    "search_by_concept_query": f"WITH {PASSAGES}, top AS (SELECT * FROM near ORDER BY distance, id LIMIT 120) SELECT id, round(distance, 6) AS distance FROM top WHERE label = {CONCEPT} ORDER BY top.distance, id LIMIT 40",
+    "search_by_concept_query": f"WITH {PASSAGES}, top AS (SELECT * FROM near WHERE label = {CONCEPT} ORDER BY distance, id LIMIT 40) SELECT id, round(distance, 6) AS distance FROM top",
     "search_by_concept_reps": f"""WITH {PASSAGES}, cell AS (SELECT id, language, unnest(v) AS x, unnest(range(64)) AS pos FROM passages WHERE label = {CONCEPT}),
         c AS (SELECT pos, avg(x) AS m FROM cell GROUP BY pos), d AS (SELECT id, any_value(language) AS language, sqrt(sum((x-m)*(x-m))) AS d FROM cell JOIN c USING (pos) GROUP BY id)
         SELECT id, language, row_number() OVER (ORDER BY d, id) AS place FROM d QUALIFY place <= 2""",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.chunks import CHUNKS, widened
-from catalog.search import REUSE_SQL, asked_queries
 from catalog.usage import CALLS, EVENTS
 from passagemill.operators.chunking import chunk_by_lines
 from passagemill.operators.embedding import HashEmbedder
@@ -84,13 +83,6 @@ def stream_ingest(spark, sf):
     return widened(stored)
 
 
-def stream_reuse_queries(spark, sf):
-    """Streaming form of dedup_similar_queries: the same answers, one client store as state."""
-    asked = asked_queries(_events(spark, sf), roles.vectors(spark, sf))
-    found = drain(reuse.reuse_similar_queries(asked, ttl_seconds=86400))
-    return found.withColumn("similarity", F.round("similarity", 6))
-
-
 QUERIES = {
     "stream_usage_counts": stream_usage_counts,
     "stream_savings": stream_savings,
@@ -100,13 +92,11 @@ QUERIES = {
     "stream_daily_windows": stream_daily_windows,
     "stream_sliding_windows": stream_sliding_windows,
     "stream_ingest": stream_ingest,
-    "stream_dedup_similar_queries": stream_reuse_queries,
 }
 
 _FORMAT = "'%Y-%m-%d %H:%M:%S'"
 
 SQL = {
-    "stream_dedup_similar_queries": REUSE_SQL,
     "stream_usage_counts": f"WITH {CALLS} SELECT type, count(*) AS count FROM calls GROUP BY type",
     "stream_savings": f"""WITH {EVENTS} SELECT type, count(*) AS count, CAST(sum(floor(chars_avoided / 4.0)) AS BIGINT) AS tokens_saved,
         CAST(sum(chars_returned) AS BIGINT) AS chars_returned, CAST(sum(chars_avoided) AS BIGINT) AS chars_avoided FROM scored GROUP BY type""",

@@ -85,6 +85,17 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
+def distinct_rows(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers that keep, of equal vectors, the k smallest ids: more of them can't be among the k nearest."""
+    raw = np.ascontiguousarray(x + 0.0)  # no negative zeros, which would differ in bytes
+    _, group = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel(), return_inverse=True)
+    _, rank = np.unique(ids, return_inverse=True)
+    order = np.lexsort((rank, group))
+    starts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return np.sort(order[place < k])
+
+
 def near_pairs(x: np.ndarray, y: np.ndarray, k: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of y, row of x, exact squared distance) holding at least the k nearest rows of x for each of y.
 
@@ -104,8 +115,12 @@ def near_pairs(x: np.ndarray, y: np.ndarray, k: int, cells: int = 4_000_000) ->
             query, row = np.nonzero(rough <= (bound + margin)[:, None])
         else:
             query, row = np.nonzero(np.ones_like(rough, dtype=bool))
-        diff = x[row] - part[query]
-        found.append((query + at, row, np.einsum("ij,ij->i", diff, diff)))
+        exact = np.empty(len(row))
+        most = max(1, cells // max(1, x.shape[1]))
+        for low in range(0, len(row), most):
+            diff = x[row[low : low + most]] - part[query[low : low + most]]
+            exact[low : low + most] = np.einsum("ij,ij->i", diff, diff)
+        found.append((query + at, row, exact))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REBUILD_HINT = "Run clear_index followed by index_codebase to rebuild."
-
-# Up to this many paths the checksum hashes the sorted list itself.
-CHECKSUM_PATHS = 200_000
+REBUILD_HINT = "Clear it and index again."
 
 
 def detect_changes(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -81,21 +78,8 @@ def rehydrate_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c) if c == "filepath" else F.col(f"r.{c}").alias(c) for c in chunks.columns])
 
 
-def index_checksum(files: DataFrame, n_chunks: int, max_paths: int = CHECKSUM_PATHS) -> DataFrame:
-    """One row: 16 hex digits over the sorted file list and the chunk count.
-
-    The list is hashed as one JSON text only while it has at most ``max_paths`` entries; a longer
-    one gets the order-free digest, which needs no list in one place.
-    """
-    paths = files.select("filepath")
-    if paths.limit(max_paths + 1).count() > max_paths:
-        return index_digest(files, n_chunks)
-    text = F.to_json(F.struct(F.array_sort(F.collect_list("filepath")).alias("files"), F.lit(n_chunks).alias("chunkCount")))
-    return paths.agg(F.substring(F.sha2(text, 256), 1, 16).alias("checksum"))
-
-
-def index_digest(files: DataFrame, n_chunks: int) -> DataFrame:
-    """Checksum as a sum over per-path hashes: partial sums, any number of files, any order."""
+def index_checksum(files: DataFrame, n_chunks: int) -> DataFrame:
+    """One row: 16 hex digits over all paths and the chunk count, as a sum of per-path hashes in any order."""
     value = F.conv(F.substring(F.sha2(F.col("filepath"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     total = F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,0)")).cast("string")
     text = F.concat_ws(":", total, F.count(F.lit(1)).cast("string"), F.lit(str(n_chunks)))
@@ -114,21 +98,21 @@ def validate_index(record: DataFrame, n_chunks: DataFrame, checksum: DataFrame)
     reason = (
         F.when(
             F.col("chunk_count").isNull(),
-            F.lit("Missing index metadata file. Index may be incomplete. " + REBUILD_HINT),
+            F.lit("The index has no record of its last run. " + REBUILD_HINT),
         )
         .when(
             F.col("chunk_count") != F.col("actual_chunks"),
             F.concat(
-                F.lit("Chunk count mismatch: metadata says "),
+                F.lit("The record counts "),
                 F.col("chunk_count").cast("string"),
-                F.lit(", index has "),
+                F.lit(" chunks, the table holds "),
                 F.col("actual_chunks").cast("string"),
                 F.lit(". " + REBUILD_HINT),
             ),
         )
         .when(
             F.col("checksum") != F.col("actual_checksum"),
-            F.lit("Checksum mismatch: file metadata does not match index. " + REBUILD_HINT),
+            F.lit("The file table is not the one that was indexed. " + REBUILD_HINT),
         )
     )
     return actual.join(known, "one", "left").select(reason.isNotNull().alias("corrupted"), reason.alias("reason"))

@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,8 +81,6 @@ STOP_WORDS = [
 
 # Centroids are handed to every task; this many numbers are allowed.
 CENTROID_NUMBERS = 8_000_000
-# Rows of one side of an exact pairwise block, and of a set small enough to broadcast whole.
-BLOCK_ROWS = 20_000
 
 
 def default_clusters(n: int) -> int:
@@ -346,107 +343,58 @@ def cluster_labels(members: DataFrame, representative_keywords: DataFrame | None
 
 # --------------------------------------------------------------------------- silhouette
 
+MOST_MEASURED_CLUSTERS = 100_000
 
-def _distance_sums(x: np.ndarray, own_ids: np.ndarray, y: np.ndarray, other_ids: np.ndarray, onehot: np.ndarray):
-    """Sum of distances from every row of ``x`` to each cluster of ``y``; a point is 0 from itself."""
-    out = np.zeros((len(x), onehot.shape[1]))
-    step = max(1, 2_000_000 // max(1, len(y)))
-    y2 = (y * y).sum(axis=1)
-    for at in range(0, len(x), step):
-        part = x[at : at + step]
-        d2 = (part * part).sum(axis=1)[:, None] + y2[None, :] - 2.0 * (part @ y.T)
-        np.clip(d2, 0.0, None, out=d2)
-        d2[own_ids[at : at + step, None] == other_ids[None, :]] = 0.0
-        out[at : at + step] = np.sqrt(d2) @ onehot
-    return out
 
+def silhouette(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
+    """One row: mean silhouette over all points on squared distances (0 for one cluster, 0 inner for a cluster of one).
 
-def silhouette(
-    vectors: DataFrame, assignments: DataFrame, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """One row: exact mean silhouette over all points (0 for one cluster or one point).
-
-    Exact means every pair of points is measured, n * n work whatever the engine. Hash blocks of at
-    most ``block_rows`` points meet pairwise and send back one sum per point and cluster; for large
-    tables use ``silhouette_fast``.
+    The mean squared distance of a point x to a cluster of n points with vector sum S and sum of squared
+    norms Q is |x|^2 - 2 x S / n + Q / n, so one pass sums per cluster and a second measures each point:
+    linear in the points. The clusters' sums travel to the tasks, at most ``MOST_MEASURED_CLUSTERS`` of them.
     """
-    members = vectors.select("id", "embedding").join(assignments.select("id", "cluster_id"), "id")
-    counts = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    blocks = max(1, -(-members.count() // block_rows))
-    points = members.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(
-        "point", F.xxhash64("id", "cluster_id")
-    )
-    left = points.select(
-        "id", "cluster_id", "point", "embedding", F.col("block").alias("a"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"),
-    )
-    right = points.select(
-        F.col("point").alias("other_point"),
-        F.col("cluster_id").alias("other_cluster"),
-        F.col("embedding").alias("other_embedding"),
-        F.col("block").alias("rb"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ra"),
-    )
-    id_type = vectors.schema["id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("id", id_type),
-            T.StructField("cluster_id", T.IntegerType()),
-            T.StructField("other_cluster", T.IntegerType()),
-            T.StructField("total", T.DoubleType()),
-        ]
-    )
+    members = vectors.select("id", "embedding").join(assignments.select("id", "cluster_id"), "id").select("embedding", "cluster_id")
 
-    def block(own: pa.Table, others: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(schema)
-        if not own.num_rows or not others.num_rows:
-            return target.empty_table()
-        names, inverse = np.unique(others.column("other_cluster").to_numpy(), return_inverse=True)
-        onehot = np.zeros((len(inverse), len(names)))
-        onehot[np.arange(len(inverse)), inverse] = 1.0
-        sums = _distance_sums(
-            matrix_of(own.column("embedding").combine_chunks()),
-            own.column("point").to_numpy(),
-            matrix_of(others.column("other_embedding").combine_chunks()),
-            others.column("other_point").to_numpy(),
-            onehot,
-        )
-        n, m = sums.shape
-        row = pa.array(np.repeat(np.arange(n), m))
-        return pa.Table.from_arrays(
-            [
-                own.column("id").take(row),
-                own.column("cluster_id").take(row).cast(pa.int32()),
-                pa.array(np.tile(names, n), pa.int32()),
-                pa.array(sums.ravel()),
-            ],
-            schema=target,
-        )
-
-    sums = left.groupBy("a", "b").cogroup(right.groupBy(F.col("ra").alias("a"), F.col("rb").alias("b"))).applyInArrow(
-        block, schema
-    )
-    sums = sums.groupBy("id", "cluster_id", "other_cluster").agg(F.sum("total").alias("total"))
-    small = counts.select(F.col("cluster_id").alias("other_cluster"), "size")
-    means = sums.join(small, "other_cluster")
-    own = F.col("other_cluster") == F.col("cluster_id")
-    inner = F.max(F.when(own & (F.col("size") > 1), F.col("total") / (F.col("size") - 1)))
-    outer = F.min(F.when(~own, F.col("total") / F.col("size")))
-    per_point = means.groupBy("id").agg(
-        F.coalesce(inner, F.lit(0.0)).alias("a"), outer.alias("b")
-    )
-    value = F.when(F.col("b").isNull(), F.lit(0.0)).otherwise(
-        F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix_of(batch.column("embedding"))
+                names, at = np.unique(batch.column("cluster_id").to_numpy(), return_inverse=True)
+                sums = np.zeros((len(names), x.shape[1] + 2))
+                np.add.at(sums, at, np.column_stack([np.ones(len(x)), (x * x).sum(axis=1), x]))
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(sums.tolist())], names=["cluster_id", "sums"])
+
+    partial = members.mapInArrow(add_up, "cluster_id long, sums array<double>")
+    cells = partial.select("cluster_id", F.posexplode("sums")).groupBy("cluster_id", "pos").agg(F.sum("col").alias("value"))
+    rows = bounded_rows(
+        cells.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda c: c["value"]).alias("sums")),
+        MOST_MEASURED_CLUSTERS,
+        "clusters",
     )
-    return per_point.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("silhouette"))
-
+    names = np.array(sorted(r["cluster_id"] for r in rows), dtype=np.int64)
+    by_name = {r["cluster_id"]: r["sums"] for r in rows}
+    table = np.array([by_name[n] for n in names.tolist()])
 
-def silhouette_fast(vectors: DataFrame, assignments: DataFrame) -> float:
-    """Silhouette on squared distances: linear in the number of points, but another measure."""
-    points = vectors.join(assignments, "id").select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-        F.col("cluster_id").cast("int").alias("prediction"),
-    )
-    return ClusteringEvaluator().evaluate(points)
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, points = 0.0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size, norms, sums = table[:, 0], table[:, 1], table[:, 2:]
+            x = matrix_of(batch.column("embedding"))
+            own = np.searchsorted(names, batch.column("cluster_id").to_numpy())
+            row = np.arange(len(x))
+            whole = np.maximum(size * (x * x).sum(axis=1)[:, None] - 2.0 * (x @ sums.T) + norms, 0.0)
+            inner = whole[row, own] / np.maximum(size[own] - 1, 1)
+            means = whole / size
+            means[row, own] = np.inf
+            outer = means.min(axis=1)
+            most = np.maximum(inner, outer)
+            known = np.isfinite(outer) & (most > 0)
+            total += float(((outer[known] - inner[known]) / most[known]).sum())
+            points += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([points])], names=["total", "points"])
+
+    parts = members.mapInArrow(measure, "total double, points long")
+    mean = F.sum("total") / F.sum("points")
+    return parts.agg(F.coalesce(F.when(F.sum("points") > 0, mean), F.lit(0.0)).alias("silhouette"))

@@ -36,7 +36,7 @@ def rename(files: DataFrame, targets: DataFrame, old: str, new: str, dry_run: bo
     occurrence on a target line counts.
     """
     if not re.fullmatch(VALID_IDENTIFIER, new):
-        raise ValueError(f"Invalid identifier: {new}")
+        raise ValueError(f"{new} cannot name a symbol")
     word = whole_word(old)
     per_file = targets.groupBy("filepath").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("targets"))
     joined = files.select("filepath", "content").join(per_file, "filepath")

@@ -108,25 +108,25 @@ def check_dimensions(
         F.when(
             stored != dim,
             F.concat(
-                F.lit("Embedding dimension mismatch: index has "),
+                F.lit("The vectors are "),
                 stored.cast("string"),
-                F.lit(f"-dim vectors, current backend ({name}) produces {dim}-dim vectors. Reindex required."),
+                F.lit(f" wide, those of {name} are {dim} wide. Index again."),
             ),
         )
         .when(
             F.col("embedding_model") != model,
             F.concat(
-                F.lit("Embedding model mismatch: index uses '"),
+                F.lit("The vectors come from model "),
                 F.col("embedding_model"),
-                F.lit(f"', current backend uses '{model}'. Reindex required."),
+                F.lit(f", this embedder is {model}. Index again."),
             ),
         )
         .when(
             F.col("embedding_backend") != name,
             F.concat(
-                F.lit("Embedding backend changed from '"),
+                F.lit("The vectors come from "),
                 F.col("embedding_backend"),
-                F.lit(f"' to '{name}'. Reindex required."),
+                F.lit(f", this embedder is {name}. Index again."),
             ),
         )
     )

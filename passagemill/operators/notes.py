@@ -25,7 +25,7 @@ def get_doc(docs: DataFrame, name: str) -> DataFrame:
     """The document; an error when it is missing. One row."""
     found = docs.filter(F.col("name") == name).limit(1)
     if found.isEmpty():
-        raise KeyError(f"Memory not found: {name}")
+        raise KeyError(f"no note is called {name}")
     return found
 
 
@@ -46,7 +46,7 @@ def delete_docs(docs: DataFrame, names: DataFrame, strict: bool = False) -> Data
     if strict:
         missing = names.join(docs, "name", "left_anti").select("name").first()
         if missing is not None:
-            raise KeyError(f"Memory not found: {missing['name']}")
+            raise KeyError(f"no note is called {missing['name']}")
     return docs.join(names.select("name"), "name", "left_anti")
 
 
@@ -66,6 +66,6 @@ def edit_docs(docs: DataFrame, needle: str, replacement: str, mode: str = "liter
         edited = F.regexp_replace("content", pattern, replacement)
     result = docs.withColumn("match_count", count).withColumn("content", edited)
     if strict:
-        missing = F.raise_error(F.concat(F.lit("Pattern not found in memory: "), F.lit(needle))).cast("int")
+        missing = F.raise_error(F.concat(F.lit("nothing in the note matches "), F.lit(needle))).cast("int")
         result = result.withColumn("match_count", F.when(F.col("match_count") == 0, missing).otherwise(F.col("match_count")))
     return result

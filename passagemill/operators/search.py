@@ -9,27 +9,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions.text import WHITE_SPACE_CHARACTERS, keyword_score, path_matches, trimmed
-from passagemill.functions.vectors import matrix_of, near_pairs, squared_l2_to
+from passagemill.functions.vectors import distinct_rows, matrix_of, near_pairs, squared_l2_to
 from passagemill.session import small
 
 DISTANCE_DIGITS = 12
 
-# Score weights, over-fetch factors and caps, and the query-reuse limits.
+# Score weights and over-fetch factors.
 SEMANTIC_WEIGHT = 0.7
 KEYWORD_WEIGHT = 0.3
-FETCH_FACTOR, FETCH_CAP = 3, 50
-FILTERED_FETCH_FACTOR, FILTERED_FETCH_CAP = 5, 100
-SIMILAR_FETCH_CAP = 100
-REUSE_SIMILARITY = 0.92
-REUSE_TTL_SECONDS = 300
-REUSE_ENTRIES = 50
+FETCH_FACTOR = 3
+FILTERED_FETCH_FACTOR = 5
 
 # Broadcasting query vectors is allowed up to this many bytes.
 BROADCAST_BYTES = 64 << 20
@@ -42,8 +37,11 @@ def with_distance(chunks: DataFrame, query_vec: Sequence[float]) -> DataFrame:
     return chunks.withColumn("distance", d)
 
 
-def knn(chunks: DataFrame, query_vec: Sequence[float], k: int) -> DataFrame:
-    """The k nearest rows: a scan with a top-k per partition, no shuffle of the table."""
+def knn(
+    chunks: DataFrame, query_vec: Sequence[float], k: int, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The k nearest rows of those that ``keep`` leaves: a scan with a top-k per partition, no shuffle of the table."""
+    chunks = chunks if keep is None else keep(chunks)
     return with_distance(chunks, query_vec).orderBy("distance", "id").limit(k)
 
 
@@ -71,25 +69,21 @@ def hybrid_search(
     languages: Sequence[str] | None = None,
     semantic_weight: float = SEMANTIC_WEIGHT,
     keyword_weight: float = KEYWORD_WEIGHT,
-    prefilter: bool = False,
     scan: Callable[..., DataFrame] = knn,
 ) -> DataFrame:
     """Vector search, then re-ranking by 0.7 * rank score + 0.3 * keyword score.
 
-    Filters work on the fetched rows, so fewer than ``limit`` may come back; ``prefilter`` applies
-    them to the whole table first. Everything after the top-k runs on at most 100 rows. ``scan`` is
-    the nearest-row search, for corpora that are not a plain DataFrame.
+    Filters work on the whole table, before the top-k. Everything after the top-k runs on at most
+    five times ``limit`` rows. ``scan`` is the nearest-row search, for corpora that are not a plain
+    DataFrame.
     """
     filtered = path_glob is not None or bool(languages)
-    if filtered:
-        fetch = min(limit * FILTERED_FETCH_FACTOR, FILTERED_FETCH_CAP)
-    else:
-        fetch = min(limit * FETCH_FACTOR, FETCH_CAP)
+    fetch = limit * (FILTERED_FETCH_FACTOR if filtered else FETCH_FACTOR)
 
     def kept(df: DataFrame) -> DataFrame:
         return filter_language(filter_path(df, path_glob), languages)
 
-    near = scan(kept(chunks), query_vec, fetch) if prefilter else kept(scan(chunks, query_vec, fetch))
+    near = scan(chunks, query_vec, fetch, kept if filtered else None)
     by_distance = Window.orderBy("distance", "id")  # over at most `fetch` rows
     scored = near.withColumn("position", F.row_number().over(by_distance) - 1).withColumn(
         "score",
@@ -110,7 +104,7 @@ def _similarity(threshold: float, window, same: Column) -> tuple[Column, Column]
 
 
 def similar_fetch(limit: int) -> int:
-    return min((limit + 5) * 2, SIMILAR_FETCH_CAP)
+    return (limit + 5) * 2
 
 
 def search_similar(
@@ -138,7 +132,7 @@ def search_similar(
             & (F.col("start_line") == location[1])
             & (F.col("end_line") == location[2])
         )
-    fetched = Window.partitionBy(F.lit(0))  # at most 100 rows
+    fetched = Window.partitionBy(F.lit(0))  # over the fetched rows
     similarity, keep = _similarity(threshold, fetched, same)
     near = scan(chunks, query_vec, similar_fetch(limit)).withColumn("similarity", similarity)
     return project_result(near.filter(keep).orderBy("distance", "id").limit(limit), "similarity")
@@ -169,6 +163,8 @@ class _TopK:
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         if not len(x):
             return
+        first = distinct_rows(x, ids, self.k)
+        ids, x = ids[first], x[first]
         query, row, dist = near_pairs(x, self.y, self.k)
         dist = np.round(dist, DISTANCE_DIGITS)
         new_ids = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
@@ -302,119 +298,12 @@ def search_by_concept(
     limit: int = 10,
     representatives: DataFrame | None = None,
 ) -> DataFrame:
-    """Passages of one cluster: nearest to the query among the 3 * limit nearest of the whole table,
-    or without a query the cluster's stored representatives (cluster_id, id, place)."""
+    """Passages of one cluster: its nearest to the query, or without a query the cluster's stored
+    representatives (cluster_id, id, place)."""
     if query_vec is not None:
-        near = knn(chunks, query_vec, limit * 3)
         members = assignments.filter(F.col("cluster_id") == cluster).select("id")
-        found = members.join(small(near, limit * 3), "id")
-        return project_result(found.orderBy("distance", "id").limit(limit), "distance")
+        return project_result(knn(chunks.join(members, "id", "left_semi"), query_vec, limit), "distance")
     stored = (
         representatives.filter(F.col("cluster_id") == cluster).orderBy("place").limit(limit).select("id", "place")
     )
     return project_result(chunks.join(small(stored, limit), "id").orderBy("place"), "place")
-
-
-# --------------------------------------------------------------------------- reuse of similar queries
-
-
-def _quiet_spans(queries: DataFrame, ttl_us: int) -> DataFrame:
-    """Number the stretches of every client's queries that are at least one TTL apart.
-
-    Times are first folded into TTL-wide buckets: a gap of a TTL never lies inside one, so the
-    ordered window sees one row per client and bucket, however many queries those hold.
-    """
-    stamped = queries.withColumn("bucket", F.floor(F.unix_micros("ts") / F.lit(ttl_us)))
-    buckets = stamped.groupBy("client", "bucket").agg(
-        F.min(F.unix_micros("ts")).alias("first_us"), F.max(F.unix_micros("ts")).alias("last_us")
-    )
-    ordered = Window.partitionBy("client").orderBy("bucket")
-    opens = F.coalesce(
-        (F.col("first_us") - F.lag("last_us").over(ordered) >= ttl_us).cast("int"), F.lit(1)
-    )
-    spans = buckets.withColumn("opens", opens).select(
-        "client", "bucket", F.sum("opens").over(ordered).alias("span")
-    )
-    return stamped.join(spans, ["client", "bucket"]).drop("bucket")
-
-
-def options_key(limit: Column, path_glob: Column, languages: Column) -> Column:
-    """Search options as one text: equal for the same limit, path and set of languages in any order."""
-    listed = F.array_join(F.array_sort(F.coalesce(languages, F.array().cast("array<string>"))), ",")
-    return F.to_json(F.struct(limit.alias("limit"), path_glob.alias("path"), listed.alias("languages")))
-
-
-def reuse_similar_queries(
-    queries: DataFrame,
-    threshold: float = REUSE_SIMILARITY,
-    ttl_seconds: float = REUSE_TTL_SECONDS,
-    max_entries: int = REUSE_ENTRIES,
-) -> DataFrame:
-    """Which earlier query answers each query: query_id, reused_from (null = answered afresh), similarity.
-
-    Queries: query_id, client, options, ts, embedding. In time order, a query takes the first stored
-    entry of its client with equal options, cosine at least ``threshold`` and age under the TTL; the
-    hit renews the entry. Only misses are stored, the oldest entry leaving when the store is full.
-    Rows stream through sorted partitions with a store of ``max_entries`` vectors, and a client's
-    history is cut wherever it paused for a TTL, so nothing is held whole.
-    """
-    ttl_us = int(ttl_seconds * 1_000_000)
-    id_type = queries.schema["query_id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("query_id", id_type),
-            T.StructField("reused_from", id_type),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-    spans = (
-        _quiet_spans(queries, ttl_us)
-        .select(
-            "client",
-            "span",
-            F.unix_micros("ts").alias("at"),
-            "query_id",
-            "options",
-            F.col("embedding").cast("array<double>").alias("embedding"),
-        )
-        .repartition("client", "span")
-        .sortWithinPartitions("client", "span", "at", "query_id")
-    )
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, store = None, QueryStore(threshold, ttl_us, max_entries)
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if (row.client, row.span) != group:
-                    group, store = (row.client, row.span), QueryStore(threshold, ttl_us, max_entries)
-                source, similarity = store.ask(row.query_id, row.options, row.at, np.asarray(row.embedding))
-                out.append((row.query_id, source, similarity))
-            result = pd.DataFrame(out, columns=["query_id", "reused_from", "similarity"])
-            result["reused_from"] = result["reused_from"].astype("object")
-            yield result
-
-    return spans.mapInPandas(run, schema)
-
-
-class QueryStore:
-    """The stored queries of one client, used by the batch and the streaming form."""
-
-    def __init__(self, threshold: float, ttl_us: int, max_entries: int, entries: list | None = None):
-        self.threshold, self.ttl_us, self.max_entries = threshold, ttl_us, max_entries
-        self.entries = entries or []  # [query_id, options, last use, unit vector], oldest first
-
-    def ask(self, query_id, options, at: int, vector: np.ndarray) -> tuple:
-        norm = float(np.sqrt((vector * vector).sum()))
-        unit = vector / norm if norm else vector
-        self.entries = [e for e in self.entries if at - e[2] < self.ttl_us]
-        for entry in self.entries:
-            if entry[1] != options or len(entry[3]) != len(unit):
-                continue
-            similarity = float(np.dot(entry[3], unit))
-            if similarity >= self.threshold:
-                entry[2] = at
-                return entry[0], similarity
-        self.entries = self.entries[max(0, len(self.entries) - self.max_entries + 1) :]
-        self.entries.append([query_id, options, at, unit])
-        return None, None

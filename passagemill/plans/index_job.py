@@ -82,9 +82,9 @@ class CorpusIndex:
 
     def staleness(self) -> DataFrame:
         if not self.store.exists():
-            return self.spark.createDataFrame([(True, "Index does not exist")], "stale boolean, reason string")
+            return self.spark.createDataFrame([(True, "nothing is indexed yet")], "stale boolean, reason string")
         if not self.store.has_files():
-            return self.spark.createDataFrame([(True, "No file metadata stored")], "stale boolean, reason string")
+            return self.spark.createDataFrame([(True, "the index has no file times")], "stale boolean, reason string")
         return changes.staleness(self.changes())
 
     # ------------------------------------------------------------- state
@@ -297,7 +297,7 @@ class CorpusIndex:
     ) -> DataFrame:
         """Chunks like a piece of text, or like a file or a line range of it."""
         if code is None and filepath is None:
-            raise ValueError("Either code or filepath must be provided")
+            raise ValueError("give a text or a file")
         if code is None:
             lines = lines_of(F.col("content"))
             last = F.size(lines) if end_line is None else F.lit(end_line)
@@ -306,7 +306,7 @@ class CorpusIndex:
         else:
             source = code
         if not source.strip():
-            raise ValueError("Source code is empty")
+            raise ValueError("the text to compare with is blank")
         # a whole file is no chunk: only a given line range can be left out as itself
         place = None if code is not None else (filepath, start_line or 0, end_line or 0)
         vector = self._vector(source)
@@ -319,8 +319,8 @@ class CorpusIndex:
         vector = None if query is None else self._vector(query)
         return search_by_concept(self.store.load_chunks(), assigned, concept, vector, limit, stored)
 
-    def summary(self, k: int | None = None, exact_rows: int = clustering.BLOCK_ROWS) -> DataFrame:
-        """Totals, languages, concepts, keywords and quality; exact quality up to ``exact_rows`` chunks."""
+    def summary(self, k: int | None = None) -> DataFrame:
+        """Totals, languages, concepts, keywords and quality."""
         assigned, _ = self.concepts(k=k)
         chunks = self.store.load_chunks()
-        return corpus_summary(chunks, chunks.join(assigned, "id"), self.store.count_rows() <= exact_rows)
+        return corpus_summary(chunks, chunks.join(assigned, "id"))

@@ -23,7 +23,7 @@ def definition_of(spark: SparkSession, root: str, name_path: str, path: str) ->
     """The first symbol of a file or folder that matches; an error if there is none. One row."""
     found = stage(symbols.first_symbol(symbols_of(spark, root, path), name_path), "definition")
     if found.isEmpty():
-        raise ValueError(f"Symbol not found: {name_path} in {path}")
+        raise ValueError(f"{path} defines no {name_path}")
     return found
 
 

@@ -9,11 +9,11 @@ from passagemill.operators import clustering
 from passagemill.operators.changes import language_stats
 
 
-def corpus_summary(chunks: DataFrame, members: DataFrame, exact_quality: bool = True) -> DataFrame:
+def corpus_summary(chunks: DataFrame, members: DataFrame) -> DataFrame:
     """One row per fact: fact, item, value, text.
 
     members: cluster_id, id, filepath, content, embedding of the clustered passages. The parts are
-    independent aggregations; the exact silhouette is the only quadratic one and can be replaced.
+    independent aggregations, all linear in their input.
     """
     languages = language_stats(chunks)
     value = lambda c: F.col(c).cast("double")
@@ -28,11 +28,7 @@ def corpus_summary(chunks: DataFrame, members: DataFrame, exact_quality: bool =
     labels = clustering.cluster_labels(members.drop("embedding"))
     keywords = clustering.cluster_keywords(members.drop("embedding"))
     vectors, assigned = members.select("id", "embedding"), members.select("id", "cluster_id")
-    if exact_quality:
-        quality = clustering.silhouette(vectors, assigned)
-    else:
-        score = clustering.silhouette_fast(vectors, assigned)
-        quality = members.sparkSession.createDataFrame([(score,)], "silhouette double")
+    quality = clustering.silhouette(vectors, assigned)
     cluster_name = F.col("cluster_id").cast("string")
     parts = [
         fact(totals, "total", F.lit("files"), value("files")),

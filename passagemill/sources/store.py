@@ -103,14 +103,15 @@ def read_many_json(spark: SparkSession, pattern: str, schema: T.StructType, mult
         return spark.createDataFrame([], schema).withColumn("source", F.lit(None).cast("string"))
 
 
-def nearest(store: ChunkStore, query_vec, k: int) -> DataFrame:
+def nearest(store: ChunkStore, query_vec, k: int, keep=None) -> DataFrame:
     """``search.knn`` over a store, reading the wide columns of the k chosen rows only.
 
-    The first pass scans ids and vectors. The second reads at most k buckets, chosen by partition
+    The first pass scans ids and vectors, and the paths and languages that ``keep`` filters by. The second reads at most k buckets, chosen by partition
     pruning, and picks the rows by id.
     """
-    narrow = store.bucketed().select("id", "bucket", "embedding")
-    head = bounded_rows(knn(narrow, query_vec, k).select("id", "distance", "bucket"), k, "nearest rows")
+    columns = ["id", "bucket", "embedding", *(["filepath", "language"] if keep else [])]
+    narrow = store.bucketed().select(*columns)
+    head = bounded_rows(knn(narrow, query_vec, k, keep).select("id", "distance", "bucket"), k, "nearest rows")
     chosen = store.spark.createDataFrame([(r["id"], r["distance"]) for r in head], "id string, distance double")
     wide = store.bucketed().filter(
         F.col("bucket").isin(sorted({r["bucket"] for r in head})) & F.col("id").isin([r["id"] for r in head])

@@ -1,17 +1,11 @@
-"""Time-limited reuse over streams: duplicate requests, sessions, similar queries."""
+"""Time-limited state over streams: duplicate requests, sessions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from passagemill.operators.search import REUSE_ENTRIES, REUSE_SIMILARITY, REUSE_TTL_SECONDS, QueryStore
 
 
 def first_requests(events: DataFrame, keys: Sequence[str], ttl: str) -> DataFrame:
@@ -25,73 +19,3 @@ def sessions(events: DataFrame, key: str, ttl: str, late: str = "1 hour") -> Dat
     return grouped.agg(F.count(F.lit(1)).alias("count")).select(
         key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "count"
     )
-
-
-def reuse_similar_queries(
-    queries: DataFrame,
-    threshold: float = REUSE_SIMILARITY,
-    ttl_seconds: float = REUSE_TTL_SECONDS,
-    max_entries: int = REUSE_ENTRIES,
-    late: str = "1 minute",
-) -> DataFrame:
-    """Streaming form of ``search.reuse_similar_queries``: one bounded store per client as state.
-
-    Rows of a client are put in time order within a micro-batch; a client's state times out a TTL
-    after the watermark passed its last query.
-    """
-    ttl_us = int(ttl_seconds * 1_000_000)
-    id_type = queries.schema["query_id"].dataType
-    output = T.StructType(
-        [
-            T.StructField("query_id", id_type),
-            T.StructField("reused_from", id_type),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-    state_type = T.StructType(
-        [
-            T.StructField("ids", T.ArrayType(id_type)),
-            T.StructField("options", T.ArrayType(T.StringType())),
-            T.StructField("used", T.ArrayType(T.LongType())),
-            T.StructField("vectors", T.ArrayType(T.ArrayType(T.DoubleType()))),
-        ]
-    )
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        entries = []
-        if state.exists:
-            entries = [[i, o, u, np.asarray(v)] for i, o, u, v in zip(*state.get)]
-        store = QueryStore(threshold, ttl_us, max_entries, entries)
-        rows = pd.concat([f for f in frames if len(f)]).sort_values(["at", "query_id"])
-        out, newest = [], 0
-        for row in rows.itertuples(index=False):
-            source, similarity = store.ask(row.query_id, row.options, row.at, np.asarray(row.embedding))
-            out.append((row.query_id, source, similarity))
-            newest = max(newest, row.at)
-        kept = store.entries
-        state.update(
-            (
-                [e[0] for e in kept],
-                [e[1] for e in kept],
-                [int(e[2]) for e in kept],
-                [[float(x) for x in e[3]] for e in kept],
-            )
-        )
-        state.setTimeoutTimestamp(max((newest + ttl_us) // 1000, state.getCurrentWatermarkMs() + 1))
-        result = pd.DataFrame(out, columns=["query_id", "reused_from", "similarity"])
-        yield result.astype({"reused_from": "object", "similarity": "float64"})
-
-    timed = queries.withWatermark("ts", late).select(
-        "client",
-        F.unix_micros("ts").alias("at"),
-        "query_id",
-        "options",
-        F.col("embedding").cast("array<double>").alias("embedding"),
-        "ts",
-    )
-    return timed.groupBy("client").applyInPandasWithState(
-        run, output, state_type, "append", GroupStateTimeout.EventTimeTimeout
-    )

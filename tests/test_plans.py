@@ -56,7 +56,7 @@ def test_nearest_rows_is_a_scan_with_a_top_k(stored):
 
 
 def test_prefilter_reaches_the_scan(stored):
-    found = search.hybrid_search(stored[1], "x", [0.0] * 64, languages=["en"], path_glob="src1/**", prefilter=True)
+    found = search.hybrid_search(stored[1], "x", [0.0] * 64, languages=["en"], path_glob="src1/**")
     assert "rlike" in plan(found).split("ArrowEvalPython")[1].lower()
 
 

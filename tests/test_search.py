@@ -126,57 +126,6 @@ def test_concept_without_query_gives_representatives(spark):
     assert [r["id"] for r in near] == ["1"]
 
 
-# ------------------------------------------------------------------ reuse
-
-
-def brute_reuse(rows, threshold, ttl, most):
-    """Plain loop over (query_id, client, options, at, vector) in time order."""
-    stores, out = {}, {}
-    for qid, client, options, at, v in sorted(rows, key=lambda r: (r[3], r[0])):
-        store = [e for e in stores.get(client, []) if at - e["at"] < ttl]
-        hit = None
-        for e in store:
-            cos = float(np.dot(e["v"], v) / (np.linalg.norm(e["v"]) * np.linalg.norm(v)))
-            if e["options"] == options and cos >= threshold:
-                hit = e
-                break
-        if hit:
-            hit["at"] = at
-        else:
-            while len(store) >= most:
-                store.pop(0)
-            store.append({"id": qid, "options": options, "at": at, "v": v})
-        stores[client] = store
-        out[qid] = hit["id"] if hit else None
-    return out
-
-
-@pytest.mark.parametrize("ttl,most", [(300, 50), (60, 3), (5000, 2)])
-def test_query_reuse_equals_a_plain_loop(spark, ttl, most):
-    rng = random.Random(ttl)
-    rows, at = [], 0
-    for q in range(600):
-        at += rng.choice([1, 5, 30, 59, 60, 61, 299, 300, 301]) if rng.random() < 0.5 else rng.randint(0, 20)
-        client = 1 if rng.random() < 0.4 else rng.randint(2, 5)
-        vector = [rng.choice([0.0, 1.0]), 1.0, rng.choice([0.0, 0.05, 2.0])]
-        rows.append((q, client, rng.choice(["a", "b"]), at, vector))
-    df = spark.createDataFrame(rows, "query_id long, client long, options string, sec long, embedding array<double>")
-    df = df.withColumn("ts", F.timestamp_seconds("sec"))
-    got = {r["query_id"]: r["reused_from"] for r in search.reuse_similar_queries(df, 0.92, ttl, most).collect()}
-    got = {k: None if v is None else int(v) for k, v in got.items()}
-    assert got == brute_reuse([(q, c, o, s, np.array(v)) for q, c, o, s, v in rows], 0.92, ttl, most)
-
-
-def test_reuse_options_and_closeness(spark):
-    rows = [(1, 1, "10", 0, [0.1] * 128), (2, 1, "10", 9, [0.101] * 128), (3, 1, "5", 10, [0.1] * 128)]
-    df = spark.createDataFrame(rows, "query_id long, client long, options string, sec long, embedding array<double>")
-    got = search.reuse_similar_queries(df.withColumn("ts", F.timestamp_seconds("sec"))).orderBy("query_id").collect()
-    assert [r["reused_from"] for r in got] == [None, 1, None]
-
-
-# ------------------------------------------------------------------ embedding
-
-
 def test_embedder_rejects_wrong_shape(spark):
     class Broken(HashEmbedder):
         def __call__(self, texts):
@@ -199,3 +148,24 @@ def test_stored_width_is_checked(spark):
     record = spark.createDataFrame([("hash", "m", 2)], "embedding_backend string, embedding_model string, embedding_dimensions int")
     assert check_dimensions(df, record, "hash", "m", 2).first()["mismatch"]
     assert not check_dimensions(df.filter("id = 'a'"), record, "hash", "m", 2).first()["mismatch"]
+
+
+def test_limits_are_not_capped_and_filters_come_first(spark):
+    rows = [(f"{i:03d}", f"f{i}", "t", "de" if i >= 198 else "en", [0.0, i]) for i in range(200)]
+    table = chunks(spark, rows)
+    assert search.hybrid_search(table, "x", [0, 0], limit=120).count() == 120
+    assert search.search_similar(table, [0, 0], text="q", limit=150).count() == 150
+    assert {r["id"] for r in search.hybrid_search(table, "x", [0, 0], limit=2, languages=["de"]).collect()} == {"198", "199"}
+    assigned = spark.createDataFrame([(r[0], int(r[3] == "de")) for r in rows], "id string, cluster_id int")
+    assert search.search_by_concept(table, assigned, 1, [0, 0], limit=5).count() == 2
+
+
+def test_a_batch_of_copies_gives_few_pairs(spark):
+    from passagemill.functions.vectors import distinct_rows
+
+    x, ids = np.repeat([[1.0, 0.0], [0.0, 2.0]], 10_000, axis=0), np.arange(20_000)[::-1]
+    kept = distinct_rows(x, ids, 20)
+    assert len(kept) == 40 and sorted(ids[kept]) == [*range(20), *range(10_000, 10_020)]
+    best = search._TopK(np.zeros((2_000, 2)), 20)
+    best.add(ids, x)
+    assert len(best.ids) == 40_000 and set(best.ids.tolist()) == set(range(10_000, 10_020))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from passagemill.operators import usage
 from passagemill.operators.chunking import chunk_by_lines
-from passagemill.operators.search import reuse_similar_queries as batch_reuse
 from passagemill.session import new_work_path
 from passagemill.streaming import reuse, sinks
 from passagemill.streaming import usage as running
@@ -78,17 +77,6 @@ def stream_of(spark, tmp_path, frames, files_per_batch=1):
     return sinks.read_stream(spark, str(path), files_per_batch)
 
 
-def test_streamed_reuse_equals_batch_over_many_micro_batches(spark, tmp_path):
-    rows = [(i, i % 3, "ab"[i % 2], 10**6 + i * 40, [1.0, float(i % 5)]) for i in range(120)]
-    schema = "query_id long, client long, options string, sec long, embedding array<double>"
-    frames = [spark.createDataFrame(rows[i : i + 40], schema).withColumn("ts", F.timestamp_seconds("sec")) for i in (0, 40, 80)]
-    whole = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("sec"))
-    want = {r["query_id"]: r["reused_from"] for r in batch_reuse(whole, 0.95, 400, 3).collect()}
-    streamed = sinks.drain(reuse.reuse_similar_queries(stream_of(spark, tmp_path, frames), 0.95, 400, 3))
-    got = {r["query_id"]: r["reused_from"] for r in streamed.collect()}
-    assert got == want and any(v is not None for v in got.values())
-
-
 def test_late_rows_are_dropped_and_windows_closed(spark, tmp_path):
     day = 86400
     schema = "sec long, type string, chars_returned long"
