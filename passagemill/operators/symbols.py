@@ -231,19 +231,47 @@ def first_symbol_per_file(symbols: DataFrame, pattern: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- references
 
-IDENTIFIER = r"\b[A-Za-z_][A-Za-z0-9_]*\b"
-# Up to this many names are searched as one alternation instead of scanning every identifier.
+# A run of word characters. A name is found through the first run in it, whatever other names are asked for:
+# it must stand there, and where it begins or ends with a word character no further one may adjoin.
+RUN = r"[A-Za-z0-9_]+"
+# Up to this many runs are searched as one alternation instead of looking up every run of a text.
 ALTERNATION = 50
 _TOKENS = "filepath string, line int, column int, name string, snippet string"
+_RUNS = "filepath string, line int, column int, name string, snippet string, place int"
+
+
+def _starts_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and text[at] in _WORD_CHARACTERS
+
+
+_WORD_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+
+
+def _stands_at(text: str, name: str, at: int) -> bool:
+    end = at + len(name)
+    return (
+        at >= 0
+        and text.startswith(name, at)
+        and _starts_word(text, at - 1) != _starts_word(text, at)
+        and _starts_word(text, end - 1) != _starts_word(text, end)
+    )
 
 
 def _token_rows(names: frozenset | None):
-    """Arrow task: identifier occurrences of whole texts, with the line before and after."""
-    if names is not None and len(names) <= ALTERNATION:
-        longest_first = sorted(names, key=lambda n: (-len(n), n))
-        word = re.compile(r"\b(?:" + "|".join(re.escape(n) for n in longest_first) + r")\b", re.ASCII)
+    """Arrow task: occurrences of ``names`` (or all runs) in whole texts, with the line before and after.
+
+    For all runs the offset of the run in its snippet is added.
+    """
+    by_run: dict[str, list[tuple[int, str]]] = {}
+    for name in sorted(names or ()):
+        run = re.search(RUN, name, re.ASCII)
+        if run and "\n" not in name:
+            by_run.setdefault(run.group(), []).append((run.start(), name))
+    if names is not None and len(by_run) <= ALTERNATION:
+        some = "|".join(sorted(by_run)) or "(?!)"
+        word = re.compile(r"(?<![A-Za-z0-9_])(?:" + some + r")(?![A-Za-z0-9_])", re.ASCII)
     else:
-        word = re.compile(IDENTIFIER, re.ASCII)
+        word = re.compile(RUN, re.ASCII)
 
     def rows_of(path: str, text: str) -> Iterator[tuple]:
         first = word.search(text)
@@ -254,14 +282,21 @@ def _token_rows(names: frozenset | None):
             at += len(line) + 1
             ends.append(at)
         for m in word.finditer(text, first.start()):
-            if names is not None and m.group() not in names:
-                continue
-            i = bisect.bisect_left(ends, m.start())
-            begin = ends[i - 1] + 1 if i else 0
-            snippet = "\n".join(lines[max(0, i - 1) : i + 2])
-            yield path, i + 1, m.start() - begin, m.group(), snippet
-
-    return batched(rows_of, ["filepath", "content"], _TOKENS)
+            found = [(0, m.group())] if names is None else by_run.get(m.group(), ())
+            for offset, name in found:
+                start = m.start() - offset
+                if offset or name != m.group():
+                    if not _stands_at(text, name, start):
+                        continue
+                i = bisect.bisect_left(ends, start)
+                begin = ends[i - 1] + 1 if i else 0
+                snippet = "\n".join(lines[max(0, i - 1) : i + 2])
+                if names is None:
+                    yield path, i + 1, start - begin, name, snippet, start - begin + (len(lines[i - 1]) + 1 if i else 0)
+                else:
+                    yield path, i + 1, start - begin, name, snippet
+
+    return batched(rows_of, ["filepath", "content"], _RUNS if names is None else _TOKENS)
 
 
 def batched(rows_of, inputs: Sequence[str], ddl: str, size: int = 20_000):
@@ -298,22 +333,38 @@ def batched(rows_of, inputs: Sequence[str], ddl: str, size: int = 20_000):
 
 
 def find_occurrences(files: DataFrame, names: DataFrame, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
-    """Every identifier equal to one of ``names`` (column name): filepath, line, column, name, snippet.
+    """Every occurrence of one of ``names`` (column name): filepath, line, column, name, snippet.
 
-    A bounded set of names travels to the tasks and nothing is shuffled; a larger one is joined to
-    the occurrences by name.
+    Each name is searched on its own, so the rows of a name don't depend on how many are asked for; a name
+    without a word character, or over several lines, occurs nowhere. A bounded set of names travels to the
+    tasks and nothing is shuffled; a larger one is joined to the runs of word characters.
     """
     wanted = names.select("name").distinct()
     head = [r["name"] for r in wanted.limit(broadcast_names + 1).collect()]
     texts = files.select("filepath", "content")
     if len(head) <= broadcast_names:
         if len(head) == 0:
-            return texts.limit(0).mapInArrow(_token_rows(None), _TOKENS)
+            return texts.limit(0).mapInArrow(_token_rows(frozenset()), _TOKENS)
         if len(head) <= 3:
             texts = texts.filter(reduce(or_, [F.contains("content", F.lit(n)) for n in head]))
         return texts.mapInArrow(_token_rows(frozenset(head)), _TOKENS)
-    return texts.mapInArrow(_token_rows(None), _TOKENS).join(wanted, "name").select(
-        "filepath", "line", "column", "name", "snippet"
+    run = F.regexp_extract("name", RUN, 0)
+    keyed = wanted.where((run != "") & ~F.contains("name", F.lit("\n"))).select(
+        F.col("name").alias("wanted"), run.alias("name"), (F.instr("name", run) - 1).alias("offset")
+    )
+    found = texts.mapInArrow(_token_rows(None), _RUNS).join(keyed, "name")
+    start = F.col("place") - F.col("offset")
+    length = F.length("wanted")
+    is_word = lambda c: F.coalesce(F.rlike(c, F.lit("^[A-Za-z0-9_]$")), F.lit(False))
+    char = lambda at: F.when(at < 0, F.lit("")).otherwise(F.substring("snippet", at + 1, F.lit(1)))
+    stands = (
+        (F.col("column") >= F.col("offset"))
+        & (F.substring("snippet", start + 1, length) == F.col("wanted"))
+        & (is_word(char(start - 1)) != is_word(char(start)))
+        & (is_word(char(start + length - 1)) != is_word(char(start + length)))
+    )
+    return found.where(stands).select(
+        "filepath", "line", (F.col("column") - F.col("offset")).alias("column"), F.col("wanted").alias("name"), "snippet"
     )
 
 

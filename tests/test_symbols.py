@@ -175,3 +175,17 @@ def test_issues(spark):
     assert ids(issues.order_issues(table, "alpha-asc"))[0] == "i4"
     assert ids(issues.page(issues.order_issues(table), 2, 2)) == ["i5", "bug-3"]
     assert sorted(ids(issues.issue_view(table, "ready"))) == ["i1", "i4"]
+
+
+def test_a_name_is_found_alike_among_few_and_many(spark):
+    text = "a-b réel 3dx x\nab a-bc -a-b (réel)3dx b-a\n3dx"
+    files = spark.createDataFrame([("f", text)], "filepath string, content string")
+    asked = ["a-b", "réel", "3dx", "x"]
+    want = None
+    for others, bound in ((0, 100_000), (60, 100_000), (60, 10), (0, 1)):
+        names = spark.createDataFrame([(n,) for n in asked + [f"other{i}" for i in range(others)]], "name string")
+        got = sorted(tuple(r) for r in ops.find_occurrences(files, names, bound).collect())
+        want = want or got
+        assert got == want
+    places = {n: sorted((r[1], r[2]) for r in want if r[3] == n) for n in asked}
+    assert places == {"a-b": [(1, 0), (2, 9)], "réel": [(1, 4), (2, 14)], "3dx": [(1, 9), (2, 19), (3, 0)], "x": [(1, 13)]}
