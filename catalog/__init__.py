@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["chunks", "search", "index", "usage", "clusters", "symbols", "edits", "streams"]
+TOPICS = ["chunks", "search", "index", "usage", "clusters", "symbols", "edits", "streams", "runs"]
 
 
 def _merged(attribute: str) -> dict:
