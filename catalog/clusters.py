@@ -140,7 +140,7 @@ nearest AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY id ORDER B
 _MEMBERS = FILES + """,
 marks AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 members AS (SELECT label::BIGINT AS cluster_id, filepath, content, language, CASE quality WHEN 1 THEN 'class' WHEN 0 THEN 'function' END AS symbol_type
-  FROM files JOIN embeddings ON vec_id = doc_id LEFT JOIN marks USING (doc_id))"""
+  FROM files JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings) LEFT JOIN marks USING (doc_id))"""
 _STOP = "(" + ",".join(f"'{w}'" for w in clustering.STOP_WORDS) + ")"
 
 
@@ -176,7 +176,7 @@ SQL = {
     "corpus_summary": f"""WITH {CHUNKS}, {_MEMBERS[len(FILES) + 1:]}, {words_sql(False)},
         d AS (SELECT cluster_id, regexp_extract(filepath, '^(.*)/[^/]*$', 1) AS dir, count(*) AS n FROM members GROUP BY 1, 2),
         bd AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, dir) = 1),
-        {_PAIRS[len('WITH '):].replace('FROM embeddings)', 'FROM embeddings SEMI JOIN documents ON vec_id = doc_id)')}
+        {_PAIRS[len('WITH '):].replace('vec_id AS id', 'doc_id AS id').replace('FROM embeddings)', 'FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings))')}
         SELECT 'total' AS fact, 'files' AS item, CAST(count(DISTINCT filepath) AS DOUBLE) AS value, NULL AS text FROM chunks
         UNION ALL SELECT 'total', 'chunks', count(*), NULL FROM chunks
         UNION ALL SELECT 'language files', language, count(DISTINCT filepath), NULL FROM chunks GROUP BY language

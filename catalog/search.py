@@ -166,7 +166,7 @@ QUERIES = {
 }
 
 PASSAGES = FILES + """, passages AS (SELECT filepath AS id, doc_id, filepath, content, language, embedding::DOUBLE[] AS v, label
-  FROM files JOIN embeddings ON vec_id = doc_id),
+  FROM files JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
 start AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 near AS (SELECT p.*, round(list_sum(list_transform(list_zip(v, q), lambda z: (z[1]-z[2])*(z[1]-z[2]))), 12) AS distance FROM passages p, start)"""
 

@@ -40,9 +40,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents that have a vector: id, filepath, content, start_line, end_line, language, embedding."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return files(spark, sf_dir).join(vectors, "doc_id").select(
+    """All documents whole: id, filepath, content, start_line, end_line, language, embedding.
+
+    Document d has the vector d modulo the number of vectors, which are fewer.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    n = vectors.count()
+    return files(spark, sf_dir).join(vectors, F.pmod(F.col("doc_id"), F.lit(n)) == F.col("vec_id")).select(
         F.col("filepath").alias("id"),
         "doc_id",
         "filepath",
