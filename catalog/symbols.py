@@ -34,7 +34,7 @@ def overview_counts(spark, sf):
 
 
 def find_symbol_relative(spark, sf):
-    return _found(ops.find_symbol(roles.symbols(spark, sf), "NATION_3/Customer#000000003"))
+    return _found(ops.find_symbol(roles.symbols(spark, sf), "NATION_3/Customer#*"))
 
 
 def find_symbol_absolute(spark, sf):
@@ -222,7 +222,7 @@ SQL = {
     "symbols_overview": f"""WITH {TREE}, k AS (SELECT parent_path, count(*) AS c FROM tree WHERE parent_path IS NOT NULL GROUP BY 1)
         SELECT filepath, {_KINDS} AS kind_name, name, substr(name_path, 2) AS name_path, line || '-' || line AS lines, coalesce(c, 0) AS children FROM tree LEFT JOIN k ON k.parent_path = name_path WHERE depth <= 1""",
     "overview_counts": f"WITH {TREE} SELECT filepath, {_KINDS} AS kind_name, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY filepath) AS BIGINT) AS total_symbols FROM tree GROUP BY filepath, kind",
-    "find_symbol_relative": f"WITH {TREE} {_FOUND} ends_with(name_path, '/NATION_3/Customer#000000003')",
+    "find_symbol_relative": f"WITH {TREE} {_FOUND} name_path LIKE '%/NATION_3/Customer#%'",
     "find_symbol_absolute": f"WITH {TREE} {_FOUND} name_path = '/ASIA/NATION_2'",
     "find_symbol_prefix": f"WITH {TREE} {_FOUND} filepath = 'ASIA.tree' AND lower(name) LIKE 'supplier#%'",
     "find_symbol_by_kind": f"WITH {TREE} {_FOUND} kind IN (2, 5, 12)",

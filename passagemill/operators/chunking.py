@@ -232,6 +232,15 @@ OUTLINES = {
 }
 OUTLINES["javascript"] = OUTLINES["typescript"]
 
+# Extensions that name themselves as language but are cut like another one.
+CUT_LIKE = {"mts": "typescript", "cts": "typescript", "mjs": "javascript", "cjs": "javascript", "pyi": "python"}
+
+
+def outlined_as(language: Column) -> Column:
+    """The language whose outline cuts files of ``language``."""
+    table = F.create_map(*[F.lit(x) for pair in CUT_LIKE.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, language), language)
+
 
 def _first_match(line: Column, definitions: Sequence[Definition], value) -> Column:
     result = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -412,7 +421,7 @@ def collapse_preamble(units: DataFrame, preamble_types: Sequence[str] = ("import
 
 def chunk_method(extension: Column) -> Column:
     """structure for languages with an outline, lines for the rest."""
-    return F.when(language_of(extension).isin(*sorted(OUTLINES)), F.lit("structure")).otherwise(F.lit("lines"))
+    return F.when(outlined_as(language_of(extension)).isin(*sorted(OUTLINES)), F.lit("structure")).otherwise(F.lit("lines"))
 
 
 def chunk_files(
@@ -434,7 +443,7 @@ def chunk_files(
         structured = F.when(F.lit(False), _not_blank(_line_windows(lines, max_lines, overlap)))
         for language, outline in outlines.items():
             structured = structured.when(
-                F.col("language") == language, _structure_pieces(lines, outline, MAX_SECTION_LINES, MIN_SECTION_LINES)
+                outlined_as(F.col("language")) == language, _structure_pieces(lines, outline, MAX_SECTION_LINES, MIN_SECTION_LINES)
             )
 
         def choose(pieces: Column) -> Column:

@@ -27,6 +27,7 @@ from passagemill.operators.chunking import (
     _definition_type,
     _spans,
     _tags,
+    outlined_as,
 )
 
 SYMBOL_COLUMNS = [
@@ -135,7 +136,7 @@ def extract_symbols(files: DataFrame, outlines: dict[str, Outline] | Outline | N
             return _symbols_in(lines, outlines)
         found = None
         for language, outline in outlines.items():
-            test, value = F.col("language") == language, _symbols_in(lines, outline)
+            test, value = outlined_as(F.col("language")) == language, _symbols_in(lines, outline)
             found = F.when(test, value) if found is None else found.when(test, value)
         return found
 

@@ -45,6 +45,9 @@ DEFAULT_EXCLUDE = [
     "**/*.min.css",
 ]
 
+# Left out when a tree is searched for symbols.
+SYMBOL_EXCLUDE = ["node_modules/**", "dist/**", ".git/**"]
+
 
 def _decoded(uri: Column) -> Column:
     return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
@@ -122,8 +125,13 @@ def _by_extension(spark: SparkSession, root: str, extensions: Sequence[str], exc
 
 
 def scan_for_symbols(spark: SparkSession, root: str, path: str | None = None) -> DataFrame:
-    """Files with symbols: the whole tree, a folder or one file."""
-    found = _by_extension(spark, root, SYMBOL_EXTENSIONS, DEFAULT_EXCLUDE)
+    """Files with symbols: the whole tree, a folder or one file.
+
+    Three folders at the top of what is searched are left out, and whatever is hidden.
+    """
+    top = f"{path.rstrip('/')}/" if path else ""
+    exclude = [*(top + glob for glob in SYMBOL_EXCLUDE), "**/.*", "**/.*/**"]
+    found = _by_extension(spark, root, SYMBOL_EXTENSIONS, exclude)
     if path:
         below = F.startswith("filepath", F.lit(path.rstrip("/") + "/"))
         found = found.filter((F.col("filepath") == path) | below)

@@ -249,3 +249,12 @@ def test_questions_to_an_index(spark, root, tmp_path):
     assert {r["id"] for r in index.search_by_concept(0, "line").collect()} <= members
     facts = {(r["fact"], r["item"]): r["value"] for r in index.summary().collect()}
     assert facts["total", "files"] == 3 and facts["total", "chunks"] == index.store.count_rows()
+
+
+def test_symbols_are_searched_in_all_but_three_folders(spark, tmp_path):
+    for name in ("a.py", "build/b.py", "dist/c.py", "x/dist/d.py", "node_modules/e.py", ".h/f.py", "g.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    found = lambda *a: sorted(r["filepath"] for r in tree.scan_for_symbols(spark, str(tmp_path), *a).collect())
+    assert found() == ["a.py", "build/b.py", "x/dist/d.py"]
+    assert found("x") == [] and found("build") == ["build/b.py"]

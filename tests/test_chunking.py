@@ -116,3 +116,10 @@ def test_routing_and_stats(spark):
     stats = chunking_stats(per_file).first().asDict()
     assert (stats["structure_chunked"], stats["line_chunked"], stats["fallbacks"]) == (1, 2, 1)
     assert stats["fallback_percent"] == 33.3 and stats["fallback_names"] == "b.py"
+
+
+def test_module_extensions_are_cut_by_structure(spark):
+    rows = [("a.pyi", "pyi", "def one():\n    pass\n"), ("b.mjs", "mjs", "export function two() {\n}\n"), ("c.kt", "kotlin", "fun x() {}\n")]
+    files = spark.createDataFrame(rows, "filepath string, language string, content string")
+    method = {r["filepath"]: r["method"] for r in chunk_files(files).collect()}
+    assert method == {"a.pyi": "structure", "b.mjs": "structure", "c.kt": "lines"}
