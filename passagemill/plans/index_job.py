@@ -7,9 +7,10 @@ changed since, so only the missing stages are computed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from itertools import islice
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,13 @@ from passagemill.operators.chunking import DEFAULT_MAX_LINES, DEFAULT_OVERLAP, c
 from passagemill.operators.embedding import HashEmbedder, check_dimensions, embed
 from passagemill.operators.search import hybrid_search, search_by_concept, search_similar
 from passagemill.plans.summary import corpus_summary
-from passagemill.session import small, stage
+from passagemill.session import new_work_path, small, stage
 from passagemill.sources.files import DEFAULT_EXCLUDE, DEFAULT_INCLUDE, read_files, scan_corpus
 from passagemill.sources.store import CHUNK_SCHEMA, ChunkStore, nearest, read_json_record
 
 VERSION = "1"
 
-# Up to this many changed files are read by name instead of scanning the tree.
+# Changed files are read by name in slices of this many.
 NAMED_FILES = 10_000
 
 STAGE_SCHEMA = T.StructType(
@@ -177,7 +178,10 @@ class CorpusIndex:
         if changed.filter("change <> 'unchanged'").isEmpty():
             return IndexResult(0, self.store.count_rows(), True)
         times = self.files(with_content=False).select("filepath", "mtime")
-        fresh = stage(self._chunk(self._changed_files(changed)), "fresh")
+        fresh_path = new_work_path(self.spark, "fresh")
+        for texts in self._changed_files(changed):
+            self._chunk(texts).write.mode("append").parquet(fresh_path)
+        fresh = self.spark.read.parquet(fresh_path)
         outdated = changed.filter(F.col("change").isin("modified", "deleted"))
         self.store.replace_files(outdated, self._embed(fresh))
         self.store.write_files(times)
@@ -185,15 +189,19 @@ class CorpusIndex:
         n = changed.filter(F.col("change").isin("added", "modified")).count()
         return IndexResult(n, created, True)
 
-    def _changed_files(self, changed: DataFrame) -> DataFrame:
-        """Texts of new and newer files. A bounded number is read by name, more by scanning the tree."""
-        head = changed.filter(F.col("change").isin("added", "modified")).select("filepath").limit(NAMED_FILES + 1).collect()
-        if 0 < len(head) <= NAMED_FILES:
+    def _changed_files(self, changed: DataFrame) -> Iterator[DataFrame]:
+        """Texts of new and newer files, read by name in slices of ``NAMED_FILES``; at least one, perhaps empty, frame."""
+        names = (r["filepath"] for r in changed.filter(F.col("change").isin("added", "modified")).select("filepath").toLocalIterator())
+        some = list(islice(names, NAMED_FILES))
+        if not some:
+            yield self.files().limit(0)
+        while some:
             try:
-                return read_files(self.spark, self.root, [r["filepath"] for r in head])
-            except AnalysisException:  # a file went away since the listing; the scan leaves it out
-                pass
-        return changes.to_process(self.files(), changed)
+                yield read_files(self.spark, self.root, some)
+            except AnalysisException:  # a file went away since the listing
+                there = [n for n in some if self.store._has(f"{self.root.rstrip('/')}/{n}")]
+                yield read_files(self.spark, self.root, there) if there else self.files().limit(0)
+            some = list(islice(names, NAMED_FILES))
 
     def _write_record(self, per_file: DataFrame) -> int:
         n = self.store.count_rows()

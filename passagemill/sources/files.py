@@ -61,13 +61,8 @@ def _relative(root: str) -> Column:
 
 
 def _tree(spark: SparkSession, root: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True)
-        .load(root)
-    )
+    """The files below ``root``. One that went away is left out; one that can't be read is an error, not a gap."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
 
 
 def _columns(tree: DataFrame, root: str, keep: Column, with_content: bool) -> DataFrame:
@@ -103,7 +98,7 @@ def read_files(spark: SparkSession, root: str, filepaths: Sequence[str]) -> Data
     """Only the named files below ``root``; the rest of the tree is not touched."""
     quoted = [re.sub(r"([*?\[\]{}\\])", r"\\\1", f"{root.rstrip('/')}/{p}") for p in filepaths]
     named = (
-        spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(quoted)
+        spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(quoted)
     )
     return _columns(named, root, F.lit(True), True)
 

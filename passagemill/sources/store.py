@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.operators.search import knn
-from passagemill.session import bounded_rows, small, stage
+from passagemill.session import bounded_rows, new_work_path, small, stage
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -178,17 +178,24 @@ class ChunkStore:
     def _placed(self, chunks: DataFrame, buckets: int) -> DataFrame:
         fitted = chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
         bucketed = fitted.withColumn("bucket", bucket_of(F.col("filepath"), buckets))
-        # a bucket may outgrow one task: AQE splits oversized partitions of this rebalance
-        return bucketed.hint("rebalance", "bucket")
+        # a bucket may outgrow one task: AQE splits oversized partitions of this rebalance;
+        # rows lie by id, so that a look-up by id skips most row groups
+        return bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id")
 
     def write_chunks(self, chunks: DataFrame) -> None:
-        """Replace the whole table. Without a given number of buckets the rows are counted first."""
+        """Replace the whole table. Without a given number of buckets the rows are staged and counted first."""
+        if not self.wanted_buckets:
+            staged = new_work_path(self.spark, "chunks")
+            chunks.write.parquet(staged)  # an embedder behind these rows is asked once
+            chunks = self.spark.read.schema(chunks.schema).parquet(staged)
         buckets = self.wanted_buckets or buckets_for(chunks.count())
         layout = self.spark.createDataFrame([(buckets,)], LAYOUT_SCHEMA)
         layout.coalesce(1).write.mode("overwrite").json(self.layout_path)
         self._placed(chunks, buckets).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             "bucket"
         ).parquet(self.chunks_path)
+        if not self.wanted_buckets:
+            self._delete(staged)
 
     def append_chunks(self, chunks: DataFrame) -> None:
         self._placed(chunks, self.buckets).write.mode("append").partitionBy("bucket").parquet(self.chunks_path)
@@ -196,25 +203,32 @@ class ChunkStore:
     def replace_files(self, filepaths: DataFrame, new_chunks: DataFrame) -> None:
         """Drop all chunks of ``filepaths`` and add ``new_chunks``, rewriting only their buckets.
 
-        The new content of those buckets is staged first: a table must not be overwritten while it
-        is being read.
+        The new chunks are staged first, so that an embedder behind them is asked once, and then the new
+        content of those buckets: a table must not be overwritten while it is being read. Both are deleted
+        in the end.
         """
         buckets = self.buckets
+        staged = new_work_path(self.spark, "chunks")
+        fitted = new_chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
+        fitted.write.parquet(f"{staged}/new")
+        new_chunks = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{staged}/new")
         place = bucket_of(F.col("filepath"), buckets).alias("bucket")
         gone = filepaths.select("filepath").distinct()
         touched = gone.unionByName(new_chunks.select("filepath")).select(place).distinct()
         hit = [r["bucket"] for r in bounded_rows(touched, buckets, "buckets")]
         if not hit:
+            self._delete(staged)
             return
         kept = self.bucketed().filter(F.col("bucket").isin(hit)).join(gone, "filepath", "left_anti").drop("bucket")
-        fitted = new_chunks.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA])
-        merged = stage(kept.select(*CHUNK_SCHEMA.names).unionByName(fitted), "chunks")
+        kept.select(*CHUNK_SCHEMA.names).unionByName(new_chunks.select(*CHUNK_SCHEMA.names)).write.parquet(f"{staged}/merged")
+        merged = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{staged}/merged")
         self._placed(merged, buckets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "bucket"
         ).parquet(self.chunks_path)
         left = {r["bucket"] for r in bounded_rows(merged.select(place).distinct(), buckets, "buckets")}
         for bucket in sorted(set(hit) - left):  # dynamic overwrite leaves a bucket alone that got no rows
             self._delete(f"{self.chunks_path}/bucket={bucket}")
+        self._delete(staged)
 
     def delete_by_key(self, filepaths: DataFrame) -> None:
         self.replace_files(filepaths, self.spark.createDataFrame([], CHUNK_SCHEMA))

@@ -258,3 +258,39 @@ def test_symbols_are_searched_in_all_but_three_folders(spark, tmp_path):
     found = lambda *a: sorted(r["filepath"] for r in tree.scan_for_symbols(spark, str(tmp_path), *a).collect())
     assert found() == ["a.py", "build/b.py", "x/dist/d.py"]
     assert found("x") == [] and found("build") == ["build/b.py"]
+
+
+def test_every_text_is_embedded_once(spark, tmp_path, monkeypatch):
+    from passagemill.operators.embedding import HashEmbedder, embed
+
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(HashEmbedder):
+        def __call__(self, texts):
+            calls.add(len(texts))
+            return super().__call__(texts)
+
+    monkeypatch.setattr("passagemill.session.work_dir", lambda spark: str(tmp_path / "work"))
+    rows = [(f"f{i}:1-1", f"f{i}", f"text {i}") for i in range(40)]
+    plain = spark.createDataFrame(rows, "id string, filepath string, content string").select(
+        "*", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit("en").alias("language"),
+        F.lit(None).cast("string").alias("symbol_type"), F.lit(None).cast("string").alias("symbol_name"),
+    )
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    store.write_chunks(embed(plain, "content", Counting()))
+    assert calls.value == 40 and store.count_rows() == 40
+    store.replace_files(plain.select("filepath").limit(5), embed(plain.limit(5), "content", Counting()))
+    assert calls.value == 45 and store.count_rows() == 40
+    assert not any((tmp_path / "work").iterdir())
+
+
+def test_changed_files_are_read_in_slices(spark, root, tmp_path, monkeypatch):
+    monkeypatch.setattr("passagemill.plans.index_job.NAMED_FILES", 2)
+    index = CorpusIndex(spark, str(root), str(tmp_path / "store"))
+    index.index()
+    for i in range(5):
+        (root / f"src/more{i}.py").write_text(f"def more{i}():\n    pass\n")
+    assert index.index().files_indexed == 5
+    full = CorpusIndex(spark, str(root), str(tmp_path / "full"))
+    full.index()
+    assert contents(index) == contents(full)
