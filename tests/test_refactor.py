@@ -23,7 +23,7 @@ def test_references_and_rename(spark, root):
     assert {r["filepath"]: r["replacements"] for r in dry.collect()} == {"main.py": 2, "pkg/a.py": 3}
     done = {r["filepath"]: r["content"] for r in refactor.rename_symbol(spark, root, "/size", "pkg/a.py", "length").collect()}
     assert done["main.py"] == "from pkg.a import length\nprint(length(), oversize)\n"
-    with pytest.raises(ValueError, match="Symbol not found"):
+    with pytest.raises(ValueError, match="defines no"):
         refactor.rename_symbol(spark, root, "nothing", "pkg/a.py", "x")
     with pytest.raises(ValueError, match="Invalid identifier"):
         refactor.rename_symbol(spark, root, "/size", "pkg/a.py", "not valid")
