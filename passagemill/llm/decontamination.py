@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Texts are lower-cased and cut into words at ASCII white space; shingles are runs of five words. For every
-benchmark item of n shingles, windows of n shingles are laid over the documents, at each place where a
-document shingle lines up with an equal one of the item: a window that shares none has similarity zero. Each
-window gets a 64-bit SimHash. Windows and items are joined on (n, block number, block bits), 21 blocks: two
+benchmark item of n shingles, windows of n shingles are laid over the documents, at every place where enough
+of the window's shingles are the item's, in any order, to reach the similarity: of each window by the first
+of those shingles, so a row of the document's places decides alone. Each window gets a 64-bit SimHash.
+Windows and items are joined on (n, block number, block bits), 21 blocks: two
 fingerprints within 20 bits agree on a block, so the join misses none of them. Each pair is then verified by
 the exact similarity of the two bags of shingles, each shingle weighted by how often it occurs:
 sum of minima / sum of maxima, at least 0.8.
@@ -107,9 +108,10 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return _once(shingled.select("item_id", "shingles", F.size("shingles").alias("n")), "fp", simhash(F.col("shingles")))
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n, start, window: each window once, with its shingle hashes."""
-    offsets = items.select(F.posexplode("shingles").alias("offset", "h"), "n").distinct()
+def windows(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, total, n, start, window: each window that can reach the similarity once, with its shingle hashes."""
+    bags = items.select(F.xxhash64("shingles").alias("bag"), "n", F.col("shingles").alias("item"), F.size(F.array_distinct("shingles")).alias("kinds")).distinct()
+    offsets = bags.select("bag", "n", F.explode(F.array_distinct("item")).alias("h"))
     total, longest = offsets.agg(F.count("*"), F.max("n")).first()
     reach = longest or 1
     few = total <= BROADCAST_SHINGLES
@@ -135,34 +137,58 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         ),
     )
     found = chunk.select("doc_id", "total", "low", F.explode(near).alias("at")).select("doc_id", "total", "low", "at.*")
-    lined = found.join(F.broadcast(offsets) if few else offsets, "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("total") - F.col("n"))).alias("start")
-    placed = lined.select("doc_id", "n", "low", "from", "around", start)
-    inside = F.slice("around", F.col("start") - F.col("low") - F.col("from") + 1, F.col("n")).alias("window")
-    return placed.select("doc_id", "n", "start", inside).groupBy("doc_id", "n", "start").agg(F.first("window").alias("window"))
+    near_by = F.broadcast if few else (lambda df: df)
+    lined = found.join(near_by(offsets), "h").join(near_by(bags.drop("n")), "bag")
+    at, size = F.col("pos") - F.col("low") - F.col("from"), F.least("n", "total")
+    enough = F.ceil(F.lit(least) * (F.col("size") + F.col("n")) / (1 + least) - 1e-9).cast("int")
+    sized = lined.withColumn("size", size).withColumn("at", at).withColumn("need", enough)
+    ahead = F.slice("around", F.col("at") + 1, F.col("size"))
+    sized = sized.where(F.size(F.array_intersect(ahead, F.col("item"))) + F.col("n") - F.col("kinds") >= F.col("need"))
+    held = F.filter(F.sequence(F.lit(0), F.size("around") - 1), lambda i: F.array_contains("item", F.get("around", i)))
+    placed = _once(sized, "held", held)  # where around this place the item's shingles are
+    before = F.coalesce(F.array_max(F.filter("held", lambda i: i < F.col("at"))), F.lit(-1))
+    last = F.get(F.filter("held", lambda i: i >= F.col("at")), F.col("need") - 1)  # none: too few
+    begin = F.col("low") + F.col("from")
+    low = begin + F.greatest(F.lit(0), before + 1, last - F.col("size") + 1)
+    high = F.least(F.col("pos"), F.col("total") - F.col("size"))
+    spans = placed.where(last.isNotNull()).withColumn("lowest", low).withColumn("highest", high).where("lowest <= highest")
+    starts = spans.withColumn("start", F.explode(F.sequence("lowest", "highest")))
+    inside = F.slice("around", F.col("start") - begin + 1, F.col("size")).alias("window")
+    return starts.select("doc_id", "total", "n", "start", inside).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, start: the best window of each document for each item it holds.
 
-    ``start`` is the window's first word (the lowest of equal ones). A document shorter than an item is
+    ``start`` is the window's first word; of equally similar windows one that lines up with the item (or would,
+    were it not cut at an end of the document) goes first, then the lowest. A document shorter than an item is
     compared as a whole. Null and empty texts, and texts and items of fewer than five words, match nothing;
     repeated documents or items give one row for each pair of ids; a null doc_id is an id like any other.
     """
     items = items_of(benchmark)
     masks = _masks(radius)
-    marked = _once(windows(docs, items), "fp", simhash(F.col("window")))
-    left = marked.select("doc_id", "n", "start", "window", "fp", _blocks("fp", masks))
+    marked = _once(windows(docs, items, least), "fp", simhash(F.col("window")))
+    left = marked.select("doc_id", "total", "n", "start", "window", "fp", _blocks("fp", masks))
     right = items.select("item_id", "n", F.col("shingles").alias("item"), F.col("fp").alias("item_fp"), _blocks("fp", masks))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     earlier = F.slice(F.array(*[F.lit(m).cast("bigint") for m in masks]), F.lit(1), F.col("block"))
     once = F.forall(earlier, lambda m: differ.bitwiseAND(m) != 0)  # a pair counts at its first equal block only
     pairs = left.join(right, ["n", "block", "bits"]).where((F.bit_count(differ) <= radius) & once)
-    scored = pairs.select("doc_id", "item_id", "start", similarity(F.col("window"), F.col("item")).alias("similarity")).where(F.col("similarity") >= least)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best")
+    scored = pairs.select("doc_id", "item_id", "total", "start", "window", "item", similarity(F.col("window"), F.col("item")).alias("similarity")).where(F.col("similarity") >= least)
+    best = F.max(F.struct("similarity", _lines_up().alias("lines_up"), (-F.col("start")).alias("start"))).alias("best")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).cast("long").alias("start"))
 
 
+def _lines_up() -> Column:
+    """Whether a shingle of ``window`` is at its place in ``item``, or beyond it at the document's first or last window."""
+    places = F.sequence(F.lit(0), F.size("window") - 1)
+    some = lambda part: F.exists(places, lambda k: F.array_contains(part(k), F.get("window", k)))
+    later = some(lambda k: F.slice("item", k + 1, F.size("item")))
+    sooner = some(lambda k: F.slice("item", F.lit(1), k + 1))
+    same = F.exists(places, lambda k: F.get("item", k) == F.get("window", k))
+    return same | ((F.col("start") == 0) & later) | ((F.col("start") == F.col("total") - F.size("window")) & sooner)
+
+
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, of documents that hold no item."""
     held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct()

@@ -51,6 +51,19 @@ def test_all_windows_of_planted_passages(spark):
     assert found == pytest.approx(plain(docs, items)) and len(found) >= 20
 
 
+def test_windows_that_line_up_nowhere_near_the_best_place(spark):
+    rng = random.Random(8)
+    item = [f"w{i}" for i in range(59)]
+    filler = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    swapped = item[30:] + item[:30]
+    docs = [(i, " ".join(filler(a) + swapped + filler(b))) for i, (a, b) in enumerate([(40, 50), (0, 50), (40, 0), (0, 0), (3, 2)])]
+    docs += [(10, " ".join(filler(20) + item[40:] + item[20:40] + item[:20] + filler(9))), (11, " ".join(filler(5) + item[9:] + filler(70) + item[:9]))]
+    items = [(1, " ".join(item)), (2, " ".join(filler(40)))]
+    got = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}
+    assert found == pytest.approx(plain(docs, items)) and set(found) >= {(i, 1) for i in range(5)}
+
+
 def test_long_documents_are_cut_with_overlap(spark, monkeypatch):
     docs, items = planted()
     args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
