@@ -58,3 +58,12 @@ def test_odd_rows(spark, shared):
     clean = {(r.doc_id, r.text, r.n_chars, r.spans) for r in pii.redact(docs).collect() if r.doc_id != 4}
     assert clean == {(1, None, None, "k"), (2, "", 0, "k"), (3, "[EMAIL] [EMAIL]", 15, "k"), (None, "[PHONE]", 7, "k")}
     assert pii.find(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_long_tokens_are_whole_candidates():
+    rng = random.Random(9)
+    for n in (19, 20, 128, 129, 300, 5000):
+        token = "A1b" + "".join(rng.choice("abcdefXYZ0123456789+/") for _ in range(n - 3))
+        found = [s for s in pii.loose_spans(f"key = {token}, and words") if s[0] == "secret"]
+        assert found == ([("secret", 6, 6 + n)] if n >= 20 else [])
+    assert not [s for s in pii.loose_spans("a" * 300_000 + " " + "1" * 300_000) if s[0] == "secret"]
