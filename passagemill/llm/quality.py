@@ -186,7 +186,7 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
 
     Trusted texts are the documents with a label of quality 1. A null text counts as empty (its end is its
     one symbol), a null language as a language of its own; repeated rows stay; ties with a limit are kept.
-    Without trusted documents the model is uniform and all are kept.
+    With ``low`` 0 there is no lower limit. Without trusted documents the model is uniform and all are kept.
     """
     trusted_ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     table = class_table(frequent_points(docs))
@@ -201,8 +201,10 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     joined = scored.join(small(own, own.count()), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     limit = lambda c: F.coalesce(F.col(f"{c}_cell"), F.lit(pooled[c] if pooled else None).cast("long"))
     ten = lambda c: F.pow(F.lit(10.0), c / _GRID)
-    keep = F.coalesce(F.col("cell").between(limit("low"), limit("high")), F.lit(True))
+    least = ten(limit("low")) if low > 0 else F.lit(0.0)  # the lowest quantile is no bound
+    within = F.col("cell").between(limit("low"), limit("high")) if low > 0 else F.col("cell") <= limit("high")
+    keep = F.coalesce(within, F.lit(True))
     return joined.select(
         "doc_id", "lang", "symbols", "log10_prob", ten(F.col("cell")).alias("perplexity"),
-        ten(limit("low")).alias("low"), ten(limit("high")).alias("high"), keep.alias("keep"),
+        least.alias("low"), ten(limit("high")).alias("high"), keep.alias("keep"),
     )

@@ -74,3 +74,11 @@ def test_odd_rows(spark, shared):
     assert len(got) == len(rows) and by[100].symbols == by[101].symbols == 1 and not by[102].keep and by[2].keep
     assert all(r.keep for r in quality.classify(docs, labels.limit(0)).collect())
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_no_lower_limit_at_zero(spark, shared):
+    text = "some plain words of a language"
+    docs = spark.createDataFrame([*((i, f"{text} {i} {text}", "en") for i in range(60)), (100, text, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    by = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert by[100].perplexity < min(by[i].perplexity for i in range(60)) and by[100].keep and by[100].low == 0
