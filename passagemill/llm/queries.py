@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, chat, ctw, decontamination, fingerprint, pii, quality, sharding, simhash, toxicity
+from passagemill.llm import bpe, chat, ctw, decontamination, fingerprint, orchard, packing, pii, quality, resampling, sharding, simhash, toxicity
 from passagemill.llm.common import spread, table
 
 
@@ -69,6 +69,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op3_kneser_ney_quality, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii, op8_context_tree_scores, op9_toxicity_chain, op10_decontamination)}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of 2,048 tokens."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed against the benchmark's words, a tenth of them drawn."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op13_orchard_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 16 clusters after three rounds."""
+    return orchard.cluster(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_prefix_fingerprints, op2_simhash_golay, op3_kneser_ney_quality, op4_byte_bpe, op5_permutation_sharding, op6_chat_formatting, op7_weak_pii, op8_context_tree_scores, op9_toxicity_chain, op10_decontamination, op11_best_fit_packing, op12_importance_resampling, op13_orchard_clustering)}
 
-SQL: dict[str, str] = {"op10_decontamination": decontamination.SQL}
+SQL: dict[str, str] = {"op10_decontamination": decontamination.SQL, "op12_importance_resampling": resampling.SQL, "op13_orchard_clustering": orchard.sql()}
