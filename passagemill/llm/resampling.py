@@ -22,7 +22,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import batches, shuffle_width, stage
@@ -114,8 +114,10 @@ def scored(docs: DataFrame, gain: np.ndarray, longest: int, seed: int) -> DataFr
 # Keys: score descending, doc_id ascending and null last, then n_features, then the row's number, so no two are equal.
 
 Key = tuple[int, int, int, int, int]
-_ORDER = (F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("row"))
-_KEY_COLUMNS = [(-F.col("score")).alias("k0"), F.col("doc_id").isNull().cast("long").alias("k1"), F.coalesce("doc_id", F.lit(0)).alias("k2"), F.col("n_features").alias("k3"), F.col("row").alias("k4")]
+
+
+def _key() -> list[Column]:
+    return [(-F.col("score")).alias("k0"), F.col("doc_id").isNull().cast("long").alias("k1"), F.coalesce("doc_id", F.lit(0)).alias("k2"), F.col("n_features").alias("k3"), F.col("row").alias("k4")]
 
 
 def before(keys: np.ndarray, key: Key) -> np.ndarray:
@@ -142,7 +144,7 @@ def _inside(keys: DataFrame, low: Key | None, high: Key | None) -> DataFrame:
     out = keys
     for bound, above in ((low, True), (high, False)):
         if bound is not None:
-            order = F.struct(*_KEY_COLUMNS)
+            order = F.struct(*_key())
             limit = F.struct(*[F.lit(v).cast("long").alias(f"k{i}") for i, v in enumerate(bound)])
             out = out.where((F.col("score") <= -bound[0]) & (order > limit) if above else (F.col("score") >= -bound[0]) & (order < limit))
     return out
@@ -183,7 +185,7 @@ def _sides(keys: DataFrame, pivot: Key | None) -> tuple[list[tuple[int, Key]], l
 
         yield from batches(rows(), schema)
 
-    found = keys.select(*_KEY_COLUMNS).mapInArrow(run, "side long, n long, k0 long, k1 long, k2 long, k3 long, k4 long").collect()  # one or two rows a block
+    found = keys.select(*_key()).mapInArrow(run, "side long, n long, k0 long, k1 long, k2 long, k3 long, k4 long").collect()  # one or two rows a block
     return tuple([(r.n, tuple(r)[2:]) for r in found if r.side == side] for side in (0, 1))
 
 
@@ -208,7 +210,7 @@ def cutoff(keys: DataFrame, place: int, few: int = FEW) -> Key | None:
             high, medians, left = pivot, less, n_less
         else:
             low, medians, left, place = pivot, more, sum(n for n, _ in more), place - n_less - 1
-    rest = _inside(keys, low, high).select(*_KEY_COLUMNS).collect()  # at most ``few``
+    rest = _inside(keys, low, high).select(*_key()).collect()  # at most ``few``
     return sorted(map(tuple, rest))[place - 1]
 
 
@@ -224,7 +226,8 @@ def ranked(keys: DataFrame, last: Key) -> DataFrame:
 
     chosen = _inside(keys, None, (*last[:4], last[4] + 1))
     slim = chosen.select("doc_id", "n_features", "weight", "score", "row")
-    order = slim.repartitionByRange(shuffle_width(keys.sparkSession), *_ORDER).sortWithinPartitions(*_ORDER)
+    in_order = (F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("row"))
+    order = slim.repartitionByRange(shuffle_width(keys.sparkSession), *in_order).sortWithinPartitions(*in_order)
     numbered = stage(order.mapInArrow(run, "doc_id long, n_features long, weight long, score long, row long, part int, nth long"), "winners")
     sizes = {r.part: r.n for r in numbered.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a range
     base, rows = 0, []
