@@ -14,8 +14,10 @@ those of each length, and the counts by task and length, summed in task order, s
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -23,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,15 +37,23 @@ CAPACITY = 2048
 CLOSE = 0
 #: Longest sequence that can be asked for: the histogram and the plan are driver-side tables of its size.
 MAX_CAPACITY = 1 << 16
-#: Entries of a worker's cache of words; a full cache is emptied.
-CACHED = 600_000
+#: Entries of a worker's caches of words and their parts.
+CACHED = 400_000
+
+
+#: Printable Latin-1: composed already, in lower case letter by letter.
+_LATIN = regex.compile("[!-~\u00a1-\u00ff]+")
+#: Byte-level vocabularies write a byte that is no printable Latin-1 as a letter from 256 on.
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not _LATIN.fullmatch(chr(b)) or b == 0xAD)}
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins what white space separates.
 
     Its rules drop white space before anything else is decided, so a text's ids are those of its words in
-    turn, and a word that was seen before is looked up. Strings of special tokens are ordinary text.
+    turn, and a word that was seen before is looked up. Strings of special tokens are ordinary text. Words of
+    printable Latin-1 are cut here, in lower case and by the file's pattern, and their parts go straight to the
+    merges; other words take the library's whole way.
     """
 
     def __init__(self, path: str):
@@ -51,20 +62,44 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers, one after the other."""
-        split = [text.split() for text in texts]  # on bytes: ASCII white space
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            words = new[at : at + 4096]
-            found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            self.known.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        self.merges = self.library.model
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        cuts = rules["pre_tokenizer"]["pretokenizers"]
+        lower = any(n["type"] == "Lowercase" for n in rules["normalizer"]["normalizers"])
+        if not lower or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["add_prefix_space"]:
+            raise ValueError(f"{path}: not a lower-case tokenizer of words")
+        self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
+        self.known, self.parts = _Known(self._word), _Known(self._part)
+
+    def _part(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [token.id for token in self.merges.tokenize(letters)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _LATIN.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, self.pattern.findall(text.lower())))
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers, one after the other."""
+        return b"".join(map(self.known.__getitem__, text.split()))  # on bytes: ASCII white space
+
+
+class _Known(dict):
+    """What was worked out before; a full cache is set aside, and what it held is taken over when it comes again."""
+
+    def __init__(self, work):
+        self.work, self.aside = work, {}
+
+    def __missing__(self, key):
+        if len(self) >= CACHED:
+            self.aside = dict(self)
+            self.clear()
+        made = self.aside.get(key)
+        made = self[key] = self.work(key) if made is None else made
+        return made
 
 
 @lru_cache(maxsize=2)
@@ -75,7 +110,7 @@ def load(path: str) -> WordTokenizer:
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-#: Texts tokenized at once.
+#: Texts whose pieces are held at once.
 _TEXTS = 64
 
 
@@ -96,10 +131,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
         for frame in frames:
             for at in range(0, frame.num_rows, _TEXTS):
                 some = frame.slice(at, _TEXTS)
-                texts = some.column(1).cast(pa.binary()).to_pylist()
                 rows: list[tuple] = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), tokenizer.encode_all(texts)):
-                    ids = memoryview(ids + close)
+                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary())):
+                    ids = memoryview(tokenizer.encode(text.as_py()) + close)
                     for piece, start in enumerate(range(0, len(ids), step)):
                         own = ids[start : start + step]
                         length = len(own) // 4
