@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,38 +11,60 @@ from pyspark.sql import functions as F
 WORK_DIR_SETTING = "spark.checkpoint.dir"
 
 
-_local_dirs: dict[str, str] = {}
-
-
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting
-    gets a folder of its own; on a cluster a machine-local folder would vanish with its machine.
+    The cluster names it in ``spark.checkpoint.dir``; without that setting only a local session works, in a
+    folder of its warehouse. No temporary folder of a machine is ever used.
     """
     configured = spark.conf.get(WORK_DIR_SETTING, None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {WORK_DIR_SETTING} to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="passagemill-")
-    return _local_dirs[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/passagemill-work"
 
 
 def new_work_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = new_work_path(spark, name)
+    path = path or new_work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the file system that Spark reaches ``path`` by."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Staged frames that nothing reads after a ``with`` block; their folders are deleted when it ends.
+
+    What the block hands on must be staged outside of it (``stage``) before the block ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_work_path(self.spark, name))
+        return stage(df, name, self.paths[-1])
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a frame that must be small; fail instead of flooding the driver."""
     rows = df.limit(limit + 1).collect()

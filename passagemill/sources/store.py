@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.operators.search import knn
-from passagemill.session import bounded_rows, new_work_path, small, stage
+from passagemill.session import bounded_rows, new_work_path, remove, small, stage
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -247,5 +247,4 @@ class ChunkStore:
         self._delete(self.path)
 
     def _delete(self, path: str) -> None:
-        hadoop = self._hadoop_path(path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove(self.spark, path)

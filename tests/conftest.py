@@ -9,11 +9,16 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    from pyspark import SparkConf, SparkContext
     from pyspark.sql import SparkSession
 
+    SparkContext._ensure_initialized()  # now SparkConf() sees what the environment presets
+    builder = SparkSession.builder
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session = (
-        SparkSession.builder.master("local[8]")
+        builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

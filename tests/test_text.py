@@ -122,7 +122,7 @@ class _Session:
     """Stands in for a session: a setting, a master and an application id."""
 
     def __init__(self, setting, master):
-        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+        self.conf = {"spark.sql.warehouse.dir": "file:/w"} | ({"spark.checkpoint.dir": setting} if setting else {})
         self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{setting}-{master}"})
 
 
@@ -130,12 +130,26 @@ def test_work_dir_comes_from_the_session():
     from passagemill.session import work_dir
 
     assert work_dir(_Session("hdfs://shared/x/", "yarn")) == "hdfs://shared/x"
-    local = _Session(None, "local[2]")
-    assert work_dir(local) == work_dir(local)
+    assert work_dir(_Session(None, "local[2]")) == "file:/w/passagemill-work"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(_Session(None, "spark://host:7077"))
 
 
+def test_scratch_tables_go_with_their_block(spark):
+    import os
+
+    from passagemill.session import Scratch, stage
+
+    with Scratch(spark) as own:
+        kept = stage(own.stage(spark.range(5), "numbers").where("id > 2"), "kept")
+        assert all(map(os.path.isdir, own.paths)) and len(own.paths) == 1
+    assert not any(map(os.path.exists, own.paths)) and [r.id for r in kept.collect()] == [3, 4]
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as own:
+        own.stage(spark.range(1), "numbers")
+        raise ZeroDivisionError
+    assert not any(map(os.path.exists, own.paths))
+
+
 def test_identifiers(spark):
     from passagemill.operators.edits import valid_identifier
 
