@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from passagemill.session import spread, stage
+from passagemill.session import Scratch, spread, stage
 
-__all__ = ["doc_texts", "grow", "groups_of", "rows_of", "shuffle_width", "spread", "stage", "table"]
+__all__ = ["Scratch", "doc_texts", "free_names", "grow", "groups_of", "mapped", "quoted", "rows_of", "shuffle_width", "spread", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,25 @@ def doc_texts(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *others)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"{'_' * k}{name}" for k in range(1, len(taken) + 2)) if n not in taken) for name in names]
+
+
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: Sequence[StructField] = ()) -> DataFrame:
+    """``df`` with all its columns, whatever they are called, through ``run``, which may append ``added`` ones."""
+    names = df.columns
+    usual = [n if n.replace("_", "a").isalnum() else free for n, free in zip(names, free_names(df, *[f"column{i}" for i in range(len(names))]))]
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(usual, df.schema.fields)] + list(added))
+    return df.toDF(*usual).mapInArrow(run, schema).toDF(*names, *[f.name for f in added])
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rounds: int = 200, write: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """node, root: for every node that has an edge the smallest node it reaches.
 
     Large stars and small stars by turns: every node hangs its larger, then its smaller neighbours on the
@@ -21,7 +23,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame
     and repeated edges are allowed; an empty table gives no rows. More than ``rounds`` rounds are an error.
     """
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
-    now = stage(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    now = write(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     mark = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
     before = now.agg(*mark).first()
     for _ in range(rounds):
@@ -29,7 +31,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 200) -> DataFrame
         large = both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         lowest = _lowest(large)
         moved = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = write(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = now.agg(*mark).first()
         if after == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

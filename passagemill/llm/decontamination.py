@@ -20,6 +20,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.llm.common import free_names
+
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 #: Shingles of a document that are worked on together; longer documents are cut, with overlap.
 CHUNK = 4096
@@ -109,13 +111,13 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, total, n, start, window: each window that can reach the similarity once, with its shingle hashes."""
+    """doc_id, n, start, window: each window that can reach the similarity once, with its shingle hashes."""
     bags = items.select(F.xxhash64("shingles").alias("bag"), "n", F.col("shingles").alias("item"), F.size(F.array_distinct("shingles")).alias("kinds")).distinct()
     offsets = bags.select("bag", "n", F.explode(F.array_distinct("item")).alias("h"))
     total, longest = offsets.agg(F.count("*"), F.max("n")).first()
     reach = longest or 1
     few = total <= BROADCAST_SHINGLES
-    words = _once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "words", word_hashes(F.col("text"))).select("doc_id", "words")
+    words = _once(docs.select("doc_id", "text"), "words", word_hashes(F.col("text"))).select("doc_id", "words")
     shingled = _once(words, "hs", shingle_hashes(F.col("words"))).where(F.size("hs") > 0).select("doc_id", "hs")
 
     def cut(base: Column) -> Column:
@@ -154,45 +156,46 @@ def windows(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> Dat
     spans = placed.where(last.isNotNull()).withColumn("lowest", low).withColumn("highest", high).where("lowest <= highest")
     starts = spans.withColumn("start", F.explode(F.sequence("lowest", "highest")))
     inside = F.slice("around", F.col("start") - begin + 1, F.col("size")).alias("window")
-    return starts.select("doc_id", "total", "n", "start", inside).distinct()
+    return starts.select("doc_id", "n", "start", inside).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, start: the best window of each document for each item it holds.
 
-    ``start`` is the window's first word; of equally similar windows one that lines up with the item (or would,
-    were it not cut at an end of the document) goes first, then the lowest. A document shorter than an item is
+    ``start`` is the window's first word, the lowest of equally similar windows. A document shorter than an item is
     compared as a whole. Null and empty texts, and texts and items of fewer than five words, match nothing;
     repeated documents or items give one row for each pair of ids; a null doc_id is an id like any other.
     """
+    return _held(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, least, radius)
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, least: float, radius: int) -> DataFrame:
+    """As ``contaminated``, with a doc_id of any type."""
     items = items_of(benchmark)
     masks = _masks(radius)
     marked = _once(windows(docs, items, least), "fp", simhash(F.col("window")))
-    left = marked.select("doc_id", "total", "n", "start", "window", "fp", _blocks("fp", masks))
+    left = marked.select("doc_id", "n", "start", "window", "fp", _blocks("fp", masks))
     right = items.select("item_id", "n", F.col("shingles").alias("item"), F.col("fp").alias("item_fp"), _blocks("fp", masks))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     earlier = F.slice(F.array(*[F.lit(m).cast("bigint") for m in masks]), F.lit(1), F.col("block"))
     once = F.forall(earlier, lambda m: differ.bitwiseAND(m) != 0)  # a pair counts at its first equal block only
     pairs = left.join(right, ["n", "block", "bits"]).where((F.bit_count(differ) <= radius) & once)
-    scored = pairs.select("doc_id", "item_id", "total", "start", "window", "item", similarity(F.col("window"), F.col("item")).alias("similarity")).where(F.col("similarity") >= least)
-    best = F.max(F.struct("similarity", _lines_up().alias("lines_up"), (-F.col("start")).alias("start"))).alias("best")
+    scored = pairs.select("doc_id", "item_id", "start", similarity(F.col("window"), F.col("item")).alias("similarity")).where(F.col("similarity") >= least)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).cast("long").alias("start"))
 
 
-def _lines_up() -> Column:
-    """Whether a shingle of ``window`` is at its place in ``item``, or beyond it at the document's first or last window."""
-    places = F.sequence(F.lit(0), F.size("window") - 1)
-    some = lambda part: F.exists(places, lambda k: F.array_contains(part(k), F.get("window", k)))
-    later = some(lambda k: F.slice("item", k + 1, F.size("item")))
-    sooner = some(lambda k: F.slice("item", F.lit(1), k + 1))
-    same = F.exists(places, lambda k: F.get("item", k) == F.get("window", k))
-    return same | ((F.col("start") == 0) & later) | ((F.col("start") == F.col("total") - F.size("window")) & sooner)
-
-
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of documents that hold no item."""
-    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("_held")), "left_anti")
+    """The rows of ``docs``, all columns, whose own text holds no item.
+
+    A row is judged by its text alone, so rows that share an id, or have none, are told apart; repeated rows go or
+    stay together. Null and empty texts stay. Columns may have any names.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))  # 128 bits
+    (mark,) = free_names(docs, "held")
+    held = _held(docs.select(digest.alias("doc_id"), "text"), benchmark, SIMILARITY, RADIUS).select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(held, digest == F.col(mark), "left_anti")
 
 
 SQL = """
@@ -208,8 +211,10 @@ WITH docs AS (
 ), its AS (
     SELECT item_id, len(w) - 4 AS n, i AS pos, array_to_string(w[i + 1 : i + 5], ' ') AS s
     FROM items, unnest(range(len(w) - 4)) AS x(i) WHERE len(w) >= 5
-), win AS (
-    SELECT DISTINCT doc_id, n, greatest(0, least(ds.pos - its.pos, total - n)) AS start FROM ds JOIN its USING (s)
+), met_at AS (
+    SELECT DISTINCT doc_id, n, total, ds.pos FROM ds JOIN its USING (s)
+), win AS (  -- every window that holds a shingle of an item
+    SELECT DISTINCT doc_id, n, start FROM met_at, unnest(range(greatest(0, least(pos - n + 1, total - n)), greatest(0, least(pos, total - n)) + 1)) AS x(start)
 ), win_bags AS (
     SELECT win.doc_id, n, start, s, count(*) AS c
     FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.pos >= start AND ds.pos < start + n

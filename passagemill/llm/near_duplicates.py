@@ -5,11 +5,15 @@ components. Texts with equal sets are one node. Candidates come from prefixes, w
 shingles of every text in one common order, two texts of that similarity share one of the first
 n - ceil(0.8 n) + 1 of each, and at the first shared one their places and sizes still allow the similarity.
 The order puts rare shingles first, by counts in ``CELLS`` cells (any order is right, the counts keep common
-lines out of the prefixes). Every candidate is verified by its sets.
+lines out of the prefixes). Prefix shingles are dealt out once, and those of one node alone end there.
 
-Of a prefix shingle's texts each is first compared with the first and the last one, which joins a large group
+What is left is bounded by sketches before any set is looked at: a node's sketch has a bit for each cell that
+an odd number of its shingles fall into, and two sketches never differ in more bits than the sets differ in
+shingles. Only nodes of pairs that pass have their sets worked out again, from their texts; of the pairs of
+one node its own set travels once to every thousand of them.
+
+Of a prefix shingle's nodes each is first compared with the first and the last one, which joins a large group
 of near copies by about as many pairs as it has members; then only pairs of different components are left.
-Texts that pass the places and sizes but belong to different components are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -19,24 +23,48 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from passagemill.llm.common import doc_texts, rows_of, stage
+from passagemill.llm.common import Scratch, doc_texts, free_names, mapped, quoted, stage
 from passagemill.llm.components import components
-from passagemill.llm.simhash import SEED, word_hashes
+from passagemill.llm.simhash import SEED
 
 SHINGLE = 5
 #: Similarity as a fraction.
 PART, WHOLE = 4, 5
-CELLS = 1 << 16
-_NODE, _ROW = "_dup_node", "_dup_row"
+#: Shingles are counted by their top bits; tasks send the counts in slices.
+CELL_BITS, SLICES = 18, 64
+#: Bits of a sketch, as powers of two.
+LEAST_SKETCH, MOST_SKETCH = 8, 16
+#: Pairs of one node that one copy of its set serves.
+PAIRS_PER_SET = 1024
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
 
+def _finished(values: np.ndarray) -> np.ndarray:
+    values = values ^ values >> np.uint64(32)
+    values = values * np.uint64(0xE7037ED1A0B428DB)
+    return values ^ values >> np.uint64(29)
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct shingles of a text in order; fewer words than a shingle: one of the whole sequence; none: nothing."""
-    return np.unique(word_hashes(text or "", SHINGLE))
+
+def shingle_set(text: str | bytes | None) -> np.ndarray:
+    """The distinct shingles of a text in order; fewer words than a shingle: one of the whole sequence; none: nothing.
+
+    A shingle is a 64-bit mix of the hashes of its words, A to Z in lower case, white space dropped.
+    """
+    raw = text.encode() if isinstance(text, str) else text or b""
+    words = raw.lower().split()  # on bytes, both touch ASCII only
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, [SEED] * len(words)), np.uint64, len(words))
+    n = len(words) - SHINGLE + 1
+    if n < 1:
+        return _finished((hashes * _MIX[: len(words)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(words))) if len(words) else hashes
+    mixed = hashes[:n] * _MIX[0]
+    for k in range(1, SHINGLE):
+        mixed += hashes[k : k + n] * _MIX[k]
+    return np.unique(_finished(mixed))
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -44,209 +72,278 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def similar(common, a, b):
-    """Whether sets of sizes ``a`` and ``b`` with ``common`` shingles in both are similar enough."""
+    """Whether sets of sizes ``a`` and ``b`` with ``common`` shingles in both are similar enough; of numbers or columns."""
     return common * (PART + WHOLE) >= PART * (a + b)
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with the node and a number of each row."""
+def sketch(shingles: np.ndarray) -> bytes:
+    """Of each of 2^k cells of the shingles' low bits whether it holds an odd number of them; k grows with the set."""
+    bits = min(max(LEAST_SKETCH, int(len(shingles)).bit_length()), MOST_SKETCH)
+    odd = np.bincount((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            texts = frame.column(frame.schema.get_field_index("text"))
-            nodes = np.array([node_of(shingle_set(t.as_py())) for t in texts], np.uint64)
-            yield frame.append_column(_NODE, pa.array(nodes.view(np.int64)))
 
-    schema = StructType([*docs.schema.fields, StructField(_NODE, LongType())])
-    return stage(docs.mapInArrow(run, schema).withColumn(_ROW, F.monotonically_increasing_id()), "marked")
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of sketches (one a row) how many bits differ, the larger ones folded to the size of the smaller ones."""
+    while x.shape[1] != y.shape[1]:
+        x, y = (x, y) if x.shape[1] > y.shape[1] else (y, x)
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def _texts(frame: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
+    for text in frame.column(frame.schema.get_field_index(name)).cast(pa.binary()):
+        yield text.as_py()
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles fall into each cell; tasks send a row for each cell."""
+    """How many shingles fall into each cell; a task sends ``SLICES`` rows."""
+    cells = 1 << CELL_BITS
+    width = cells // SLICES
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for (text,) in rows_of(frames):
-            total += np.bincount((shingle_set(text) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["cell", "n"])
-
-    got = doc_texts(docs).select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    def slices(total: np.ndarray) -> pa.RecordBatch:
+        used = [i for i in range(SLICES) if total[i * width : (i + 1) * width].any()]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in used], pa.binary())], names=["slice", "counts"])
+
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        held, size = [], 0
+        for frame in frames:
+            for text in _texts(frame, "text"):
+                held.append(shingle_set(text) >> np.uint64(64 - CELL_BITS))
+                size += len(held[-1])
+                if size >= cells:
+                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=cells)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=cells)
+        yield slices(total)
+
+    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for frame in frames:
+            for i, counts in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+                total[i * width : (i + 1) * width] += np.frombuffer(counts, np.int64)
+        yield slices(total)
+
+    schema = "slice int, counts binary"
+    summed = doc_texts(docs).select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema)
+    out = np.zeros(cells, np.int64)
+    for r in summed.collect():  # ``SLICES`` rows
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
-def _postings(marked: DataFrame, counts: np.ndarray) -> DataFrame:
-    """key, node, n, pos: the prefix of each node; a node may repeat, once a task."""
-    shared = marked.sparkSession.sparkContext.broadcast(counts)
+class _Names:
+    """Helper columns beside those of the documents, whatever these are called."""
+
+    def __init__(self, docs: DataFrame):
+        self.node, self.row, self.n, self.keys, self.sketch = free_names(docs, "node", "row", "n", "keys", "sketch")
+
+
+def _marked(docs: DataFrame, names: _Names) -> DataFrame:
+    """``docs`` with the node and a number of each row, and for the first row of a node in a task its size, prefix and sketch."""
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(docs))  # 2^CELL_BITS numbers
+    top = np.uint64(64 - CELL_BITS)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
+        seen: set[int] = set()
         for frame in frames:
-            out = [np.empty((4, 0), np.int64)]
-            for text, node in rows_of(iter([frame])):
-                if node in seen:
-                    continue
-                seen.add(node)
+            nodes, sizes, prefixes, sketches = [], [], [], []
+            for text in _texts(frame, "text"):
                 own = shingle_set(text)
-                n = len(own)
-                if n:
-                    first = own[np.lexsort((own, counts[(own % np.uint64(CELLS)).astype(np.int64)]))[: n + PART * -n // WHOLE + 1]]
-                    size = len(first)
-                    out.append(np.stack([first.view(np.int64), np.full(size, node), np.full(size, n), np.arange(size)]))
-            columns = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "node", "n", "pos"])
+                n, node = len(own), node_of(own)
+                nodes.append(node)
+                new = node not in seen
+                seen.add(node)
+                sizes.append(n if new else None)
+                sketches.append(sketch(own) if new else None)
+                rare_first = np.lexsort((own, counts.value[(own >> top).astype(np.int64)]))[: n + PART * -n // WHOLE + 1] if new else None
+                prefixes.append(own[rare_first].view(np.int64) if new else None)
+            for made in (pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())):
+                frame = frame.append_column(f"made{frame.num_columns}", made)
+            yield frame
 
-    return marked.select("text", _NODE).mapInArrow(run, "key long, node long, n long, pos long")
+    added = [StructField(names.node, LongType()), StructField(names.n, LongType()), StructField(names.keys, ArrayType(LongType())), StructField(names.sketch, BinaryType())]
+    return mapped(docs, run, added).withColumn(names.row, F.monotonically_increasing_id())
 
 
-def _buckets(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of rows sorted by their first column the groups of at least two, as tuples of columns."""
-    held: list[np.ndarray] | None = None
-    parts: list[list[np.ndarray]] = []
+def _shared(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and node those of keys that at least two nodes have, each node once; rows stream."""
+    held: pa.RecordBatch | None = None  # the last row that came, not yet given out
+    opened = False  # whether the row before it has its key
     for frame in frames:
         if not frame.num_rows:
             continue
-        columns = [c.to_numpy() for c in frame.columns]
-        starts = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
-        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), frame.num_rows]):
-            if parts and parts[0][0][0] == columns[0][start]:
-                parts.append([c[start:end] for c in columns])
-                continue
-            held = [np.concatenate(c) for c in zip(*parts)] if parts else None
-            if held is not None and len(held[0]) > 1:
-                yield tuple(held)
-            parts = [[c[start:end] for c in columns]]
-    held = [np.concatenate(c) for c in zip(*parts)] if parts else None
-    if held is not None and len(held[0]) > 1:
-        yield tuple(held)
+        rows = frame if held is None else pa.concat_batches([held, frame])
+        key, node = (rows.column(i).to_numpy() for i in (0, 1))
+        same_key = key[1:] == key[:-1]
+        first = np.concatenate([[True], ~(same_key & (node[1:] == node[:-1]))])
+        rows = rows.filter(pa.array(first))
+        key = key[first]
+        same_key = np.concatenate([[opened], key[1:] == key[:-1], [False]])
+        keep = same_key[:-1] | same_key[1:]
+        held, opened = rows.slice(rows.num_rows - 1), bool(same_key[-2])
+        yield rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1]))
+    if held is not None and opened:
+        yield held
 
 
-def _shared(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of keys that at least two nodes have, each node once."""
-    for key, node, n, pos in _buckets(frames):
-        _, first = np.unique(node, return_index=True)
-        if len(first) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(c[first]) for c in (key, node, n, pos)], names=["key", "node", "n", "pos"])
+def _possible(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
+    """Whether sizes and places allow the similarity of two nodes, this key being their first shared one."""
+    return similar(F.least(n - pos, n2 - pos2), n, n2)
 
 
-def _possible(n: np.ndarray, pos: np.ndarray, i: int, js) -> np.ndarray:
-    """Whether sizes and places allow the similarity of member ``i`` and ``js``, this key being their first shared one."""
-    return similar(np.minimum(n[i] - pos[i], n[js] - pos[js]), n[i], n[js])
-
-
-def _pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate(side) for side in zip(*out))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p)) for p in pairs], names=["a", "b"])
-
-
-def _stars(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of each member with the first and the last node of its key."""
-    out, size = [], 0
-    for _, node, n, pos in _buckets(frames):
-        for i in {int(node.argmin()), int(node.argmax())}:
-            near = np.flatnonzero(_possible(n, pos, i, slice(None)) & (node != node[i]))
-            if len(near):
-                out.append((np.repeat(node[i], len(near)), node[near]))
-                size += len(near)
-        if size > 1 << 18:
-            yield _pairs(out)
-            out, size = [], 0
-    if out:
-        yield _pairs(out)
+def _stars(shared: DataFrame) -> DataFrame:
+    """a, b: possible pairs of each member with the first and the last node of its key."""
+    ends = shared.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("low"), F.max(F.struct("node", "n", "pos")).alias("high"))
+    met = shared.join(ends, "key").select("node", "n", "pos", F.explode(F.array("low", "high")).alias("o"))
+    near = met.where((F.col("node") != F.col("o.node")) & _possible(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+    return near.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
 def _across(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of members of different components."""
-    out, size = [], 0
-    for _, node, n, pos, root in _buckets(frames):
-        if (root == root[0]).all():
-            continue
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            near = np.flatnonzero(_possible(n, pos, i, rest) & (root[rest] != root[i])) + i + 1
+    """Of rows sorted by key and n the possible pairs of members of different components."""
+    out: list[np.ndarray] = []
+    size = 0
+
+    def pairs() -> pa.RecordBatch:
+        a, b = np.concatenate(out, axis=1)
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p)) for p in both], names=["a", "b"])
+
+    for node, n, pos, root in _keys(frames):
+        upto = np.searchsorted(n, n * WHOLE // PART, "right")  # larger ones are not similar
+        for i in np.flatnonzero(upto > np.arange(len(n)) + 1).tolist():
+            rest = slice(i + 1, int(upto[i]))
+            near = np.flatnonzero(similar(np.minimum(n[i] - pos[i], n[rest] - pos[rest]), n[i], n[rest]) & (root[rest] != root[i])) + i + 1
             if len(near):
-                out.append((np.repeat(node[i], len(near)), node[near]))
+                out.append(np.stack([np.repeat(node[i], len(near)), node[near]]))
                 size += len(near)
             if size > 1 << 18:
-                yield _pairs(out)
+                yield pairs()
                 out, size = [], 0
     if out:
-        yield _pairs(out)
-
+        yield pairs()
 
-def _sets(marked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles (the sorted hashes as bytes) of the nodes of ``wanted``."""
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for frame in frames:
-            nodes, sets = [], []
-            for text, node in rows_of(iter([frame])):
-                if node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    sets.append(shingle_set(text).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    one_of_node = marked.groupBy(_NODE).agg(F.min(_ROW).alias("_first")).join(wanted, F.col(_NODE) == F.col("node"), "left_semi")
-    rows = marked.join(one_of_node.select("_first").hint("merge"), F.col(_ROW) == F.col("_first"), "left_semi")
-    return stage(rows.select("text", _NODE).mapInArrow(run, "node long, shingles binary"), "sets")
+def _keys(frames: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The other columns of each run of equal first columns."""
+    parts: list[list[np.ndarray]] = []
+    last = None
+    for frame in frames:
+        if not frame.num_rows:
+            continue
+        key, *rest = (c.to_numpy() for c in frame.columns)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+        for start, end in zip(starts, [*starts[1:], len(key)]):
+            if parts and key[start] != last:
+                yield [np.concatenate(c) for c in zip(*parts)]
+                parts = []
+            last = key[start]
+            parts.append([c[start:end] for c in rest])
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts)]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sketches do not differ in more bits than similar sets may differ in shingles."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            keep = []
-            for x, y in zip(frame.column("x"), frame.column("y")):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                keep.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-            yield frame.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "x", "y")
-    return stage(both.mapInArrow(run, "a long, b long"), "verified")
-
+            n, m = (frame.column(i).to_numpy() for i in (2, 3))
+            x, y = (frame.column(i).to_pylist() for i in (4, 5))
+            sizes = np.array([len(v) << 32 | len(w) for v, w in zip(x, y)], np.int64)
+            apart = np.zeros(len(x), np.int64)
+            for size in np.unique(sizes).tolist():
+                some = np.flatnonzero(sizes == size)
+                left, right = (np.frombuffer(b"".join(v[i] for i in some), np.uint8).reshape(len(some), -1) for v in (x, y))
+                apart[some] = differing(left, right)
+            # sets that differ in d shingles share (n + m - d) / 2
+            yield frame.select([0, 1]).filter(pa.array(similar(n + m - apart, 2 * n, 2 * m)))
+
+    of = lambda side, n, own: nodes.select(F.col("node").alias(side), F.col("n").alias(n), F.col("sketch").alias(own))
+    both = pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _verified(own: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+    pairs = own.stage(_bounded(pairs, nodes), "possible")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = nodes.join(wanted, "node", "left_semi").select("row")
 
-def links(marked: DataFrame) -> DataFrame:
+    def work_out(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array([shingle_set(t).tobytes() for t in _texts(frame, "text")], pa.binary())], names=["node", "shingles"])
+
+    sets = own.stage(texts.join(rows, "row", "left_semi").select("node", "text").mapInArrow(work_out, "node long, shingles binary"), "sets")
+    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_SET).cast("int").alias("parts"))
+    salted = pairs.join(fans, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    theirs = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "shingles")
+    owners = sets.withColumnRenamed("node", "a").join(fans, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = owners.select("a", "part", F.lit(None).cast("long").alias("b"), "shingles").unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+
+    def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.empty(0, np.uint64)
+        for frame in frames:  # an owner's set comes before those it is compared with
+            found = []
+            for a, b, shingles in zip(frame.column(0).to_pylist(), frame.column(2).to_pylist(), frame.column(3)):
+                other = np.frombuffer(shingles.as_buffer(), np.uint64)
+                if b is None:
+                    mine = other.copy()
+                elif similar(len(np.intersect1d(mine, other, assume_unique=True)), len(mine), len(other)):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return own.stage(dealt.mapInArrow(compare, "a long, b long"), "verified")
+
+
+def links(own: Scratch, marked: DataFrame, names: _Names) -> DataFrame:
     """a, b: similar nodes, enough of them to connect all that are similar directly or by steps."""
-    dealt = _postings(marked, _counts(marked)).repartition("key").sortWithinPartitions("key")
-    shared = stage(dealt.mapInArrow(_shared, "key long, node long, n long, pos long"), "prefixes")
-    sets = _sets(marked, shared.select("node").distinct())
-    by_key = shared.repartition("key").sortWithinPartitions("key", "node")
-    tried = stage(by_key.mapInArrow(_stars, "a long, b long").distinct(), "stars")
-    found = _verified(tried, sets)
-    roots = stage(components(found, "a", "b"), "roots")
-    rooted = shared.join(roots.hint("merge"), "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    rest = rooted.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
-    return found.unionByName(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets))
+    firsts = marked.where(F.col(names.n).isNotNull())
+    slim = firsts.select(F.col(names.node).alias("node"), F.struct(F.col(names.row).alias("row"), F.col(names.n).alias("n"), F.col(names.sketch).alias("sketch")).alias("f"))
+    nodes = own.stage(slim.groupBy("node").agg(F.min("f").alias("f")).select("node", "f.*"), "nodes")
+    texts = firsts.select(F.col(names.row).alias("row"), F.col(names.node).alias("node"), "text")
+    prefix = firsts.select(F.col(names.node).alias("node"), F.col(names.n).alias("n"), F.posexplode(names.keys).alias("pos", "key"))
+    sized = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("sized")
+    dealt = prefix.select("key", "node", sized).repartition("key").sortWithinPartitions("key", "node")
+    shared = own.stage(dealt.mapInArrow(_shared, "key long, node long, sized long"), "prefixes")
+    shared = shared.select("key", "node", F.shiftright("sized", 32).alias("n"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    tried = own.stage(_stars(shared), "stars")
+    found = _verified(own, tried, nodes, texts)
+    roots = own.stage(components(found, "a", "b", write=own.stage), "roots")
+    rooted = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    split = rooted.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n")
+    rest = split.mapInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    return found.unionByName(_verified(own, rest, nodes, texts))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, all columns: that of the smallest doc_id, of equal ids the least text.
 
-    A row belongs to the group of its own text, so rows that share an id and not a text are told apart. Rows
-    without an id stay only where no row of the group has one. Null and empty texts and texts without words
-    are copies of each other.
+    A row belongs to the group of its own text, so rows that share an id and not a text are told apart, and of
+    repeated rows one stays. Rows without an id stay only where no row of the group has one. Null and empty texts
+    and texts without words are copies of each other. An empty table gives no rows; columns may have any names.
     """
-    marked = _marked(docs)
-    slim = marked.select(_ROW, _NODE, F.col("doc_id").cast("long").alias("_id"))
-    roots = components(links(marked), "a", "b").withColumnRenamed("node", _NODE)
-    nodes = slim.groupBy(_NODE).agg(F.min("_id").alias("first"), F.count("*").alias("n"))
-    grouped = stage(nodes.join(roots, _NODE, "left").select(_NODE, "first", "n", F.coalesce("root", _NODE).alias("root")), "groups")
-    best = grouped.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    several = slim.join(grouped.join(best, "root").select(_NODE, "root", "best").hint("merge"), _NODE)
-    members = stage(several.select(_ROW, "root", F.col("_id").eqNullSafe(F.col("best")).alias("may_stay")), "members")
-    twice = members.where("may_stay").groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    tied = members.where("may_stay").join(twice.select("root").hint("merge"), "root", "left_semi").select(F.col(_ROW).alias("_tied"), "root")
-    going = members.where("NOT may_stay").select(F.col(_ROW).alias("_going"))
-    if not twice.isEmpty():  # rows of one id, or without one, in one group
-        by_text = Window.partitionBy("root").orderBy(F.asc_nulls_first("text"), _ROW)
-        first = marked.select(_ROW, "text").join(tied.hint("merge"), F.col(_ROW) == F.col("_tied")).withColumn("_place", F.row_number().over(by_text)).where("_place = 1")
-        going = going.unionByName(tied.select(F.col("_tied").alias("_going")).exceptAll(first.select(F.col("_tied").alias("_going"))))
-    return marked.join(going.hint("merge"), F.col(_ROW) == F.col("_going"), "left_anti").select(docs.columns)
+    names = _Names(docs)
+    marked = stage(_marked(docs, names), "marked")
+    with Scratch(docs.sparkSession) as own:
+        slim = marked.select(F.col(names.row).alias("row"), F.col(names.node).alias("node"), F.col("doc_id").cast("long").alias("id"))
+        roots = own.stage(components(links(own, marked, names), "a", "b", write=own.stage), "roots")
+        nodes = slim.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        grouped = own.stage(nodes.join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root")), "groups")
+        best = grouped.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n")).where("n > 1").drop("n")
+        several = slim.join(grouped.join(best, "root").select("node", "root", "best"), "node")
+        members = own.stage(several.select("row", "root", F.col("id").eqNullSafe(F.col("best")).alias("may_stay")), "members")
+        twice = members.where("may_stay").groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+        tied = members.where("may_stay").join(twice.select("root"), "root", "left_semi").select("row", "root")
+        going = members.where("NOT may_stay").select("row")
+        if not twice.isEmpty():  # rows of one id, or without one, in one group
+            texts = marked.select(F.col(names.row).alias("row"), "text").join(tied, "row")
+            first = texts.groupBy("root").agg(F.min(F.struct("text", "row")).alias("first")).select("first.row")  # nulls are least
+            going = going.unionByName(tied.select("row").join(first, "row", "left_anti"))
+        gone = stage(going.withColumnRenamed("row", names.row), "going")
+    return marked.join(gone, names.row, "left_anti").select(*quoted(docs.columns))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import batches, doc_texts, rows_of, stage
+from passagemill.llm.common import batches, doc_texts, mapped, rows_of, stage
 from passagemill.session import bounded_rows
 
 #: Order of kinds at one start.
@@ -369,7 +369,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts = [None if t is None else _redacted(t, learned) for t in piece.column(at).to_pylist()]
                 yield piece.set_column(at, frame.schema.field(at), pa.array(texts, frame.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = mapped(docs, run)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import batches, doc_texts, rows_of
+from passagemill.llm.common import batches, doc_texts, mapped, rows_of
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 MAX_LABELLED, MAX_WORDS, MIN_DOCS, FOLDS, PENALTY = 20_000, 64, 5, 5, 0.3
@@ -254,4 +254,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 p = chain.probabilities(chain.features(texts)[0])
                 yield piece.filter(pa.array(p[:, CATEGORIES.index("toxic")] < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)

@@ -2,8 +2,6 @@ import pytest
 
 
 @pytest.fixture(scope="session")
-def shared(spark, tmp_path_factory):
-    """The session's shared folder; set only where it is unset."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+def shared(spark):
+    """The session's shared folder; the session is made with it."""
     return spark.conf.get("spark.checkpoint.dir")

@@ -87,6 +87,14 @@ def test_odd_rows(spark):
     assert d.contaminated(a.limit(0), b).count() == 0 and d.without_benchmark(a, b.limit(0)).count() == len(docs)
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, f"before it {item} after", "a"), (None, "clean and of no id at all", "b"), (3, f"{item} then", "c"), (3, "clean and of the same id", "d"), (4, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held string").withColumn("_held", F.lit(1)).withColumn("a.b", F.lit(2))
+    left = d.without_benchmark(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r.held for r in left.collect()) == ["b", "d", "e"]
+
+
 def test_blocks_cover_all_bits_and_guarantee_the_radius():
     masks = d._masks(20)
     assert len(masks) == 21 and sum(m % (1 << 64) for m in masks) == (1 << 64) - 1

@@ -1,11 +1,9 @@
 import hashlib
 
-import public_tokenizers
-
 import corpus_pipeline
-from passagemill.llm import pii, simhash, toxicity
+from passagemill.llm import pii, toxicity
 from tests.llm.test_decontamination import plain as plain_contaminated
-from tests.llm.test_simhash import near_texts, plain_groups
+from tests.llm.test_near_duplicates import plain_kept
 
 
 def test_stages_by_brute_force(spark, sf, shared):
@@ -15,7 +13,7 @@ def test_stages_by_brute_force(spark, sf, shared):
     texts = {r.doc_id: r.text for r in docs.collect()}
     toxic = {r.doc_id for r in toxicity.score(docs, toxicity.train(docs, read("labels"))).collect() if r.is_toxic}
     left = {i: t for i, t in texts.items() if i not in toxic}
-    left = {i: left[i] for i, _, c in plain_groups(left.items()) if i == c}
+    left = dict(plain_kept(list(left.items())))
     held = {i for i, _ in plain_contaminated(left.items(), items)}
     left = {i: t for i, t in left.items() if i not in held}
     assert toxic and held and len(left) < len(texts)
@@ -39,14 +37,6 @@ def test_stages_by_brute_force(spark, sf, shared):
     assert {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, sf).collect()} == want
 
 
-def test_one_of_each_group(spark, shared):
-    rows = near_texts(60)
-    keep = {c for _, _, c in plain_groups(rows)}
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows] * 2, "doc_id long, text string, fp string")
-    got = [r.doc_id for r in simhash.one_of_each(docs).collect()]
-    assert sorted(got) == sorted(keep)
-
-
 def test_odd_rows_pass_every_stage(spark, sf, shared):
     text = "one two three four five six"
     rows = [(None, text, None, None, None), (None, text, "en", "s", 1), (None, "nothing like it at all", "en", "s", 1), (5, text, "en", "s", 1), (6, None, "en", None, None), (7, "", None, "s", 0), (8, "w " * 100_000, "en", "s", 9)]
@@ -58,6 +48,15 @@ def test_odd_rows_pass_every_stage(spark, sf, shared):
                 assert made.columns == docs.columns
             n = made.count()
             assert n == (0 if part is not docs else {"near_duplicates": 4}.get(name, len(rows)))
-    kept = sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(docs).collect() if r.doc_id != 8)
+    kept = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect() if r.doc_id != 8)
     assert kept == [("5", text), ("6", None), ("None", "nothing like it at all")]
-    assert public_tokenizers.PATTERN
+
+
+def test_columns_of_any_name_pass_every_stage(spark, sf, shared):
+    rows = [(1, "one two three four five six"), (1, "quite another text of the same id"), (None, "a third one"), (2, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", *[f"1 AS `{n}`" for n in ("node", "_node", "row", "keys", "held", "_held", "_going", "_dup_row", "_slot", "is_toxic", "a.b")])
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        made = function(spark, docs, sf)
+        assert made.columns == docs.columns
+        assert made.count() == (3 if name == "near_duplicates" else 4)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 4
