@@ -30,8 +30,8 @@ from passagemill.llm.common import batches, doc_texts, rows_of
 
 #: Bytes merged directly, code points cut at once, tokens decoded at once.
 LEAF_BYTES, LEAF_CHARS, LEAF_IDS = 32, 1 << 15, 1 << 12
-#: Entries of a worker's caches of pieces and borders; a full cache is emptied.
-CACHED = 400_000
+#: Entries of a worker's caches of pieces and borders; full pieces are set aside until the next ones are, full borders emptied.
+CACHED = 120_000
 
 
 class Bpe:
@@ -49,6 +49,7 @@ class Bpe:
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
         self._pieces: dict[str, tuple[int, ...]] = {}
+        self._aside: dict[str, tuple[int, ...]] = {}
         self._borders: dict[tuple[int, int], bool] = {}
 
     # Tokens of one piece
@@ -136,11 +137,12 @@ class Bpe:
             try:
                 ids += known[piece]
             except KeyError:
-                tokens = self.encode_piece(piece)
+                tokens = self._aside.get(piece) or self.encode_piece(piece)
                 ids += tokens
                 if len(piece) <= 64:
                     if len(known) >= CACHED:
-                        known.clear()
+                        self._aside, self._pieces = known, {}
+                        known = self._pieces
                     known[piece] = tokens
         return ids
 
