@@ -12,8 +12,10 @@ an odd number of its shingles fall into, and two sketches never differ in more b
 shingles. Only nodes of pairs that pass have their sets worked out again, from their texts; of the pairs of
 one node its own set travels once to every thousand of them.
 
-Of a prefix shingle's nodes each is first compared with the first and the last one, which joins a large group
-of near copies by about as many pairs as it has members; then only pairs of different components are left.
+In turns each node is compared with some of the first and last nodes of its prefix shingles, those of other, no
+smaller components that it meets most often; each turn takes other ones and tries more. That joins a large
+group of near copies by some times as many pairs as it has members; then only pairs of different components are
+left, and they are all compared.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ PART, WHOLE = 4, 5
 #: Shingles are counted by their top bits; tasks send the counts in slices.
 CELL_BITS, SLICES = 18, 64
 #: Bits of a sketch, as powers of two.
-LEAST_SKETCH, MOST_SKETCH = 8, 16
+LEAST_SKETCH, MOST_SKETCH = 11, 16
+#: Turns in which nodes are tried with a few others each, from turn to turn so many times as many.
+HUBS, TURNS = 4, 3
 #: Pairs of one node that one copy of its set serves.
 PAIRS_PER_SET = 1024
 
@@ -195,12 +199,28 @@ def _possible(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
     return similar(F.least(n - pos, n2 - pos2), n, n2)
 
 
-def _stars(shared: DataFrame) -> DataFrame:
-    """a, b: possible pairs of each member with the first and the last node of its key."""
-    ends = shared.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("low"), F.max(F.struct("node", "n", "pos")).alias("high"))
-    met = shared.join(ends, "key").select("node", "n", "pos", F.explode(F.array("low", "high")).alias("o"))
-    near = met.where((F.col("node") != F.col("o.node")) & _possible(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
-    return near.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+def _stars(rooted: DataFrame, turn: int) -> DataFrame:
+    """a, b: for each node some nodes of other, no smaller components that it meets under most keys, of each key's first and last one.
+
+    First all keys have one order of the nodes, then each its own, and each turn has ``HUBS`` times as many pairs of a node.
+    """
+    member = F.struct(F.xxhash64(F.lit(turn), "node", *["key"] * bool(turn)).alias("place"), "node", "n", "pos", "root", "members")
+    early = rooted.where(similar(F.col("n") - F.col("pos"), F.col("n"), F.col("n")))  # later places are for smaller partners only
+    ends = early.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"))
+    met = rooted.join(ends, "key").select("node", "n", "pos", "root", "members", F.explode(F.array("low", "high")).alias("o"))
+    near = met.where((F.col("root") != F.col("o.root")) & (F.col("members") <= F.col("o.members")) & _possible(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+    often = near.groupBy("node", F.col("o.node").alias("hub")).agg(F.count("*").alias("keys"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct("keys", "hub")), asc=False), 1, HUBS ** (turn + 1))  # of the keys of one text
+    chosen = often.groupBy("node").agg(most.alias("hubs")).select("node", F.explode("hubs.hub").alias("hub"))
+    return chosen.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The prefixes with their nodes' components, of keys that nodes of several components have."""
+    sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
+    rooted = shared.join(sized, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("members", F.lit(1)).alias("members"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rooted.join(several, "key", "left_semi")
 
 
 def _across(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,14 +331,21 @@ def links(own: Scratch, marked: DataFrame, names: _Names) -> DataFrame:
     dealt = prefix.select("key", "node", sized).repartition("key").sortWithinPartitions("key", "node")
     shared = own.stage(dealt.mapInArrow(_shared, "key long, node long, sized long"), "prefixes")
     shared = shared.select("key", "node", F.shiftright("sized", 32).alias("n"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
-    tried = own.stage(_stars(shared), "stars")
-    found = _verified(own, tried, nodes, texts)
-    roots = own.stage(components(found, "a", "b", write=own.stage), "roots")
-    rooted = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    split = rooted.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n")
+    rooted = shared.withColumns({"root": F.col("node"), "members": F.lit(1).cast("long")})
+    found, tried = None, None
+    for turn in range(TURNS):
+        fresh = _stars(rooted, turn)
+        fresh = own.stage(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "stars")
+        linked = _verified(own, fresh, nodes, texts)
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        found = linked if found is None else found.unionByName(linked)
+        if turn and linked.isEmpty():
+            break
+        roots = own.stage(components(found, "a", "b", write=own.stage), "roots")
+        rooted = own.stage(_rooted(shared, roots), "rooted")
+    split = rooted.drop("members").repartition("key").sortWithinPartitions("key", "n")
     rest = split.mapInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    return found.unionByName(_verified(own, rest, nodes, texts))
+    return found.unionByName(_verified(own, own.stage(rest, "across"), nodes, texts))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
