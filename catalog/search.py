@@ -8,11 +8,12 @@ from catalog.chunks import CHUNKS, FILES, text_chunks, vectors_sql, widened
 from passagemill.functions.text import keyword_score as keyword_score_of
 from passagemill.functions.text import path_matches
 from passagemill.functions.vectors import cosine, l2, literal_vector
-from passagemill.operators import search
+from passagemill.operators import duplicates, search
 from passagemill.operators.clustering import representatives as representatives_of
 from passagemill.operators.clustering import centroids
 from passagemill.operators.embedding import HashEmbedder, embed
 from passagemill.plans import roles
+from passagemill.session import spread
 
 QUERY = "that with from"
 START = 0  # the passage searches start from
@@ -104,6 +105,12 @@ def search_similar_batch(spark, sf):
     return scored(found.select("query_id", "id", "similarity", F.col("place").cast("long").alias("place")), "similarity")
 
 
+def near_duplicate_groups(spark, sf):
+    """Classes of documents by the cosine of their embedded texts."""
+    docs = embed(spread(roles.table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "text", HashEmbedder())
+    return duplicates.near_duplicate_groups(docs, "doc_id", "embedding", 0.95)
+
+
 def search_by_concept_query(spark, sf):
     corpus = roles.passages(spark, sf)
     found = search.search_by_concept(
@@ -150,6 +157,7 @@ def vector_measures(spark, sf):
 
 QUERIES = {
     "knn_exact": knn_exact,
+    "near_duplicate_groups": near_duplicate_groups,
     "keyword_score": keyword_score,
     "hybrid_search": hybrid_search,
     "hybrid_search_filtered": hybrid_search_filtered,
@@ -212,6 +220,15 @@ SELECT id, round(CASE WHEN far > 0 THEN 1 - distance / far ELSE 1.0 END, 6) AS s
 WHERE {keep} AND CASE WHEN far > 0 THEN 1 - distance / far ELSE 1.0 END >= {threshold} ORDER BY distance, id LIMIT 10"""
 
 SQL = {
+    "near_duplicate_groups": f"""WITH RECURSIVE {vectors_sql('doc_id', 'text', 'documents')},
+        vec AS MATERIALIZED (SELECT doc_id, pos, (v / norm)::FLOAT::DOUBLE AS x FROM cells JOIN norms USING (doc_id) WHERE v <> 0),
+        len AS MATERIALIZED (SELECT doc_id, sqrt(sum(x * x)) AS l FROM vec GROUP BY doc_id),
+        links AS MATERIALIZED (
+            SELECT a, b FROM (SELECT v.doc_id AS a, w.doc_id AS b, sum(v.x * w.x) AS d FROM vec v JOIN vec w ON v.pos = w.pos AND v.doc_id <> w.doc_id GROUP BY ALL)
+            JOIN len p ON p.doc_id = a JOIN len q ON q.doc_id = b WHERE d / (p.l * q.l) >= 0.95
+        ),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, e.b FROM reach r JOIN links e ON r.b = e.a)
+        SELECT doc_id, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS links FROM documents""",
     "knn_exact": f"WITH {PASSAGES} SELECT id, round(distance, 6) AS distance FROM near ORDER BY near.distance, id LIMIT 20",
     "keyword_score": f"WITH {FILES} SELECT doc_id, round({keyword_sql(TERMS + ['src7', 'that'])}, 6) AS score FROM files",
     "hybrid_search": _hybrid_sql(PASSAGES, 30),
