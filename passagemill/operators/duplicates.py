@@ -16,8 +16,10 @@ from passagemill.session import Scratch, stage
 #: Chance that a pair at the very threshold shares no band.
 MISS = 1e-6
 #: Members of a band's key that are compared with each other; those of larger keys are dealt anew by more planes.
-CROWDED = 256
-FEWEST_PLANES, MOST_PLANES, MORE_PLANES = 6, 30, 6
+CROWDED = 64
+FEWEST_PLANES, MOST_PLANES, MORE_PLANES = 6, 60, 12
+#: Planes of a signature, which tells most pairs of a key apart before their vectors are looked at.
+SIGNATURE = 128
 _SALTS = 8
 
 
@@ -27,21 +29,36 @@ def bands_needed(threshold: float, planes: int, miss: float = MISS) -> int:
     return 1 if same >= 1 else math.ceil(math.log(miss) / math.log1p(-same))
 
 
+def most_apart(threshold: float, miss: float = MISS) -> int:
+    """Bits in which the signatures of a pair of that cosine differ at most, but for a chance of ``miss``."""
+    differ = math.acos(threshold) / math.pi
+    rest = 1.0
+    for d in range(SIGNATURE + 1):
+        rest -= math.comb(SIGNATURE, d) * differ**d * (1 - differ) ** (SIGNATURE - d)
+        if rest <= miss:
+            return d
+    return SIGNATURE
+
+
 def _dealt(nodes: DataFrame, planes: int, bands: int, seed: int) -> DataFrame:
-    """key, node: for each band which side of its planes a node is on."""
+    """key, node, low, high: for each band which side of its planes a node is on, beside its signature."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, sides = (1 << np.arange(planes)).astype(np.int64), None
+        band = np.random.default_rng(seed).integers(1 << 62, size=bands)  # equal keys of several bands only cost comparisons
         for frame in frames:
             for at in range(0, frame.num_rows, 1024):
                 part = frame.slice(at, 1024)
                 x = matrix_of(part.column(1))
                 if sides is None:
-                    sides = np.random.default_rng([seed, planes]).standard_normal((bands * planes, x.shape[1]))
-                keys = (x @ sides.T > 0).reshape(len(x), bands, planes) @ weights + (np.arange(bands) << planes)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), bands))], names=["key", "node"])
+                    sides = np.random.default_rng([seed, planes]).standard_normal((bands * planes + SIGNATURE, x.shape[1]))
+                over = x @ sides.T > 0
+                keys = over[:, SIGNATURE:].reshape(len(x), bands, planes) @ weights ^ band
+                signature = np.packbits(over[:, :SIGNATURE], axis=1).view(np.int64)
+                columns = [keys.ravel(), *(np.repeat(c, bands) for c in (part.column(0).to_numpy(), signature[:, 0], signature[:, 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "low", "high"])
 
-    return nodes.select("node", "v").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "v").mapInArrow(run, "key long, node long, low long, high long")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -72,7 +89,9 @@ def near_pairs(own: Scratch, nodes: DataFrame, threshold: float, crowded: int =
         sizes = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         last = planes >= MOST_PLANES
         fit = met.join(sizes if last else sizes.where(F.col("n") <= crowded), "key", "left_semi")
-        pairs = fit.withColumnRenamed("node", "a").join(fit.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
+        other = fit.select("key", F.col("node").alias("b"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        apart = F.bit_count(F.col("low").bitwiseXOR(F.col("low2"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high2")))
+        pairs = fit.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (apart <= most_apart(threshold, miss))).select("a", "b").distinct()
         near = own.stage(_near(pairs, nodes, threshold), "near")
         found = near if found is None else found.unionByName(near)
         if last:

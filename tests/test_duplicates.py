@@ -66,7 +66,7 @@ def test_recall_of_a_sample_against_all_rows(spark):
 
 def test_bands_find_a_pair_at_the_threshold():
     for threshold in (0.5, 0.9, 0.99, 1.0):
-        for planes in (6, 18, 30):
+        for planes in (6, 18, 60):
             same = (1 - math.acos(threshold) / math.pi) ** planes
             assert (1 - same) ** duplicates.bands_needed(threshold, planes) <= duplicates.MISS
 
