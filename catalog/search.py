@@ -108,7 +108,7 @@ def search_similar_batch(spark, sf):
 def near_duplicate_groups(spark, sf):
     """Classes of documents by the cosine of their embedded texts."""
     docs = embed(spread(roles.table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "text", HashEmbedder())
-    return duplicates.near_duplicate_groups(docs, "doc_id", "embedding", 0.995)
+    return duplicates.near_duplicate_groups(docs, "doc_id", "embedding", 0.999)
 
 
 def search_by_concept_query(spark, sf):
@@ -225,7 +225,7 @@ SQL = {
         len AS MATERIALIZED (SELECT doc_id, sqrt(sum(x * x)) AS l FROM vec GROUP BY doc_id),
         links AS MATERIALIZED (
             SELECT a, b FROM (SELECT v.doc_id AS a, w.doc_id AS b, sum(v.x * w.x) AS d FROM vec v JOIN vec w ON v.pos = w.pos AND v.doc_id <> w.doc_id GROUP BY ALL)
-            JOIN len p ON p.doc_id = a JOIN len q ON q.doc_id = b WHERE d / (p.l * q.l) >= 0.995
+            JOIN len p ON p.doc_id = a JOIN len q ON q.doc_id = b WHERE d / (p.l * q.l) >= 0.999
         ),
         reach AS (SELECT a, b FROM links UNION SELECT r.a, e.b FROM reach r JOIN links e ON r.b = e.a)
         SELECT doc_id, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS links FROM documents""",

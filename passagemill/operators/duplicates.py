@@ -18,6 +18,8 @@ MISS = 1e-6
 #: Members of a band's key that are compared with each other; those of larger keys are dealt anew by more planes.
 CROWDED = 64
 FEWEST_PLANES, MOST_PLANES, MORE_PLANES = 6, 60, 12
+#: Planes are added only while no more bands are needed, so a node is sent to at most so many keys.
+MOST_BANDS = 128
 #: Planes of a signature, which tells most pairs of a key apart before their vectors are looked at.
 SIGNATURE = 128
 _SALTS = 8
@@ -29,6 +31,11 @@ def bands_needed(threshold: float, planes: int, miss: float = MISS) -> int:
     return 1 if same >= 1 else math.ceil(math.log(miss) / math.log1p(-same))
 
 
+def most_planes(threshold: float, miss: float = MISS) -> int:
+    """Up to ``MOST_PLANES``, as many as ``MOST_BANDS`` bands allow."""
+    return max((k for k in range(1, MOST_PLANES + 1) if bands_needed(threshold, k, miss) <= MOST_BANDS), default=1)
+
+
 def most_apart(threshold: float, miss: float = MISS) -> int:
     """Bits in which the signatures of a pair of that cosine differ at most, but for a chance of ``miss``."""
     differ = math.acos(threshold) / math.pi
@@ -79,15 +86,16 @@ def near_pairs(own: Scratch, nodes: DataFrame, threshold: float, crowded: int =
     """a, b (a < b): the pairs of ``nodes`` (node long, v array) whose cosine reaches the threshold.
 
     Nodes that meet under some key are compared. Those of a crowded key are dealt again, all together, with
-    more planes; what is crowded with ``MOST_PLANES`` is compared all the same.
+    more planes; what is crowded with the most planes is compared all the same.
     """
     n = nodes.count()
-    planes = min(MOST_PLANES, max(FEWEST_PLANES, math.ceil(math.log2(max(2, n))) - 2))
+    most = most_planes(threshold, miss)
+    planes = min(most, max(FEWEST_PLANES, math.ceil(math.log2(max(2, n))) - 2))
     found, left = None, nodes
     while True:
         met = own.stage(_dealt(left, planes, bands_needed(threshold, planes, miss), seed), "bands")
         sizes = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        last = planes >= MOST_PLANES
+        last = planes >= most
         fit = met.join(sizes if last else sizes.where(F.col("n") <= crowded), "key", "left_semi")
         other = fit.select("key", F.col("node").alias("b"), F.col("low").alias("low2"), F.col("high").alias("high2"))
         apart = F.bit_count(F.col("low").bitwiseXOR(F.col("low2"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high2")))
@@ -100,7 +108,7 @@ def near_pairs(own: Scratch, nodes: DataFrame, threshold: float, crowded: int =
         left = own.stage(left.join(again, "node", "left_semi"), "crowded")
         if left.isEmpty():
             return found.distinct()
-        planes = min(MOST_PLANES, planes + MORE_PLANES)
+        planes = min(most, planes + MORE_PLANES)
 
 
 def connected(own: Scratch, edges: DataFrame, rounds: int = 100) -> DataFrame:
