@@ -86,9 +86,10 @@ def index_run_modes(spark, sf):
     return spark.createDataFrame(rows, "step long, files long, chunks long, incremental boolean")
 
 
-def _concepts_twice(spark, sf, where):
+def concept_cache(spark, sf):
+    """Concepts are kept while the index is the same: the second call returns the first one's rows."""
     base = new_work_path(spark, "concepts")
-    _write_tree(spark, sf, f"{base}/tree", where)
+    _write_tree(spark, sf, f"{base}/tree")
     index = _index(spark, f"{base}/tree", f"{base}/store")
     index.index()
     first = index.concepts(k=4)[0]
@@ -96,16 +97,6 @@ def _concepts_twice(spark, sf, where):
     return kept.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("before") == F.col("cluster_id")).alias("same"))
 
 
-def concept_cache(spark, sf):
-    """Concepts are kept while the index is the same: the second call returns the first one's rows."""
-    return _concepts_twice(spark, sf, "lang <> 'en'")
-
-
-def concept_cache_whole(spark, sf):
-    """The same over the tree of all documents."""
-    return _concepts_twice(spark, sf, "true")
-
-
 def _store_of(spark, sf, where="true"):
     store = ChunkStore(spark, new_work_path(spark, "store"), buckets=8)
     store.write_chunks(embed(text_chunks(spark, sf).where(where), "content", HashEmbedder()))
@@ -213,7 +204,7 @@ def stream_restart(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_full_run, index_resumed_run, index_run_modes, concept_cache, concept_cache_whole, store_append, store_count_and_clear, store_metadata,
+        index_full_run, index_resumed_run, index_run_modes, concept_cache, store_append, store_count_and_clear, store_metadata,
         json_sidecar, tree_file_stats, tree_scan_for_symbols, stream_fan_out, stream_micro_batches, stream_restart,
     )
 }
@@ -233,8 +224,7 @@ SQL = {
         c AS (SELECT count(*) AS c, count(*) FILTER (lang <> 'fr') AS rest FROM stored)
         SELECT 1::BIGINT AS step, f - fr AS files, rest AS chunks, false AS incremental FROM n, c UNION ALL SELECT 2, 0, rest, true FROM n, c
         UNION ALL SELECT 3, fr, c, true FROM n, c UNION ALL SELECT 4, f, c, false FROM n, c""",
-    "concept_cache": f"WITH {_FILE_CHUNKS} SELECT count(*) AS chunks, count(*) AS same FROM stored WHERE lang <> 'en'",
-    "concept_cache_whole": f"WITH {_FILE_CHUNKS} SELECT count(*) AS chunks, count(*) AS same FROM stored",
+    "concept_cache": f"WITH {_FILE_CHUNKS} SELECT count(*) AS chunks, count(*) AS same FROM stored",
     "store_append": f"WITH {CHUNKS} SELECT id, filepath, content, start_line, end_line FROM chunks",
     "store_count_and_clear": f"WITH {CHUNKS} SELECT count(*) AS chunks, true AS there, false AS still_there FROM chunks",
     "store_metadata": f"WITH {CHUNKS} SELECT (SELECT count(*) FROM files) AS file_count, count(*) AS chunk_count, 'hash' AS embedding_backend, (SELECT sum(mtime) FROM files) AS times FROM chunks",
