@@ -30,7 +30,7 @@ CLASSES = 1 << BITS
 BOUNDARY, LETTER, SPACE, OTHER, OWN = 0, 1, 2, 3, 4
 LOW, HIGH = 0.0, 0.99
 #: Fewer trusted documents of a language than this, and it takes the quantiles of all languages together.
-ENOUGH = 50
+ENOUGH = 30
 _GRID = 10_000
 _BUFFER = 1 << 22
 
@@ -181,11 +181,12 @@ def _limits(trusted: DataFrame, by: list[str], low: float, high: float) -> DataF
     return summed.groupBy(*by).agg(F.max("total").alias("total"), reached(low).alias("low"), reached(high).alias("high"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """doc_id, lang, symbols, log10_prob, perplexity, its limits and ``keep``, for every row.
+def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH) -> DataFrame:
+    """doc_id, lang, symbols, log10_prob, perplexity, its limits, whose limits they are and ``keep``, for every row.
 
     Trusted texts are the documents with a label of quality 1. A null text counts as empty (its end is its
     one symbol), a null language as a language of its own; repeated rows stay; ties with a limit are kept.
+    A language with fewer than ``enough`` trusted documents has the quantiles of all (``limits_of``: language or all).
     With ``low`` 0 there is no lower limit. Without trusted documents the model is uniform and all are kept.
     """
     trusted_ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -196,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     scored = stage(rated, "perplexities")
     trusted = stage(scored.join(trusted_ids, "doc_id", "left_semi").select("lang", "cell"), "trusted")
     pooled = _limits(trusted.withColumn("all", F.lit(1)), ["all"], low, high).first()
-    by_lang = _limits(trusted, ["lang"], low, high).where(F.col("total") >= ENOUGH)
+    by_lang = _limits(trusted, ["lang"], low, high).where(F.col("total") >= enough)
     own = by_lang.select(F.col("lang").alias("_lang"), F.col("low").alias("low_cell"), F.col("high").alias("high_cell"))
     joined = scored.join(small(own, own.count()), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     limit = lambda c: F.coalesce(F.col(f"{c}_cell"), F.lit(pooled[c] if pooled else None).cast("long"))
@@ -206,5 +207,5 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     keep = F.coalesce(within, F.lit(True))
     return joined.select(
         "doc_id", "lang", "symbols", "log10_prob", ten(F.col("cell")).alias("perplexity"),
-        least.alias("low"), ten(limit("high")).alias("high"), keep.alias("keep"),
+        least.alias("low"), ten(limit("high")).alias("high"), F.when(F.col("high_cell").isNull(), "all").otherwise("language").alias("limits_of"), keep.alias("keep"),
     )

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.llm.common import free_names, quoted
+
 #: A prime; at 1,024 shards every shard has 127 or 128 slots.
 SLOTS = 131_071
 MAX_SLOTS = 4_194_301
@@ -59,14 +61,15 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS) -> DataFrame:
     """``df`` with ``slot`` int and ``shard`` string (columns of these names are replaced).
 
-    Every row is kept: null keys go to the slot of the empty text, equal keys to the same shard, an empty
+    Every row and every other column is kept: null keys go to the slot of the empty text, equal keys to the same shard, an empty
     table gives no rows. No shuffle; the broadcast table has ``slots`` rows, at most ``MAX_SLOTS``.
     """
-    table = pa.table({"_slot": pa.array(range(slots), pa.int32()), "_shard": [shards[i] for i in fill_table(shards, slots)]})
+    at, name = free_names(df, "at", "name")
+    table = pa.table({at: pa.array(range(slots), pa.int32()), name: [shards[i] for i in fill_table(shards, slots)]})
     lookup = F.broadcast(df.sparkSession.createDataFrame(table))
     rest = df.drop("slot", "shard") if key not in ("slot", "shard") else df
-    placed = rest.withColumn("_slot", slot_of(F.col(key), slots)).join(lookup, "_slot")
-    return placed.withColumns({"slot": F.col("_slot"), "shard": F.col("_shard")}).drop("_slot", "_shard")
+    placed = rest.withColumn(at, slot_of(F.col(key), slots)).join(lookup, at)
+    return placed.withColumns({"slot": F.col(at), "shard": F.col(name)}).drop(at, name)
 
 
 def write_shards(df: DataFrame, key: str, shards: Sequence[str], path: str, slots: int = SLOTS, files: int = 1) -> None:
@@ -76,5 +79,6 @@ def write_shards(df: DataFrame, key: str, shards: Sequence[str], path: str, slot
     holds a third of the rows can be written by ``files`` tasks.
     """
     placed = place(df, key, shards, slots)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files))
-    placed.withColumn("_salt", salt).repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)
+    (salt,) = free_names(placed, "salt")
+    dealt = placed.withColumn(salt, F.pmod(F.xxhash64(*quoted(df.columns)), F.lit(files)))
+    dealt.repartition("shard", salt).drop(salt).write.partitionBy("shard").parquet(path)

@@ -82,3 +82,13 @@ def test_no_lower_limit_at_zero(spark, shared):
     labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
     by = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
     assert by[100].perplexity < min(by[i].perplexity for i in range(60)) and by[100].keep and by[100].low == 0
+
+
+def test_limits_are_the_language_s_own_if_it_has_enough_trusted_documents(spark, shared):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice("one two three four five six".split()) for _ in range(30))
+    docs = spark.createDataFrame([(i, text(), "xx" if i < 40 else "yy") for i in range(50)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    for enough, small in ((30, "all"), (10, "language"), (11, "all")):
+        got = quality.classify(docs, labels, enough=enough).collect()
+        assert {(r.lang, r.limits_of) for r in got} == {("xx", "language"), ("yy", small)}

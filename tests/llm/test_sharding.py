@@ -57,6 +57,9 @@ def test_all_documents_and_odd_rows(spark, sf):
     rows = sharding.place(odd, "doc_id", shards, 1009).collect()
     assert sorted((r.slot, r.shard) for r in rows) == sorted(plain_place(k, shards, 1009) for k in (None, 3, 3))
     assert sharding.place(odd.limit(0), "doc_id", shards, 1009).count() == 0
+    clash = spark.createDataFrame([(1, 2, "x", 3)], "doc_id long, _slot int, _shard string, _at int")
+    (row,) = sharding.place(clash, "doc_id", shards, 1009).collect()
+    assert (row._slot, row._shard, row._at) == (2, "x", 3) and (row.slot, row.shard) == plain_place(1, shards, 1009)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
