@@ -1,13 +1,16 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters: the most frequent code points of the corpus are classes of their own, the rest
-fall into a few common ones, 64 in all, so the table of any order is bounded (64 to its power) whatever the
-corpus. Four-grams of the trusted documents are counted in the tasks and summed by gram; continuation counts,
-counts of counts (for the three discounts), context totals and back-off weights are joins and sums of these
-tables, sharded by gram or context. What a task gets to score with is the list of seen grams and contexts.
-
-A document's perplexity is 10 ^ -(log10 probability / symbols), the end counted as a symbol. A language's
-documents are kept between two quantiles of its trusted documents' perplexities.
+The model is over the bytes of a text, none merged with another, so it takes any script and has no alphabet to
+choose. Grams of ``ORDER`` symbols are counted in the tasks and summed by gram; continuation counts, counts of
+counts (for the three discounts), context totals and back-off weights are joins and sums of these tables,
+sharded by gram or context, and stay tables: nothing of the model passes through the driver or a broadcast.
+
+Every gram of the corpus gets its probability by joins, order by order: a seen gram its own, others the
+back-off weight of their context times the probability of their suffix. Documents are dealt into blocks of
+bounded bytes; a block sends each of its distinct grams once, their probabilities come back by a join,
+and the block's documents are summed from them. A document's perplexity is 10 ^ -(log10 probability / symbols),
+the end counted as a symbol. A language's documents are kept between two quantiles of its trusted documents'
+perplexities.
 """
 
 from __future__ import annotations
@@ -20,83 +23,70 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import doc_texts, rows_of, stage
-from passagemill.llm.fingerprint import code_points
+from passagemill.llm.common import Scratch, doc_texts, rows_of, stage
 from passagemill.session import small
 
-BITS, ORDER = 6, 4
-CLASSES = 1 << BITS
-#: Class 0 stands before and after a text; 1 to 3 are rare letters, rare white space and rare others.
-BOUNDARY, LETTER, SPACE, OTHER, OWN = 0, 1, 2, 3, 4
+#: Symbols are bytes; ``BOUNDARY`` stands before a text and is its end.
+BITS, ORDER, BOUNDARY = 9, 5, 256
+SYMBOLS = 257
 LOW, HIGH = 0.0, 0.99
 #: Fewer trusted documents of a language than this, and it takes the quantiles of all languages together.
 ENOUGH = 30
+#: Bytes of text that one task scores at a time.
+BLOCK_BYTES = 32 << 20
+#: So many trusted ids (8 bytes each) are broadcast; more are joined by a sort of both sides.
+BROADCAST_IDS = 1_000_000
 _GRID = 10_000
-_BUFFER = 1 << 22
+_PIECE = 1 << 20
 
 
-def class_table(frequent: list[int]) -> np.ndarray:
-    """Class of every code point; ``frequent`` ones get classes of their own."""
-    table = np.full(0x110000, OTHER, np.uint8)
-    letters = [c for c in range(0x3000) if chr(c).isalpha()]
-    table[letters] = LETTER
-    table[0x3000:0xE000] = LETTER
-    table[[c for c in range(0x3001) if chr(c).isspace()]] = SPACE
-    table[frequent[: CLASSES - OWN]] = np.arange(OWN, OWN + len(frequent[: CLASSES - OWN]))
-    return table
+def grams_of(text: bytes, order: int = ORDER) -> Iterator[np.ndarray]:
+    """The grams that end at each byte and at the end of a text, in pieces of a bounded length."""
+    n = len(text) + 1
+    for low in range(0, n, _PIECE):
+        high = min(n, low + _PIECE)
+        symbols = np.full(high - low + order - 1, BOUNDARY, np.int64)
+        first = max(0, low - order + 1)
+        own = np.frombuffer(text, np.uint8, min(high, n - 1) - first, first) if n > 1 else np.empty(0, np.uint8)
+        at = first - (low - order + 1)
+        symbols[at : at + len(own)] = own
+        grams = symbols[: high - low].copy()
+        for k in range(1, order):
+            grams <<= BITS
+            grams |= symbols[k : k + high - low]
+        yield grams
 
 
-def frequent_points(docs: DataFrame, n: int = CLASSES - OWN) -> list[int]:
-    """The code points that occur most in all texts, equal counts by code point."""
+def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, c of the texts (text binary, trusted): how often each gram of the corpus occurs in trusted ones, 0 if only in others."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for (text,) in rows_of(frames):
-            points = code_points(text)
-            if len(points):
-                count = np.bincount(points)
-                total[: len(count)] += count
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["point", "n"])
+        held: tuple[list, list] = ([], [])
+        size = 0
 
-    counted = doc_texts(docs).select("text").mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [r.point for r in counted.orderBy(F.desc("n"), "point").limit(n).collect()]
+        def settle() -> pa.RecordBatch:
+            other, own = (np.concatenate(part) if part else np.empty(0, np.int64) for part in held)
+            keys, n = np.unique(own, return_counts=True)
+            unseen = np.setdiff1d(other, keys)
+            held[0].clear(), held[1].clear()
+            columns = [pa.array(np.concatenate([keys, unseen])), pa.array(np.concatenate([n, np.zeros(len(unseen), np.int64)]))]
+            return pa.RecordBatch.from_arrays(columns, names=["gram", "c"])
 
+        for text, trusted in rows_of(frames):
+            for grams in grams_of(text, order):
+                held[bool(trusted)].append(grams)
+                size += len(grams)
+                if size >= 4 * _PIECE:
+                    yield settle()
+                    size = 0
+        yield settle()
 
-def grams_of(text: str, table: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The grams that end at each symbol and at the end of a text."""
-    symbols = np.zeros(len(text) + order, np.int32)
-    symbols[order - 1 : -1] = table[code_points(text)]
-    grams = symbols[: len(text) + 1].copy()
-    for k in range(1, order):
-        grams <<= BITS
-        grams |= symbols[k : k + len(text) + 1]
-    return grams
-
-
-def count_grams(texts: DataFrame, table: np.ndarray, order: int = ORDER) -> DataFrame:
-    """gram, c: how often each gram occurs; tasks send one row for each gram they saw."""
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS * order, np.uint32)
-        held, size = [], 0
-        for (text,) in rows_of(frames):
-            held.append(grams_of(text, table, order))
-            size += len(held[-1])
-            if size >= _BUFFER:
-                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
-                held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen].astype(np.int64))], names=["gram", "c"])
-
-    return texts.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.select("text", "trusted").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
     """The three discounts from how many grams occur once to four times; 0.5, 1, 1.5 where a count of counts is zero."""
-    n = [0] + [counts.agg(*[F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4)]).first()[k] for k in range(4)]
+    n = [0, *counts.agg(*[F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4)]).first()]
     if not all(n[1:]):
         return 0.5, 1.0, 1.5
     y = n[1] / (n[1] + 2 * n[2])
@@ -108,68 +98,105 @@ def _context(gram: str) -> Column:
     return F.shiftright(gram, BITS)
 
 
+def _suffix(gram: str, k: int) -> Column:
+    """The last ``k`` symbols of a gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << BITS * k) - 1))
+
+
 @dataclass
-class Model:
-    """By order, from one up: seen grams and their probabilities, seen contexts and their back-off weights."""
-
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-    def dense(self) -> np.ndarray:
-        """log10 probability of every gram of the highest order: CLASSES ** ORDER numbers of four bytes."""
-        lower = np.full(CLASSES, 1 / CLASSES, np.float32)
-        for k, (grams, probabilities, contexts, weights) in enumerate(self.levels):
-            back = np.ones(CLASSES**k, np.float32)
-            back[contexts] = weights
-            p = np.repeat(back, CLASSES)
-            by_suffix = p.reshape(-1, len(lower))  # a gram without its first symbol is an index into the order below
-            by_suffix *= lower
-            p[grams] = probabilities
-            lower = p
-        return np.log10(lower, out=lower)
-
-
-def train(counts: DataFrame, order: int = ORDER) -> Model:
-    """Modified Kneser-Ney from the counts (gram, c) of the highest order; lower orders count distinct left neighbours."""
-    tables = [stage(counts, "grams")]
+class Level:
+    """One order: the probabilities of its seen grams (gram, p) and the back-off weights of its seen contexts (context, weight)."""
+
+    seen: DataFrame
+    weights: DataFrame
+
+
+def train(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> list[Level]:
+    """Modified Kneser-Ney, order one first, from the counts (gram, c > 0) of the highest order; lower orders count distinct left neighbours."""
+    tables = [scratch.stage(counts, "grams")]
     for k in range(order - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")
-        tables.append(stage(tables[-1].select(suffix).groupBy("gram").agg(F.count("*").alias("c")), "grams"))
-    levels, lower = [], None
+        tables.append(scratch.stage(tables[-1].groupBy(_suffix("gram", k).alias("gram")).agg(F.count("*").alias("c")), "grams"))
+    levels: list[Level] = []
     for k, table in enumerate(reversed(tables)):
         d1, d2, d3 = discounts(table)
         cost = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        contexts = table.groupBy(_context("gram").alias("context")).agg(F.sum("c").alias("total"), (F.sum(cost) / F.sum("c")).alias("weight"))
+        sums = table.groupBy(_context("gram").alias("context")).agg(F.sum("c").alias("total"), (F.sum(cost) / F.sum("c")).alias("weight"))
+        contexts = scratch.stage(sums, "contexts")
         parts = table.withColumn("context", _context("gram")).join(contexts, "context")
         own = (F.col("c") - cost) / F.col("total")
-        if lower is None:
-            seen = parts.select("gram", (own + F.col("weight") / CLASSES).alias("p"))
+        if not levels:
+            seen = parts.select("gram", (own + F.col("weight") / SYMBOLS).alias("p"))
         else:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
-            below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
-            seen = parts.withColumn("suffix", suffix).join(below, "suffix").select("gram", (own + F.col("weight") * F.col("below")).alias("p"))
-        lower = stage(seen, "probabilities")
-        got, backs = lower.toArrow(), contexts.select("context", "weight").toArrow()  # at most CLASSES ** order rows
-        levels.append(tuple(c.to_numpy() for c in (*got.columns, *backs.columns)))
-    return Model(levels)
+            below = levels[-1].seen.select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            seen = parts.withColumn("suffix", _suffix("gram", k)).join(below, "suffix").select("gram", (own + F.col("weight") * F.col("below")).alias("p"))
+        levels.append(Level(scratch.stage(seen, "probabilities"), contexts.select("context", "weight")))
+    return levels
 
 
-def perplexities(docs: DataFrame, model: Model, table: np.ndarray) -> DataFrame:
-    """doc_id, lang, symbols, log10_prob of every row; row-local. The model is bounded by its order and broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, table))
+def probabilities(grams: DataFrame, levels: list[Level], scratch: Scratch) -> DataFrame:
+    """gram, p of distinct grams of the highest order, seen or not: those not seen are looked up by their distinct suffixes."""
+    if not levels:
+        return grams.select("gram", F.lit(1 / SYMBOLS).alias("p"))
+    known = scratch.stage(grams.select("gram").join(levels[-1].seen, "gram", "left"), "known")
+    missing = known.where(F.col("p").isNull()).select("gram", _context("gram").alias("context"), _suffix("gram", len(levels) - 1).alias("suffix"))
+    lower = probabilities(missing.select(F.col("suffix").alias("gram")).distinct(), levels[:-1], scratch)
+    backed = missing.join(levels[-1].weights, "context", "left").join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+    return known.where(F.col("p").isNotNull()).unionByName(backed.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p")))
+
+
+_PACKED = "block int, grams binary, logs binary"
+_RATED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("symbols", pa.int64()), ("log10_prob", pa.float64())])
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value
-        logs = model.dense()
-        names = ["doc_id", "lang", "symbols", "log10_prob"]
-        for frame in frames:
-            for at in range(0, frame.num_rows, 512):
-                ids, texts, langs = frame.slice(at, 512).columns
-                each = [logs[grams_of(t, table)] for t in texts.to_pylist()]
-                size, total = [len(e) for e in each], [float(e.sum(dtype=np.float64)) for e in each]
-                yield pa.RecordBatch.from_arrays([ids, langs, pa.array(size, pa.int64()), pa.array(total, pa.float64())], names=names)
 
-    chosen = doc_texts(docs, F.col("lang").cast("string").alias("lang"))
-    return chosen.mapInArrow(run, "doc_id long, lang string, symbols long, log10_prob double")
+def _pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams and log10 probabilities by block, many to a row."""
+    for frame in frames:
+        blocks, grams, logs = (column.to_numpy() for column in frame.columns)
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.diff(blocks[order], prepend=-1, append=-1))
+        parts = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+        columns = [pa.array([blocks[p[0]] for p in parts], pa.int32()), pa.array([grams[p].tobytes() for p in parts], pa.binary()), pa.array([logs[p].tobytes() for p in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "grams", "logs"])
+
+
+def perplexities(docs: DataFrame, known: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, lang, symbols, log10_prob of every row; ``known`` (gram, p) holds every gram of ``docs``.
+
+    Blocks are dealt by id and text, so only rows equal in both need share one. The texts are shuffled once:
+    the exchange serves both the blocks' questions and their sums.
+    """
+    texts = doc_texts(docs, F.col("lang").cast("string").alias("lang")).withColumn("text", F.col("text").cast("binary"))
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = 1 + total // BLOCK_BYTES
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
+    dealt = texts.select(block, "doc_id", "lang", "text").repartition(blocks, "block")
+
+    def ask(rows: pa.Table) -> pa.Table:
+        distinct, held, size = np.empty(0, np.int64), [], 0
+        for text in rows.column("text"):
+            for grams in grams_of(text.as_py(), order):
+                held.append(grams)
+                size += len(grams)
+                if size >= 4 * _PIECE:
+                    distinct, held, size = np.unique(np.concatenate([distinct, *held])), [], 0
+        distinct = np.unique(np.concatenate([distinct, *held]))
+        return pa.table({"block": pa.array(np.full(len(distinct), rows.column("block")[0].as_py(), np.int32)), "gram": pa.array(distinct)})
+
+    def add_up(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(g.as_py(), np.int64) for g in answers.column("grams"))])
+        logs = np.concatenate([np.empty(0), *(np.frombuffer(g.as_py(), np.float64) for g in answers.column("logs"))])
+        by_key = np.argsort(keys)
+        keys, logs = keys[by_key], logs[by_key]
+        size, total = [], []
+        for text in rows.column("text"):
+            text = text.as_py()
+            size.append(len(text) + 1)
+            total.append(sum(float(logs[np.searchsorted(keys, grams)].sum()) for grams in grams_of(text, order)))
+        return pa.Table.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(size, pa.int64()), pa.array(total, pa.float64())], schema=_RATED)
+
+    asked = dealt.groupBy("block").applyInArrow(ask, "block int, gram long")
+    answers = asked.join(known, "gram").select("block", "gram", F.log10("p").alias("log")).mapInArrow(_pack, _PACKED)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, "doc_id long, lang string, symbols long, log10_prob double")
 
 
 def _limits(trusted: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
@@ -189,13 +216,17 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     A language with fewer than ``enough`` trusted documents has the quantiles of all (``limits_of``: language or all).
     With ``low`` 0 there is no lower limit. Without trusted documents the model is uniform and all are kept.
     """
-    trusted_ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    table = class_table(frequent_points(docs))
-    # Texts are dealt by id at every size; broadcasting the ids only while they are few would hide what a larger table costs.
-    model = train(count_grams(doc_texts(docs).join(trusted_ids.hint("merge"), "doc_id", "left_semi"), table))
-    rated = perplexities(docs, model, table).withColumn("cell", F.round(-F.col("log10_prob") / F.col("symbols") * _GRID).cast("long"))
-    scored = stage(rated, "perplexities")
-    trusted = stage(scored.join(trusted_ids, "doc_id", "left_semi").select("lang", "cell"), "trusted")
+    trusted_ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    few = trusted_ids.count() <= BROADCAST_IDS
+    flags = trusted_ids.withColumn("trusted", F.lit(True)).hint("broadcast" if few else "merge")
+    with Scratch(docs.sparkSession) as scratch:
+        texts = doc_texts(docs).join(flags, "doc_id", "left").select(F.col("text").cast("binary").alias("text"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+        counts = scratch.stage(count_grams(texts), "counts")
+        levels = train(counts.where(F.col("c") > 0), scratch)
+        known = scratch.stage(probabilities(counts, levels, scratch), "known")
+        rated = perplexities(docs, known).withColumn("cell", F.round(-F.col("log10_prob") / F.col("symbols") * _GRID).cast("long"))
+        scored = stage(rated, "perplexities")
+    trusted = stage(scored.join(trusted_ids.hint("broadcast" if few else "merge"), "doc_id", "left_semi").select("lang", "cell"), "trusted")
     pooled = _limits(trusted.withColumn("all", F.lit(1)), ["all"], low, high).first()
     by_lang = _limits(trusted, ["lang"], low, high).where(F.col("total") >= enough)
     own = by_lang.select(F.col("lang").alias("_lang"), F.col("low").alias("low_cell"), F.col("high").alias("high_cell"))

@@ -6,18 +6,18 @@ import numpy as np
 import pytest
 
 from passagemill.llm import quality
+from passagemill.llm.common import Scratch
 
 
-def plain_model(texts, table, order):
-    """The same model from its definition, with dictionaries; returns P(last symbol | those before)."""
-    grams = Counter(g for t in texts for g in map(int, quality.grams_of(t, table, order)))
-    levels = {order: dict(grams)}
+def plain_model(texts, order):
+    """The same model from its definition, on tuples of symbols and with dictionaries; returns P(last symbol | those before)."""
+    levels = {order: Counter(g for t in texts for g in plain_grams(t, order))}
     for k in range(order - 1, 0, -1):
         left = defaultdict(set)
         for g in levels[k + 1]:
-            left[g & (1 << quality.BITS * k) - 1].add(g)
+            left[g[1:]].add(g)
         levels[k] = {g: len(x) for g, x in left.items()}
-    cost = {}
+    cost, under = {}, {}
     for k, counts in levels.items():
         n = [sum(c == i for c in counts.values()) for i in range(5)]
         if all(n[1:]):
@@ -25,33 +25,77 @@ def plain_model(texts, table, order):
             cost[k] = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i) for i in (1, 2, 3)]
         else:
             cost[k] = [0.5, 1.0, 1.5]
+        for g, c in counts.items():
+            under.setdefault(g[:-1], []).append(c)
 
-    def p(gram, k):
+    def p(gram):
+        k = len(gram)
         if k == 0:
-            return 1 / quality.CLASSES
-        context = [(g, c) for g, c in levels[k].items() if g >> quality.BITS == gram >> quality.BITS]
-        below = p(gram & (1 << quality.BITS * (k - 1)) - 1, k - 1)
-        if not context:
+            return 1 / quality.SYMBOLS
+        below = p(gram[1:])
+        counts = under.get(gram[:-1])
+        if not counts:
             return below
-        total = sum(c for _, c in context)
-        spare = sum(cost[k][min(c, 3) - 1] for _, c in context)
+        spare = sum(cost[k][min(c, 3) - 1] for c in counts)
         c = levels[k].get(gram, 0)
-        return (max(c - cost[k][min(c, 3) - 1], 0) if c else 0) / total + spare / total * below
+        return (max(c - cost[k][min(c, 3) - 1], 0) if c else 0) / sum(counts) + spare / sum(counts) * below
 
     return p
 
 
+def plain_grams(text, order):
+    symbols = [256] * (order - 1) + list(text.encode()) + [256]
+    return [tuple(symbols[i : i + order]) for i in range(len(text.encode()) + 1)]
+
+
+def packed(gram):
+    return sum(s << quality.BITS * i for i, s in enumerate(reversed(gram)))
+
+
+def test_grams_come_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(quality, "_PIECE", 7)
+    for n in (0, 1, 2, 5, 6, 7, 8, 13, 14, 15, 60):
+        text = "".join(rng.choice("ab\u00e9\u4e2d") for _ in range(n))
+        assert [int(g) for piece in quality.grams_of(text.encode()) for g in piece] == [packed(g) for g in plain_grams(text, quality.ORDER)]
+
+
 def test_model_matches_its_definition(spark, shared):
     rng = random.Random(5)
-    texts = ["".join(rng.choice("aaabbc d") for _ in range(rng.randrange(40))) for _ in range(30)] + [""]
-    table = quality.class_table([ord(c) for c in "abcd "])
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    logs = quality.train(quality.count_grams(docs, table, 3), 3).dense()
-    p = plain_model(texts, table, 3)
-    for gram in [int(g) for g in quality.grams_of("abcadzbb", table, 3)] + [rng.randrange(1 << 18) for _ in range(60)]:
-        assert logs[gram] == pytest.approx(math.log10(p(gram, 3)), rel=1e-5)
-    sums = (10.0 ** logs.astype(np.float64)).reshape(-1, quality.CLASSES).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
+    texts = ["".join(rng.choice("aaabbc d\u4e2d") for _ in range(rng.randrange(40))) for _ in range(30)] + [""]
+    docs = spark.createDataFrame([(bytearray(t.encode()), True) for t in texts], "text binary, trusted boolean")
+    p = plain_model(texts, 3)
+    asked = {*plain_grams("abcadzbb\u4e2d\u5b57", 3), *(tuple(rng.choice((97, 98, 120, 256)) for _ in range(3)) for _ in range(40)), *((97, 98, s) for s in range(257))}
+    with Scratch(spark) as scratch:
+        levels = quality.train(quality.count_grams(docs, 3), scratch, 3)
+        got = quality.probabilities(spark.createDataFrame([(packed(g),) for g in asked], "gram long"), levels, scratch).collect()
+    assert len(got) == len(asked)
+    by = {r.gram: r.p for r in got}
+    for gram in asked:
+        assert by[packed(gram)] == pytest.approx(p(gram), rel=1e-9)
+    assert sum(by[packed((97, 98, s))] for s in range(257)) == pytest.approx(1)
+
+
+def test_query_against_brute_force(spark, shared, monkeypatch):
+    """Perplexities, limits of each language and keep, over several blocks and scripts."""
+    rng = random.Random(8)
+    words = {"xx": "one two three four five".split(), "yy": "\u4e2d\u6587 \u5b57\u7b26 \u00e9t\u00e9 na\u00efve".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 30))) + ("#@!" * (i % 9 == 0)), lang) for i in range(90) for lang in [rng.choice(("xx", "yy"))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = {i for i in range(90) if i % 9 and i % 2}
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 2_000)
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i in range(0, 90)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs, labels, 0.1, 0.9, enough=5).collect()}
+    p = plain_model([t for i, t, _ in rows if i in trusted], quality.ORDER)
+    logs = {i: sum(math.log10(p(g)) for g in plain_grams(t, quality.ORDER)) for i, t, _ in rows}
+    cells = {i: -logs[i] / (len(t.encode()) + 1) * 10_000 for i, t, _ in rows}
+    assert len(got) == 90 and {r.limits_of for r in got.values()} == {"language"}
+    for i, text, lang in rows:
+        assert got[i].symbols == len(text.encode()) + 1 and got[i].log10_prob == pytest.approx(logs[i], rel=1e-9)
+        own = sorted(round(cells[j]) for j, _, other in rows if other == lang and j in trusted)
+        low, high = own[math.ceil(0.1 * len(own)) - 1], own[math.ceil(0.9 * len(own)) - 1]
+        assert got[i].keep == (low <= round(cells[i]) <= high)
+        assert got[i].low == pytest.approx(10 ** (low / 10_000)) and got[i].high == pytest.approx(10 ** (high / 10_000))
 
 
 def test_junk_is_found_in_held_out_documents(spark, shared):
