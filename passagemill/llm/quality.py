@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import Scratch, doc_texts, rows_of, stage
+from passagemill.llm.ctw import Lookup
 from passagemill.session import small
 
 #: Symbols are bytes; ``BOUNDARY`` stands before a text and is its end.
@@ -33,7 +34,7 @@ LOW, HIGH = 0.0, 0.99
 #: Fewer trusted documents of a language than this, and it takes the quantiles of all languages together.
 ENOUGH = 30
 #: Bytes of text that one task scores at a time.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: So many trusted ids (8 bytes each) are broadcast; more are joined by a sort of both sides.
 BROADCAST_IDS = 1_000_000
 _GRID = 10_000
@@ -57,26 +58,54 @@ def grams_of(text: bytes, order: int = ORDER) -> Iterator[np.ndarray]:
         yield grams
 
 
+class Distinct:
+    """Distinct grams of many arrays. A table that holds the last gram of each slot turns most repeats away before any sorting."""
+
+    _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 20)
+
+    def __init__(self):
+        self.last = np.full(1 << 20, -1, np.int64)
+        self.found = np.empty(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, grams: np.ndarray) -> None:
+        place = ((grams.view(np.uint64) * self._MIX) >> self._SHIFT).view(np.int64)
+        new = np.flatnonzero(self.last[place] != grams)
+        self.last[place[new]] = grams[new]
+        self.held.append(grams[new])
+        self.size += len(new)
+        if self.size >= _PIECE:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        self.found, self.held, self.size = np.unique(np.concatenate([self.found, *self.held])), [], 0
+        return self.found
+
+
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """gram, c of the texts (text binary, trusted): how often each gram of the corpus occurs in trusted ones, 0 if only in others."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
-        size = 0
+        held: list[np.ndarray] = []
+        other, size = Distinct(), 0
 
         def settle() -> pa.RecordBatch:
-            other, own = (np.concatenate(part) if part else np.empty(0, np.int64) for part in held)
-            keys, n = np.unique(own, return_counts=True)
-            unseen = np.setdiff1d(other, keys)
-            held[0].clear(), held[1].clear()
+            keys, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            unseen = np.setdiff1d(other.settle(), keys, assume_unique=True)
+            other.found = np.empty(0, np.int64)
+            held.clear()
             columns = [pa.array(np.concatenate([keys, unseen])), pa.array(np.concatenate([n, np.zeros(len(unseen), np.int64)]))]
             return pa.RecordBatch.from_arrays(columns, names=["gram", "c"])
 
         for text, trusted in rows_of(frames):
             for grams in grams_of(text, order):
-                held[bool(trusted)].append(grams)
-                size += len(grams)
-                if size >= 4 * _PIECE:
+                if trusted:
+                    held.append(grams)
+                    size += len(grams)
+                else:
+                    other.add(grams)
+                if size >= 4 * _PIECE or len(other.found) >= 4 * _PIECE:
                     yield settle()
                     size = 0
         yield settle()
@@ -172,26 +201,22 @@ def perplexities(docs: DataFrame, known: DataFrame, order: int = ORDER) -> DataF
     dealt = texts.select(block, "doc_id", "lang", "text").repartition(blocks, "block")
 
     def ask(rows: pa.Table) -> pa.Table:
-        distinct, held, size = np.empty(0, np.int64), [], 0
+        seen = Distinct()
         for text in rows.column("text"):
             for grams in grams_of(text.as_py(), order):
-                held.append(grams)
-                size += len(grams)
-                if size >= 4 * _PIECE:
-                    distinct, held, size = np.unique(np.concatenate([distinct, *held])), [], 0
-        distinct = np.unique(np.concatenate([distinct, *held]))
+                seen.add(grams)
+        distinct = seen.settle()
         return pa.table({"block": pa.array(np.full(len(distinct), rows.column("block")[0].as_py(), np.int32)), "gram": pa.array(distinct)})
 
     def add_up(rows: pa.Table, answers: pa.Table) -> pa.Table:
         keys = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(g.as_py(), np.int64) for g in answers.column("grams"))])
         logs = np.concatenate([np.empty(0), *(np.frombuffer(g.as_py(), np.float64) for g in answers.column("logs"))])
-        by_key = np.argsort(keys)
-        keys, logs = keys[by_key], logs[by_key]
+        logs_of = Lookup(keys, logs)
         size, total = [], []
         for text in rows.column("text"):
             text = text.as_py()
             size.append(len(text) + 1)
-            total.append(sum(float(logs[np.searchsorted(keys, grams)].sum()) for grams in grams_of(text, order)))
+            total.append(sum(float(logs_of[grams].sum()) for grams in grams_of(text, order)))
         return pa.Table.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(size, pa.int64()), pa.array(total, pa.float64())], schema=_RATED)
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, gram long")
