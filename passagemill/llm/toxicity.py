@@ -2,17 +2,19 @@
 
 Categories are predicted one after the other; each linear model sees the probabilities of the categories
 before it. In training these are out-of-fold predictions, so that a later model meets probabilities as
-unsure as those it will get for new documents. Here the chain is low quality, toxic, severe; the labels hold
-the first two, severe means a toxic document with at least the median number of marked words.
+unsure as those it will get for new documents. The chain runs over the categories the labels hold, low quality
+and toxic. Folds go by the text, so that equal texts are in one fold and no copy predicts another.
 
 The models are fitted on a bounded sample of the labelled rows (``MAX_LABELLED``, by hash of the id). Features
 are words and word beginnings, since insults are inflected; they are picked by a chi-square test on the whole
-sample, counted in Spark, the best of each family. Every document is scored in one pass over its whole text.
+sample, counted in Spark, the best of each family, at most ``MAX_WORDS`` a category (a bound of the model's
+size, like that of the sample; the argument ``words``). Every document is scored in one pass over its whole text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.common import batches, doc_texts, mapped, rows_of
 
-CATEGORIES = ("low_quality", "toxic", "severe")
+CATEGORIES = ("low_quality", "toxic")
 MAX_LABELLED, MAX_WORDS, MIN_DOCS, FOLDS, PENALTY = 20_000, 64, 5, 5, 0.3
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.5
@@ -48,6 +50,10 @@ def measures_of(text: str, words: list[str], distinct: Collection[str]) -> list[
 _CAPITALS, _DIGITS = re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"[0-9]+")
 
 
+def fold_of(text: str) -> int:
+    return zlib.crc32(text.encode()) % FOLDS
+
+
 def stems_of(word: str, lengths=BEGINNINGS) -> list[str]:
     """The word and, marked by a star, its longer beginnings."""
     return [word, *(word[:n] + "*" for n in lengths if n < len(word))]
@@ -62,28 +68,26 @@ class Chain:
     weights: list[np.ndarray] = field(default_factory=list)
     constants: list[float] = field(default_factory=list)
 
-    def features(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
-        """One row a text (a one, the measures, how often markers occur, each stem), and the distinct marked words."""
+    def features(self, texts: list[str]) -> np.ndarray:
+        """One row a text: a one, the measures, how often markers occur, each stem."""
         first = 3 + _MEASURES
         x = np.zeros((len(texts), first + len(self.stems)))
         x[:, 0] = 1
-        marked = []
         lengths = sorted({len(s) - 1 for s in self.stems if s[-1] == "*"})
         for i, text in enumerate(texts):
             words = words_in(text)
             counts = Counter(words)
             x[i, 1 : 1 + _MEASURES] = measures_of(text, words, counts.keys())
-            hits = distinct = 0
+            hits = 0
             for word, n in counts.items():
                 own = [s for s in stems_of(word, lengths) if s in self.stems]
                 for stem in own:
                     x[i, first + self.stems[stem]] += n
                 if own and not self.markers.isdisjoint(own):
-                    hits, distinct = hits + n, distinct + 1
+                    hits += n
             x[i, first - 2 : first] = np.log1p(hits), min(5.0, 100 * hits / max(1, len(words)))
-            marked.append(distinct)
         x[:, first:] = np.log1p(x[:, first:])
-        return x, marked
+        return x
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(CATEGORIES)))
@@ -200,25 +204,22 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, words:
     def featured(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             for doc_id, text, low, tox in rows_of(frames):
-                x, marked = chain.features([text])
-                at = np.flatnonzero(x[0])
-                yield doc_id, low, tox, marked[0], at.tolist(), x[0][at].tolist()
+                x = chain.features([text])[0]
+                at = np.flatnonzero(x)
+                yield doc_id, low, tox, fold_of(text), at.tolist(), x[at].tolist()
 
-        schema = pa.schema([("doc_id", pa.int64()), ("low", pa.int32()), ("toxic", pa.int32()), ("marks", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("low", pa.int32()), ("toxic", pa.int32()), ("fold", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
         yield from batches(each(), schema, 256)
 
     per_id = sample.dropDuplicates(["doc_id"]) if rows else sample  # repeated rows of an id would exceed the bound
-    made = per_id.select("doc_id", "text", "low_quality", "toxic").mapInArrow(featured, "doc_id long, low int, toxic int, marks int, at array<int>, x array<double>")
+    made = per_id.select("doc_id", "text", "low_quality", "toxic").mapInArrow(featured, "doc_id long, low int, toxic int, fold int, at array<int>, x array<double>")
     got = sorted(made.collect(), key=lambda r: r.doc_id) if rows else []
-    x, y = np.zeros((len(got), width)), np.zeros((len(got), 3))
+    x, y = np.zeros((len(got), width)), np.zeros((len(got), len(CATEGORIES)))
     for i, r in enumerate(got):
         x[i, r["at"]] = r["x"]
-        y[i] = r["low"], r["toxic"], 0
-    marks = np.array([r["marks"] for r in got])
-    if len(got) and y[:, 1].any():
-        y[:, 2] = (y[:, 1] > 0) & (marks >= max(1, np.median(marks[y[:, 1] > 0])))
-    folds = np.array([r["doc_id"] % FOLDS for r in got])
-    chain.weights, chain.constants, _ = fit_chain(x, y, folds) if len(got) else ([np.zeros(0)] * 3, [0.0] * 3, None)
+        y[i] = r["low"], r["toxic"]
+    folds = np.array([r["fold"] for r in got])
+    chain.weights, chain.constants, _ = fit_chain(x, y, folds) if len(got) else ([np.zeros(0)] * len(CATEGORIES), [0.0] * len(CATEGORIES), None)
     return chain
 
 
@@ -234,7 +235,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         for frame in frames:
             for at in range(0, frame.num_rows, 256):
                 ids, texts = frame.slice(at, 256).columns
-                p = chain.probabilities(chain.features(texts.to_pylist())[0])
+                p = chain.probabilities(chain.features(texts.to_pylist()))
                 toxic = p[:, CATEGORIES.index("toxic")] >= THRESHOLD
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(p[:, c]) for c in range(len(CATEGORIES))), pa.array(toxic)], schema=schema)
 
@@ -242,7 +243,12 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the chain fitted on them and ``labels`` does not find toxic."""
+    """The rows of ``docs``, all columns, that the chain fitted on them and ``labels`` does not find toxic.
+
+    A null text counts as empty; equal texts stay or go together, repeated rows too; ids may be null or repeat,
+    for they decide nothing; a document exactly at the threshold goes. Without labelled documents all stay, and an
+    empty table stays empty.
+    """
     chain = train(docs, labels)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +257,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for at in range(0, frame.num_rows, 256):
                 piece = frame.slice(at, 256)
                 texts = [t or "" for t in piece.column(text).to_pylist()]
-                p = chain.probabilities(chain.features(texts)[0])
+                p = chain.probabilities(chain.features(texts))
                 yield piece.filter(pa.array(p[:, CATEGORIES.index("toxic")] < THRESHOLD))
 
     return mapped(docs, run)

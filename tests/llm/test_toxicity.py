@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -48,6 +49,34 @@ def test_later_models_get_out_of_fold_probabilities():
     assert np.allclose(weights[1], toxicity.fit_linear(later, y[:, 1]))
 
 
+def test_query_against_its_definition(spark):
+    """Probabilities of all documents by fitting the chain here, from the features of the labelled ones."""
+    docs, labels = fixture(300)
+    docs += [(1000 + i, docs[i][1]) for i in range(0, 60, 2)]  # copies, labelled like their originals
+    labels += [(1000 + i, 1, int(i % 5 == 0)) for i in range(0, 60, 2)]
+    labels = [(i, int(i % 7 != 0), t) for i, _, t in labels]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    chain = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: (r.p_low_quality, r.p_toxic, r.is_toxic) for r in toxicity.score(d, chain).collect()}
+    text, marks = dict(docs), {i: (1 - q, t) for i, q, t in labels}
+    ids = sorted(marks)
+    x = chain.features([text[i] for i in ids])
+    folds = np.array([zlib.crc32(text[i].encode()) % 5 for i in ids])
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    low, toxic = (np.array([marks[i][c] for i in ids], float) for c in (0, 1))
+    held_out = np.zeros(len(ids))
+    for f in range(5):
+        held_out[folds == f] = sigmoid(x[folds == f] @ toxicity.fit_linear(x[folds != f], low[folds != f]))
+    first = toxicity.fit_linear(x, low)
+    second = toxicity.fit_linear(np.column_stack([x, toxicity._logits(held_out)]), toxic)
+    every = chain.features([t for _, t in docs])
+    p_low = sigmoid(every @ first)
+    p_toxic = sigmoid(np.column_stack([every, toxicity._logits(p_low)]) @ second)
+    assert len(got) == len(docs)
+    for (i, _), a, b in zip(docs, p_low, p_toxic):
+        assert np.allclose(got[i][:2], (a, b), atol=1e-9) and got[i][2] == (b >= 0.5)
+
+
 def test_real_labels(spark):
     sf = "/root/testdata/sf0.01"
     d, l = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
