@@ -5,6 +5,7 @@ The trees hold every document as a file of its own, so the SQL can cut the same
 
 from __future__ import annotations
 
+from pyarrow import ArrowInvalid
 from pyspark.sql import functions as F
 
 from catalog.chunks import CHUNKS, text_chunks, widened
@@ -12,20 +13,29 @@ from passagemill.operators.embedding import HashEmbedder, embed
 from passagemill.plans import roles
 from passagemill.plans.index_job import CorpusIndex
 from passagemill.session import new_work_path
-from passagemill.sources.files import file_stats, scan_for_symbols
+from passagemill.sources.files import file_stats, scan_for_symbols, write_texts
 from passagemill.sources.store import RECORD_SCHEMA, ChunkStore, read_json_record
 from passagemill.streaming import usage
 from passagemill.streaming.sinks import batch_table, fan_out, read_stream
 
 
 def _doc():
-    return F.regexp_extract("filepath", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id")
+    return F.regexp_extract("filepath", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id")
 
 
 def _write_tree(spark, sf, root, where="true"):
-    """One text file a document, in folders by source, language and id."""
+    """One text file a document, named by its id, in folders by source and language.
+
+    A folder system that only Spark writes to gets a folder a document, which is slower to write and to list.
+    """
     texts = roles.table(spark, sf, "documents").where(where).select("source", "lang", "doc_id", "text")
-    texts.write.mode("append").partitionBy("source", "lang", "doc_id").text(root)
+    part = lambda name: F.concat(F.lit(f"{name}="), F.coalesce(F.url_encode(F.col(name).cast("string")), F.lit("null")))
+    path = F.concat(part("source"), F.lit("/"), part("lang"), F.lit("/"), part("doc_id"), F.lit(".txt"))
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    try:
+        write_texts(texts.select(path.alias("filepath"), content.alias("content")), root)
+    except ArrowInvalid:
+        texts.write.mode("append").partitionBy("source", "lang", "doc_id").text(root)
 
 
 def _index(spark, root, store, embedder=None):

@@ -7,12 +7,10 @@ changed since, so only the missing stages are computed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from itertools import islice
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,13 +21,13 @@ from passagemill.operators.chunking import DEFAULT_MAX_LINES, DEFAULT_OVERLAP, c
 from passagemill.operators.embedding import HashEmbedder, check_dimensions, embed
 from passagemill.operators.search import hybrid_search, search_by_concept, search_similar
 from passagemill.plans.summary import corpus_summary
-from passagemill.session import new_work_path, small, stage
-from passagemill.sources.files import DEFAULT_EXCLUDE, DEFAULT_INCLUDE, read_files, scan_corpus
+from passagemill.session import small, stage
+from passagemill.sources.files import DEFAULT_EXCLUDE, DEFAULT_INCLUDE, list_tree, read_files, scan_corpus
 from passagemill.sources.store import CHUNK_SCHEMA, ChunkStore, nearest, read_json_record
 
 VERSION = "1"
 
-# Changed files are read by name in slices of this many.
+# Up to this many changed files are read by name; of more, one scan keeps those that changed.
 NAMED_FILES = 10_000
 
 STAGE_SCHEMA = T.StructType(
@@ -75,11 +73,11 @@ class CorpusIndex:
 
     # ------------------------------------------------------------- inputs
 
-    def files(self, with_content: bool = True) -> DataFrame:
-        return scan_corpus(self.spark, self.root, self.include, self.exclude, with_content)
+    def files(self, with_content: bool = True, tree: DataFrame | None = None, only: Sequence[str] | None = None) -> DataFrame:
+        return scan_corpus(self.spark, self.root, self.include, self.exclude, with_content, tree, only)
 
-    def changes(self) -> DataFrame:
-        return changes.detect_changes(self.files(with_content=False), self.store.load_files())
+    def changes(self, tree: DataFrame | None = None) -> DataFrame:
+        return changes.detect_changes(self.files(with_content=False, tree=tree), self.store.load_files())
 
     def staleness(self) -> DataFrame:
         if not self.store.exists():
@@ -114,22 +112,25 @@ class CorpusIndex:
         if auto_repair and exists and self.verdict().first()["corrupted"]:
             self.clear()
             return IndexResult(**{**vars(self.index(force=True)), "repaired": True})
+        # listed once: its times are older than the texts read later, so a file changed in between
+        # counts as modified next time
+        tree = list_tree(self.spark, self.root)
         if not force:
-            left_over = self._usable_stage()
+            left_over = self._usable_stage(tree)
             if left_over is not None:
-                return self._full(left_over)
+                return self._full(left_over, tree)
         self.store._delete(self.stage_path)
         if force or not exists:
-            return self._full(None)
+            return self._full(None, tree)
         differs = self.mismatch().first()
         if differs is not None and differs["mismatch"]:
-            return self._full(None)
-        return self._incremental()
+            return self._full(None, tree)
+        return self._incremental(tree)
 
     def clear(self) -> None:
         self.store.clear()
 
-    def _usable_stage(self) -> str | None:
+    def _usable_stage(self, tree: DataFrame) -> str | None:
         """Last finished phase of an interrupted run, if it still fits the files and the embedder."""
         record = read_json_record(self.spark, f"{self.stage_path}/record", STAGE_SCHEMA).first()
         if record is None:
@@ -138,7 +139,7 @@ class CorpusIndex:
         if not same:
             return None
         then = self.spark.read.parquet(f"{self.stage_path}/files")
-        moved = changes.detect_changes(self.files(with_content=False), then).filter("change <> 'unchanged'")
+        moved = changes.detect_changes(self.files(with_content=False, tree=tree), then).filter("change <> 'unchanged'")
         return record["phase"] if moved.isEmpty() else None
 
     def _mark(self, phase: str) -> None:
@@ -152,12 +153,11 @@ class CorpusIndex:
     def _embed(self, chunks: DataFrame) -> DataFrame:
         return embed(chunks, "content", self.embedder).select(*CHUNK_SCHEMA.names)
 
-    def _full(self, finished: str | None) -> IndexResult:
+    def _full(self, finished: str | None, tree: DataFrame) -> IndexResult:
         files_path, chunks_path, embedded_path = (f"{self.stage_path}/{x}" for x in ("files", "chunks", "embedded"))
         if finished is None:
-            # times are taken before the texts, so a file changed in between counts as modified next time
-            self.files(with_content=False).select("filepath", "mtime").write.mode("overwrite").parquet(files_path)
-            self._chunk(self.files()).write.mode("overwrite").parquet(chunks_path)
+            self.files(with_content=False, tree=tree).select("filepath", "mtime").write.mode("overwrite").parquet(files_path)
+            self._chunk(self.files(tree=tree)).write.mode("overwrite").parquet(chunks_path)
             self._mark("chunking")
         chunks = self.spark.read.parquet(chunks_path)
         if finished != "embedding":
@@ -172,36 +172,26 @@ class CorpusIndex:
         self.store._delete(self.stage_path)
         return IndexResult(n_files, created, False, resumed=finished is not None)
 
-    def _incremental(self) -> IndexResult:
+    def _incremental(self, tree: DataFrame) -> IndexResult:
         # staged: the run overwrites the tables this set is computed from
-        changed = stage(self.changes(), "changes")
+        changed = stage(self.changes(tree), "changes")
         if changed.filter("change <> 'unchanged'").isEmpty():
             return IndexResult(0, self.store.count_rows(), True)
-        times = self.files(with_content=False).select("filepath", "mtime")
-        fresh_path = new_work_path(self.spark, "fresh")
-        for texts in self._changed_files(changed):
-            self._chunk(texts).write.mode("append").parquet(fresh_path)
-        fresh = self.spark.read.parquet(fresh_path)
+        fresh = stage(self._chunk(self._changed_files(changed, tree)), "fresh")
         outdated = changed.filter(F.col("change").isin("modified", "deleted"))
         self.store.replace_files(outdated, self._embed(fresh))
-        self.store.write_files(times)
+        self.store.write_files(self.files(with_content=False, tree=tree).select("filepath", "mtime"))
         created = self._write_record(fresh.select("filepath", "method", "fell_back").distinct())
         n = changed.filter(F.col("change").isin("added", "modified")).count()
         return IndexResult(n, created, True)
 
-    def _changed_files(self, changed: DataFrame) -> Iterator[DataFrame]:
-        """Texts of new and newer files, read by name in slices of ``NAMED_FILES``; at least one, perhaps empty, frame."""
-        names = (r["filepath"] for r in changed.filter(F.col("change").isin("added", "modified")).select("filepath").toLocalIterator())
-        some = list(islice(names, NAMED_FILES))
-        if not some:
-            yield self.files().limit(0)
-        while some:
-            try:
-                yield read_files(self.spark, self.root, some)
-            except AnalysisException:  # a file went away since the listing
-                there = [n for n in some if self.store._has(f"{self.root.rstrip('/')}/{n}")]
-                yield read_files(self.spark, self.root, there) if there else self.files().limit(0)
-            some = list(islice(names, NAMED_FILES))
+    def _changed_files(self, changed: DataFrame, tree: DataFrame) -> DataFrame:
+        """Texts of new and newer files of a listing; up to ``NAMED_FILES`` of them are the only ones opened."""
+        names = changed.filter(F.col("change").isin("added", "modified")).select("filepath")
+        some = [r["filepath"] for r in names.limit(NAMED_FILES + 1).collect()]
+        if len(some) <= NAMED_FILES:
+            return self.files(tree=tree, only=some)
+        return self.files(tree=tree).join(names, "filepath", "left_semi")
 
     def _write_record(self, per_file: DataFrame) -> int:
         n = self.store.count_rows()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,9 @@ DEFAULT_EXCLUDE = [
 # Left out when a tree is searched for symbols.
 SYMBOL_EXCLUDE = ["node_modules/**", "dist/**", ".git/**"]
 
+# Spark puts only some 32 small files into a partition; a scan has at most this many tasks a core.
+TASKS_PER_CORE = 16
+
 
 def _decoded(uri: Column) -> Column:
     return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
@@ -60,8 +65,8 @@ def _relative(root: str) -> Column:
     return F.regexp_replace(_decoded(F.col("_metadata.file_path")), rf"^[a-z0-9]+:(?://[^/]*)?{quoted}/", "")
 
 
-def _tree(spark: SparkSession, root: str) -> DataFrame:
-    """The files below ``root``. One that went away is left out; one that can't be read is an error, not a gap."""
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The files below ``root``, listed now. One that went away is left out; one that can't be read is an error, not a gap."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
 
 
@@ -74,7 +79,8 @@ def _columns(tree: DataFrame, root: str, keep: Column, with_content: bool) -> Da
     ]
     if with_content:
         columns.append(F.col("content").cast("string").alias("content"))
-    found = tree.filter(keep).select(*columns)
+    tasks = TASKS_PER_CORE * tree.sparkSession.sparkContext.defaultParallelism
+    found = tree.filter(keep).select(*columns).coalesce(tasks)
     return found.withColumn("language", language_of(extension_of(F.col("filepath"))))
 
 
@@ -84,14 +90,19 @@ def scan_corpus(
     include: Sequence[str] = DEFAULT_INCLUDE,
     exclude: Sequence[str] = DEFAULT_EXCLUDE,
     with_content: bool = True,
+    tree: DataFrame | None = None,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
     """Files under ``root`` that match an include glob and no exclude glob, each once.
 
-    Without content only the listing is read.
+    Without content only the listing is read. ``tree`` is a listing (``list_tree``) that several scans share;
+    with ``only`` no file but the named ones is opened.
     """
     path = _relative(root)
     keep = any_path_matches(path, include) & ~any_path_matches(path, exclude)
-    return _columns(_tree(spark, root), root, keep, with_content)
+    if only is not None:
+        keep = keep & path.isin(list(only))
+    return _columns(list_tree(spark, root) if tree is None else tree, root, keep, with_content)
 
 
 def read_files(spark: SparkSession, root: str, filepaths: Sequence[str]) -> DataFrame:
@@ -116,7 +127,7 @@ def file_stats(
 def _by_extension(spark: SparkSession, root: str, extensions: Sequence[str], exclude: Sequence[str]) -> DataFrame:
     path = _relative(root)
     has = F.regexp_extract(path, r"(\.[^./]*)$", 1).isin(*extensions)
-    return _columns(_tree(spark, root), root, has & ~any_path_matches(path, exclude), True)
+    return _columns(list_tree(spark, root), root, has & ~any_path_matches(path, exclude), True)
 
 
 def scan_for_symbols(spark: SparkSession, root: str, path: str | None = None) -> DataFrame:
@@ -135,3 +146,34 @@ def scan_for_symbols(spark: SparkSession, root: str, path: str | None = None) ->
 
 def scan_for_references(spark: SparkSession, root: str) -> DataFrame:
     return _by_extension(spark, root, REFERENCE_EXTENSIONS, DEFAULT_EXCLUDE)
+
+
+def write_texts(texts: DataFrame, root: str) -> int:
+    """Write a file for every row (filepath below ``root``, content), in the tasks that hold the rows; how many.
+
+    The folder must be of a kind that pyarrow knows, else ``pyarrow.ArrowInvalid`` is raised. A file of the same
+    path is replaced.
+    """
+    spark = texts.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    full = re.sub("^file:/+", "file:///", full)
+    FileSystem.from_uri(full)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = FileSystem.from_uri(full)
+        made, n = set(), 0
+        for batch in batches:
+            for path, text in zip(batch.column("filepath"), batch.column("content")):
+                target = f"{base}/{path.as_py()}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    files.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with files.open_output_stream(target) as out:
+                    out.write(text.as_py().encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    counted = texts.select("filepath", "content").mapInArrow(write, "n bigint").agg(F.sum("n"))
+    return counted.first()[0] or 0

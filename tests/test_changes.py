@@ -294,3 +294,47 @@ def test_changed_files_are_read_in_slices(spark, root, tmp_path, monkeypatch):
     full = CorpusIndex(spark, str(root), str(tmp_path / "full"))
     full.index()
     assert contents(index) == contents(full)
+
+
+def test_a_run_lists_the_tree_once(spark, root, tmp_path, monkeypatch):
+    from passagemill.plans import index_job
+
+    calls = []
+    monkeypatch.setattr(index_job, "list_tree", lambda *a: calls.append(a) or tree.list_tree(*a))
+    monkeypatch.setattr(tree, "_tree", lambda *a: pytest.fail("listed again"), raising=False)
+    index = CorpusIndex(spark, str(root), str(tmp_path / "store"))
+    index.index()
+    assert len(calls) == 1
+    touch(root / "src/b.ts", "export function bar() {\n}\n", 10)
+    assert index.index().files_indexed == 1 and len(calls) == 2
+
+
+def test_a_scan_of_many_small_files_has_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "TASKS_PER_CORE", 1)
+    for i in range(300):
+        (tmp_path / f"f{i}.py").write_text(f"x = {i}\n")
+    found = tree.scan_corpus(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert found.count() == 300
+    some = tree.scan_corpus(spark, str(tmp_path), only=["f7.py", "f9.py", "none.py"])
+    assert sorted(r["content"] for r in some.collect()) == ["x = 7\n", "x = 9\n"]
+
+
+def test_texts_become_files_without_a_folder_each(spark, sf, tmp_path):
+    from catalog import runs
+
+    runs._write_tree(spark, sf, f"file://{tmp_path}/tree", "lang <> 'fr'")
+    runs._write_tree(spark, sf, f"{tmp_path}/tree", "lang = 'fr'")
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    folders = documents.select("source", "lang").distinct().count()
+    assert sum(1 for _, below, files in os.walk(tmp_path / "tree") if files) == folders
+    got = tree.scan_corpus(spark, str(tmp_path / "tree"), ["**/*.txt"], []).select(runs._doc(), "content")
+    want = {r["doc_id"]: (r["text"] or "") + "\n" for r in documents.collect()}
+    assert {r["doc_id"]: r["content"] for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_written_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b c.txt", "é\n"), ("a/d%2F.txt", "x")], "filepath string, content string")
+    assert tree.write_texts(rows, str(tmp_path / "t")) == 2 and tree.write_texts(rows.limit(0), str(tmp_path / "t")) == 0
+    assert (tmp_path / "t/a/b c.txt").read_text() == "é\n" and (tmp_path / "t/a/d%2F.txt").read_text() == "x"
+    assert {r["filepath"] for r in tree.file_stats(spark, str(tmp_path / "t"), ["**/*"], []).collect()} == {"a/b c.txt", "a/d%2F.txt"}
