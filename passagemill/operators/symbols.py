@@ -64,6 +64,10 @@ REFERENCE_EXTENSIONS = [
     ".rb",
 ]
 
+# A task holds about this many characters of found rows, and this many whole texts as Python strings.
+BATCH_CHARS = 4 << 20
+INPUT_ROWS = 64
+
 # A set of searched names up to this size is handed to the tasks.
 BROADCAST_NAMES = 100_000
 
@@ -300,15 +304,21 @@ def _token_rows(names: frozenset | None):
     return batched(rows_of, ["filepath", "content"], _RUNS if names is None else _TOKENS)
 
 
-def batched(rows_of, inputs: Sequence[str], ddl: str, size: int = 20_000):
-    """mapInArrow function that turns each input row into output rows, in batches of ``size``."""
+def batched(rows_of, inputs: Sequence[str], ddl: str, size: int = 20_000, chars: int = BATCH_CHARS):
+    """mapInArrow function that turns each input row into output rows.
+
+    A batch ends at ``size`` rows or ``chars`` characters, whichever comes first: rows that repeat a long line
+    are many times its text.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(ddl))
+    texts = [i for i, field in enumerate(schema) if pa.types.is_string(field.type)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out)) if out else [()] * len(schema)
@@ -319,14 +329,18 @@ def batched(rows_of, inputs: Sequence[str], ddl: str, size: int = 20_000):
             return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in inputs]
-            for values in zip(*columns):
-                if values[-1] is None:
-                    continue
-                for row in rows_of(*values):
-                    out.append(row)
-                    if len(out) >= size:
-                        yield flush()
+            for at in range(0, batch.num_rows, INPUT_ROWS):
+                part = batch.slice(at, INPUT_ROWS)
+                columns = [part.column(c).to_pylist() for c in inputs]
+                for values in zip(*columns):
+                    if values[-1] is None:
+                        continue
+                    for row in rows_of(*values):
+                        out.append(row)
+                        held += sum([len(row[i]) for i in texts])
+                        if len(out) >= size or held >= chars:
+                            yield flush()
+                            held = 0
         if out:
             yield flush()
 

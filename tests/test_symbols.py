@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,25 @@ def test_a_name_is_found_alike_among_few_and_many(spark):
         assert got == want
     places = {n: sorted((r[1], r[2]) for r in want if r[3] == n) for n in asked}
     assert places == {"a-b": [(1, 0), (2, 9)], "réel": [(1, 4), (2, 14)], "3dx": [(1, 9), (2, 19), (3, 0)], "x": [(1, 13)]}
+
+
+def test_found_rows_are_sent_on_by_their_size(spark):
+
+
+    line = "that " * 20_000
+    task = ops._token_rows(frozenset(["that"]))
+    read = []
+
+    def frames():
+        for i in range(2):
+            read.append(i)
+            yield pa.RecordBatch.from_pydict({"filepath": [f"f{i}"], "content": [line]})
+
+    found = task(frames())
+    first = next(found)
+    assert read == [0] and first.nbytes < 2 * ops.BATCH_CHARS
+    rows = first.num_rows
+    for batch in found:
+        assert batch.nbytes < 2 * ops.BATCH_CHARS
+        rows += batch.num_rows
+    assert rows == 40_000
