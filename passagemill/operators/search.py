@@ -28,6 +28,8 @@ FILTERED_FETCH_FACTOR = 5
 
 # Broadcasting query vectors is allowed up to this many bytes.
 BROADCAST_BYTES = 64 << 20
+# Queries whose best rows a task sorts at a time.
+QUERY_SLICE = 4096
 
 RESULT_COLUMNS = ["id", "filepath", "content", "start_line", "end_line", "language"]
 
@@ -152,25 +154,37 @@ def _smallest(queries: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) ->
 
 
 class _TopK:
-    """Running k best rows per query over the batches of one partition."""
+    """Running k best rows per query over the batches of one partition, for ``QUERY_SLICE`` queries at a time."""
 
     def __init__(self, queries: np.ndarray, k: int):
         self.y, self.k = queries, k
-        self.query = np.empty(0, dtype=np.int64)
-        self.dist = np.empty(0)
-        self.ids: np.ndarray | None = None
+        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * -(-len(queries) // QUERY_SLICE)
+
+    @property
+    def ids(self) -> np.ndarray | None:
+        found = [one[1] for one in self.best if one is not None]
+        return np.concatenate(found) if found else None
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         if not len(x):
             return
         first = distinct_rows(x, ids, self.k)
         ids, x = ids[first], x[first]
-        query, row, dist = near_pairs(x, self.y, self.k)
-        dist = np.round(dist, DISTANCE_DIGITS)
-        new_ids = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
-        query, dist = np.concatenate([self.query, query]), np.concatenate([self.dist, dist])
-        best = _smallest(query, dist, new_ids, self.k)
-        self.query, self.dist, self.ids = query[best], dist[best], new_ids[best]
+        for place, before in enumerate(self.best):
+            at = place * QUERY_SLICE
+            query, row, dist = near_pairs(x, self.y[at : at + QUERY_SLICE], self.k)
+            found = (query + at, ids[row], np.round(dist, DISTANCE_DIGITS))
+            if before is not None:
+                found = tuple(np.concatenate(c) for c in zip(before, found))
+            best = _smallest(found[0], found[2], found[1], self.k)
+            self.best[place] = tuple(c[best] for c in found)
+
+    def batches(self, names: list, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+        """The rows kept, a batch for each slice; ``names`` are the ids of the queries."""
+        for found in self.best:
+            if found is not None:
+                query, ids, dist = found
+                yield _pairs([names[i] for i in query], ids, dist, schema)
 
 
 def _top_per_query(pairs: DataFrame, k: int) -> DataFrame:
@@ -213,8 +227,7 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, broadcast_bytes: in
             for batch in batches:
                 if len(names):
                     best.add(_plain(batch.column("id")), matrix_of(batch.column("embedding")))
-            if best.ids is not None:
-                yield _pairs([names[i] for i in best.query], best.ids, best.dist, schema)
+            yield from best.batches(names, schema)
 
         return _top_per_query(c.mapInArrow(scan, schema), k)
 
@@ -237,9 +250,8 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, broadcast_bytes: in
                 _plain(chunk_rows.column("id")), matrix_of(chunk_rows.column("chunk_embedding").combine_chunks())
             )
         names = query_rows.column("query_id").to_pylist()
-        if best.ids is None:
-            return pa.Table.from_batches([_pairs([], np.empty(0), np.empty(0), schema)])
-        return pa.Table.from_batches([_pairs([names[i] for i in best.query], best.ids, best.dist, schema)])
+        none = _pairs([], np.empty(0), np.empty(0), schema)
+        return pa.Table.from_batches([none, *best.batches(names, schema)])
 
     pairs = (
         left.groupBy(F.col("qb").cast("int").alias("a"), F.col("cb").cast("int").alias("b"))

@@ -169,3 +169,28 @@ def test_a_batch_of_copies_gives_few_pairs(spark):
     best = search._TopK(np.zeros((2_000, 2)), 20)
     best.add(ids, x)
     assert len(best.ids) == 40_000 and set(best.ids.tolist()) == set(range(10_000, 10_020))
+
+
+def test_a_task_sorts_the_rows_of_a_few_queries_at_a_time(monkeypatch):
+    import numpy as np
+    from pyspark.sql import types as T
+
+    from passagemill.operators import search as ops
+
+    sorted_rows = []
+    smallest = ops._smallest
+    monkeypatch.setattr(ops, "_smallest", lambda q, *rest: sorted_rows.append(len(q)) or smallest(q, *rest))
+    monkeypatch.setattr(ops, "QUERY_SLICE", 3, raising=False)
+    x = np.random.default_rng(1).normal(size=(40, 4))
+    x[30:] = x[0]
+    best = ops._TopK(x, 5)
+    for at in (0, 20):
+        best.add(np.arange(at, at + 20), x[at : at + 20])
+    assert max(sorted_rows) <= 3 * (5 + 20)  # of three queries: kept rows and those of a batch
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "id")] + [T.StructField("distance", T.DoubleType())])
+    rows = [tuple(r.values()) for batch in best.batches(list(range(40)), schema) for r in batch.to_pylist()]
+    want = []
+    for i in range(40):
+        d = np.round(((x - x[i]) ** 2).sum(axis=1), ops.DISTANCE_DIGITS)
+        want += [(i, j) for j in sorted(range(40), key=lambda j: (d[j], j))[:5]]
+    assert sorted((q, i) for q, i, _ in rows) == sorted(want)
