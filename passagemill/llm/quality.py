@@ -245,10 +245,11 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     few = trusted_ids.count() <= BROADCAST_IDS
     flags = trusted_ids.withColumn("trusted", F.lit(True)).hint("broadcast" if few else "merge")
     with Scratch(docs.sparkSession) as scratch:
-        texts = doc_texts(docs).join(flags, "doc_id", "left").select(F.col("text").cast("binary").alias("text"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
-        counts = scratch.stage(count_grams(texts), "counts")
-        levels = train(counts.where(F.col("c") > 0), scratch)
-        known = scratch.stage(probabilities(counts, levels, scratch), "known")
+        with Scratch(docs.sparkSession) as model:  # the model's tables are gone before the texts are shuffled
+            texts = doc_texts(docs).join(flags, "doc_id", "left").select(F.col("text").cast("binary").alias("text"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+            counts = model.stage(count_grams(texts), "counts")
+            levels = train(counts.where(F.col("c") > 0), model)
+            known = scratch.stage(probabilities(counts, levels, model), "known")
         rated = perplexities(docs, known).withColumn("cell", F.round(-F.col("log10_prob") / F.col("symbols") * _GRID).cast("long"))
         scored = stage(rated, "perplexities")
     trusted = stage(scored.join(trusted_ids.hint("broadcast" if few else "merge"), "doc_id", "left_semi").select("lang", "cell"), "trusted")

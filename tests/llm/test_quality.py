@@ -136,3 +136,26 @@ def test_limits_are_the_language_s_own_if_it_has_enough_trusted_documents(spark,
     for enough, small in ((30, "all"), (10, "language"), (11, "all")):
         got = quality.classify(docs, labels, enough=enough).collect()
         assert {(r.lang, r.limits_of) for r in got} == {("xx", "language"), ("yy", small)}
+
+
+def test_the_model_is_gone_before_the_texts_are_shuffled(spark, shared, monkeypatch):
+    staged, there = [], []
+    stage, perplexities = Scratch.stage, quality.perplexities
+
+    def look(docs, known, *rest):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        files = hadoop(staged[0]).getFileSystem(spark._jsc.hadoopConfiguration())
+        there.extend(path for path in staged if files.exists(hadoop(path)))
+        return perplexities(docs, known, *rest)
+
+    def noted(self, df, name):
+        frame = stage(self, df, name)
+        staged.append(self.paths[-1])
+        return frame
+
+    monkeypatch.setattr(Scratch, "stage", noted)
+    monkeypatch.setattr(quality, "perplexities", look)
+    docs = spark.createDataFrame([(i, f"some words {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    assert quality.classify(docs, labels).count() == 20
+    assert len(staged) > 10 and [path.rsplit("/", 1)[1].split("-")[0] for path in there] == ["known"]
