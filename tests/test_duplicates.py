@@ -87,3 +87,26 @@ def test_odd_rows(spark):
         duplicates.near_duplicate_groups(spark.createDataFrame([(1, [float("nan")])], "id long, vec array<float>"), "id", "vec")
     with pytest.raises(ValueError, match="threshold"):
         duplicates.near_duplicate_groups(frame, "id", "vec", threshold=0)
+
+
+def test_rows_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(16)
+    rows = [(i, np.float32(base + 0.002 * rng.standard_normal(16)).tolist()) for i in range(400)]  # each near every other: 79,800 pairs
+    sizes = {}
+    own = duplicates.Scratch.stage
+    monkeypatch.setattr(duplicates.Scratch, "stage", lambda self, df, name: (frame := own(self, df, name), sizes.update({name: max(sizes.get(name, 0), frame.count())}))[0])
+    assert set(grouped(spark, rows, threshold=0.999).values()) == {(0, 399)}
+    assert sizes and max(sizes.values()) <= 20 * len(rows)
+    whole, sizes["links"] = sizes["links"], 0
+    assert grouped(spark, rows, threshold=0.999, crowded=64)[7] == (0, 399) and sizes["links"] > whole
+
+
+def test_a_pair_of_several_bands_counts_once(spark):
+    rows = made(200, seed=9)
+    frame = spark.createDataFrame([(k, v) for k, v in rows], "node long, v array<float>").repartition(4)
+    for crowded in (1000, 7):
+        with duplicates.Scratch(spark) as own:
+            got = [(r.a, r.b) for r in duplicates.near_pairs(own, frame, 0.9, crowded=crowded).collect()]
+        x = {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+        assert sorted(got) == sorted((a, b) for a in x for b in x if a < b and x[a] @ x[b] >= 0.9 + 1e-9 or a < b and abs(x[a] @ x[b] - 0.9) < 1e-9)
