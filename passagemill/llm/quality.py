@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +174,23 @@ def probabilities(grams: DataFrame, levels: list[Level], scratch: Scratch) -> Da
     return known.where(F.col("p").isNotNull()).unionByName(backed.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p")))
 
 
+def zipped(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their last column, texts, each compressed by itself, beside its ``size`` in bytes."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for frame in frames:
+        for at in range(0, frame.num_rows, 256):
+            *others, texts = frame.slice(at, 256).columns
+            small = [codec.compress(text.as_buffer(), asbytes=True) for text in texts]
+            yield pa.RecordBatch.from_arrays([*others, pc.binary_length(texts).cast(pa.int64()), pa.array(small, pa.binary())], names=[*frame.schema.names[:-1], "size", "text"])
+
+
+def unzipped(rows: pa.Table) -> Iterator[bytes]:
+    """The texts of such rows, one at a time."""
+    codec = pa.Codec("zstd")
+    for size, text in zip(rows.column("size"), rows.column("text")):
+        yield codec.decompress(text.as_buffer(), decompressed_size=size.as_py(), asbytes=True) if size.as_py() else b""
+
+
 _PACKED = "block int, grams binary, logs binary"
 _RATED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("symbols", pa.int64()), ("log10_prob", pa.float64())])
 
@@ -192,18 +210,20 @@ def perplexities(docs: DataFrame, known: DataFrame, order: int = ORDER) -> DataF
     """doc_id, lang, symbols, log10_prob of every row; ``known`` (gram, p) holds every gram of ``docs``.
 
     Blocks are dealt by id and text, so only rows equal in both need share one. The texts are shuffled once:
-    the exchange serves both the blocks' questions and their sums.
+    the exchange serves both the blocks' questions and their sums. They are compressed on the way, row by row, as
+    the shuffle's files stay on disk to the end.
     """
     texts = doc_texts(docs, F.col("lang").cast("string").alias("lang")).withColumn("text", F.col("text").cast("binary"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + total // BLOCK_BYTES
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
-    dealt = texts.select(block, "doc_id", "lang", "text").repartition(blocks, "block")
+    small = texts.select(block, "doc_id", "lang", "text").mapInArrow(zipped, "block int, doc_id long, lang string, size long, text binary")
+    dealt = small.repartition(blocks, "block")
 
     def ask(rows: pa.Table) -> pa.Table:
         seen = Distinct()
-        for text in rows.column("text"):
-            for grams in grams_of(text.as_py(), order):
+        for text in unzipped(rows):
+            for grams in grams_of(text, order):
                 seen.add(grams)
         distinct = seen.settle()
         return pa.table({"block": pa.array(np.full(len(distinct), rows.column("block")[0].as_py(), np.int32)), "gram": pa.array(distinct)})
@@ -213,8 +233,7 @@ def perplexities(docs: DataFrame, known: DataFrame, order: int = ORDER) -> DataF
         logs = np.concatenate([np.empty(0), *(np.frombuffer(g.as_py(), np.float64) for g in answers.column("logs"))])
         logs_of = Lookup(keys, logs)
         size, total = [], []
-        for text in rows.column("text"):
-            text = text.as_py()
+        for text in unzipped(rows):
             size.append(len(text) + 1)
             total.append(sum(float(logs_of[grams].sum()) for grams in grams_of(text, order)))
         return pa.Table.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(size, pa.int64()), pa.array(total, pa.float64())], schema=_RATED)

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from passagemill.llm import quality
@@ -159,3 +160,11 @@ def test_the_model_is_gone_before_the_texts_are_shuffled(spark, shared, monkeypa
     labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
     assert quality.classify(docs, labels).count() == 20
     assert len(staged) > 10 and [path.rsplit("/", 1)[1].split("-")[0] for path in there] == ["known"]
+
+
+def test_texts_are_shuffled_compressed():
+    texts = [b"", b"a", "many words of a text that is like others, ".encode() * 300, bytes(range(256)) * 40, "ä中".encode()] * 150
+    frame = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    small = pa.Table.from_batches(quality.zipped(iter([frame])))
+    assert small.column("doc_id").to_pylist() == list(range(len(texts))) and list(quality.unzipped(small)) == texts
+    assert sum(map(len, small.column("text").to_pylist())) < sum(map(len, texts)) / 10
