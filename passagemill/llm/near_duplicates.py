@@ -14,8 +14,10 @@ one node its own set travels once to every thousand of them.
 
 In turns each node is compared with some of the first and last nodes of its prefix shingles, those of other, no
 smaller components that it meets most often; each turn takes other ones and tries more. That joins a large
-group of near copies by some times as many pairs as it has members; then only pairs of different components are
-left, and they are all compared.
+group of near copies by some times as many pairs as it has members. Members with many changes are near few others of
+their group, those that were changed in the same places; so each is compared with the hub of the component it meets
+most, as the component's members are, and then with the members that lack the same shingles of the hub and differ
+least from it. Then only pairs of different components are left, and they are all compared.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
@@ -42,6 +44,8 @@ CELL_BITS, SLICES = 18, 64
 LEAST_SKETCH, MOST_SKETCH = 11, 16
 #: Turns in which nodes are tried with a few others each, from turn to turn so many times as many.
 HUBS, TURNS = 4, 3
+#: Turns in which nodes are tried with those that lack the same shingles of a hub.
+GAP_TURNS = 2
 #: Pairs of one node that one copy of its set serves.
 PAIRS_PER_SET = 1024
 
@@ -288,9 +292,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(own: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough."""
-    pairs = own.stage(_bounded(pairs, nodes), "possible")
+def _beside(own: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, part, b, shingles: of each ``a`` its own set (b null), then those of the nodes it has a pair with, in parts of some pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = nodes.join(wanted, "node", "left_semi").select("row")
 
@@ -303,7 +306,12 @@ def _verified(own: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame
     salted = pairs.join(fans, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
     theirs = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "shingles")
     owners = sets.withColumnRenamed("node", "a").join(fans, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = owners.select("a", "part", F.lit(None).cast("long").alias("b"), "shingles").unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+    return owners.select("a", "part", F.lit(None).cast("long").alias("b"), "shingles").unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+
+
+def _verified(own: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+    pairs = own.stage(_bounded(pairs, nodes), "possible")
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.empty(0, np.uint64)
@@ -317,7 +325,49 @@ def _verified(own: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return own.stage(dealt.mapInArrow(compare, "a long, b long"), "verified")
+    return own.stage(_beside(own, pairs, nodes, texts).mapInArrow(compare, "a long, b long"), "verified")
+
+
+def _gaps(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of ``_beside`` in how many shingles ``b`` differs from ``a``, and those of ``a`` that it lacks; no row if it lacks over a quarter."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int64()), ("gaps", pa.list_(pa.int64()))])
+    mine = np.empty(0, np.uint64)
+    for frame in frames:
+        found = []
+        for a, b, shingles in zip(frame.column(0).to_pylist(), frame.column(2).to_pylist(), frame.column(3)):
+            other = np.frombuffer(shingles.as_buffer(), np.uint64)
+            if b is None:
+                mine = other.copy()
+                continue
+            lacks = np.setdiff1d(mine, other, assume_unique=True)
+            if 4 * len(lacks) <= len(mine):
+                found.append((a, b, len(other) - len(mine) + 2 * len(lacks), lacks.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _by_gaps(own: Scratch, found: DataFrame, roots: DataFrame, rooted: DataFrame, nodes: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
+    """a, b: for each node some of the members of the components it meets most that lack the same shingles of the component's hub.
+
+    A hub is the member with most links. Of those that lack a shingle, the few that differ least from the hub stand for all.
+    """
+    degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    hubs = roots.join(degrees, "node").groupBy("root").agg(F.max(F.struct("links", "node")).alias("h")).select("root", F.col("h.node").alias("hub"))
+    largest = rooted.groupBy("key").agg(F.max(F.struct("members", "root")).alias("o"))
+    met = rooted.join(largest, "key").where((F.col("o.members") > 1) & (F.col("root") != F.col("o.root")))
+    often = met.groupBy("node", F.col("o.root").alias("root")).agg(F.count("*").alias("keys"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct("keys", "root")), asc=False), 1, HUBS)  # of the keys of one text
+    outer = own.stage(often.groupBy("node").agg(most.alias("most")).select("node", F.explode("most.root").alias("root"), F.lit(False).alias("inner")), "outer")
+    inner = roots.join(outer.select("root").distinct(), "root", "left_semi").select("node", "root", F.lit(True).alias("inner"))
+    asked = own.stage(outer.unionByName(inner).join(hubs, "root").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "root", "inner"), "asked")
+    told = own.stage(_beside(own, asked.select("a", "b"), nodes, texts).mapInArrow(_gaps, "a long, b long, apart long, gaps array<long>"), "gaps")
+    each = told.join(asked, ["a", "b"]).select("root", "inner", F.col("b").alias("node"), "apart", F.explode("gaps").alias("gap"))
+    place = F.row_number().over(Window.partitionBy("root", "gap").orderBy("apart", "node"))
+    least = each.where("inner").withColumn("place", place).where(F.col("place") <= HUBS ** (turn + 1)).select("root", "gap", F.col("node").alias("hub"), "apart")
+    both = each.where("NOT inner").select("root", "gap", "node").join(least, ["root", "gap"])
+    near = both.groupBy("node", "hub").agg((2 * F.count("*") - F.first("apart")).alias("near"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("near", "hub")), asc=False), 1, HUBS ** (turn + 2))  # of the gaps of one text
+    chosen = near.groupBy("node").agg(best.alias("hubs")).select("node", F.explode("hubs.hub").alias("hub"))
+    return chosen.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def links(own: Scratch, marked: DataFrame, names: _Names) -> DataFrame:
@@ -332,15 +382,17 @@ def links(own: Scratch, marked: DataFrame, names: _Names) -> DataFrame:
     shared = own.stage(dealt.mapInArrow(_shared, "key long, node long, sized long"), "prefixes")
     shared = shared.select("key", "node", F.shiftright("sized", 32).alias("n"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
     rooted = shared.withColumns({"root": F.col("node"), "members": F.lit(1).cast("long")})
-    found, tried = None, None
-    for turn in range(TURNS):
-        fresh = _stars(rooted, turn)
+    found, tried, roots = None, None, None
+    for turn in range(TURNS + GAP_TURNS):
+        fresh = _stars(rooted, turn) if turn < TURNS else _by_gaps(own, found, roots, rooted, nodes, texts, turn - TURNS)
         fresh = own.stage(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "stars")
         linked = _verified(own, fresh, nodes, texts)
         tried = fresh if tried is None else tried.unionByName(fresh)
         found = linked if found is None else found.unionByName(linked)
         if turn and linked.isEmpty():
-            break
+            if turn >= TURNS or found.isEmpty():
+                break
+            continue
         roots = own.stage(components(found, "a", "b", write=own.stage), "roots")
         rooted = own.stage(_rooted(shared, roots), "rooted")
     split = rooted.drop("members").repartition("key").sortWithinPartitions("key", "n")
