@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from passagemill.session import Scratch, spread, stage
+from passagemill.session import Scratch, settings, spread, stage
 
-__all__ = ["Scratch", "doc_texts", "free_names", "grow", "groups_of", "mapped", "quoted", "rows_of", "shuffle_width", "spread", "stage", "table"]
+__all__ = ["Scratch", "doc_texts", "free_names", "grow", "groups_of", "mapped", "quoted", "rows_of", "settings", "shuffle_width", "spread", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

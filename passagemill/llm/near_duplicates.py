@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
-from passagemill.llm.common import Scratch, doc_texts, free_names, mapped, quoted, stage
+from passagemill.llm.common import Scratch, doc_texts, free_names, mapped, quoted, settings, stage
 from passagemill.llm.components import components
 from passagemill.llm.simhash import SEED
 
@@ -44,10 +44,13 @@ CELL_BITS, SLICES = 18, 64
 LEAST_SKETCH, MOST_SKETCH = 11, 16
 #: Turns in which nodes are tried with a few others each, from turn to turn so many times as many.
 HUBS, TURNS = 4, 3
-#: Turns in which nodes are tried with those that lack the same shingles of a hub.
-GAP_TURNS = 2
+#: Turns in which nodes are tried with those that lack the same shingles of a hub, of components with so many members:
+#: a smaller one adds no more pairs of a node than the last of the other turns.
+GAP_TURNS, MANY = 2, HUBS**TURNS
 #: Pairs of one node that one copy of its set serves.
 PAIRS_PER_SET = 1024
+#: Texts and sets pass between Spark and Python by so many bytes at a time; each task holds some times as much on both sides.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -311,7 +314,6 @@ def _beside(own: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame)
 
 def _verified(own: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    pairs = own.stage(_bounded(pairs, nodes), "possible")
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.empty(0, np.uint64)
@@ -325,7 +327,9 @@ def _verified(own: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return own.stage(_beside(own, pairs, nodes, texts).mapInArrow(compare, "a long, b long"), "verified")
+    with Scratch(own.spark) as step:  # its sets go as soon as they are compared
+        possible = step.stage(_bounded(pairs, nodes), "possible")
+        return own.stage(_beside(step, possible, nodes, texts).mapInArrow(compare, "a long, b long"), "verified")
 
 
 def _gaps(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,17 +353,19 @@ def _by_gaps(own: Scratch, found: DataFrame, roots: DataFrame, rooted: DataFrame
     """a, b: for each node some of the members of the components it meets most that lack the same shingles of the component's hub.
 
     A hub is the member with most links. Of those that lack a shingle, the few that differ least from the hub stand for all.
+    Components of under ``MANY`` members are left to the last comparison.
     """
     degrees = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     hubs = roots.join(degrees, "node").groupBy("root").agg(F.max(F.struct("links", "node")).alias("h")).select("root", F.col("h.node").alias("hub"))
     largest = rooted.groupBy("key").agg(F.max(F.struct("members", "root")).alias("o"))
-    met = rooted.join(largest, "key").where((F.col("o.members") > 1) & (F.col("root") != F.col("o.root")))
+    met = rooted.join(largest, "key").where((F.col("o.members") >= MANY) & (F.col("root") != F.col("o.root")))
     often = met.groupBy("node", F.col("o.root").alias("root")).agg(F.count("*").alias("keys"))
     most = F.slice(F.sort_array(F.collect_list(F.struct("keys", "root")), asc=False), 1, HUBS)  # of the keys of one text
     outer = own.stage(often.groupBy("node").agg(most.alias("most")).select("node", F.explode("most.root").alias("root"), F.lit(False).alias("inner")), "outer")
     inner = roots.join(outer.select("root").distinct(), "root", "left_semi").select("node", "root", F.lit(True).alias("inner"))
     asked = own.stage(outer.unionByName(inner).join(hubs, "root").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "root", "inner"), "asked")
-    told = own.stage(_beside(own, asked.select("a", "b"), nodes, texts).mapInArrow(_gaps, "a long, b long, apart long, gaps array<long>"), "gaps")
+    with Scratch(own.spark) as step:
+        told = own.stage(_beside(step, asked.select("a", "b"), nodes, texts).mapInArrow(_gaps, "a long, b long, apart long, gaps array<long>"), "gaps")
     each = told.join(asked, ["a", "b"]).select("root", "inner", F.col("b").alias("node"), "apart", F.explode("gaps").alias("gap"))
     place = F.row_number().over(Window.partitionBy("root", "gap").orderBy("apart", "node"))
     least = each.where("inner").withColumn("place", place).where(F.col("place") <= HUBS ** (turn + 1)).select("root", "gap", F.col("node").alias("hub"), "apart")
@@ -383,21 +389,26 @@ def links(own: Scratch, marked: DataFrame, names: _Names) -> DataFrame:
     shared = shared.select("key", "node", F.shiftright("sized", 32).alias("n"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
     rooted = shared.withColumns({"root": F.col("node"), "members": F.lit(1).cast("long")})
     found, tried, roots = None, None, None
-    for turn in range(TURNS + GAP_TURNS):
-        fresh = _stars(rooted, turn) if turn < TURNS else _by_gaps(own, found, roots, rooted, nodes, texts, turn - TURNS)
-        fresh = own.stage(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "stars")
-        linked = _verified(own, fresh, nodes, texts)
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        found = linked if found is None else found.unionByName(linked)
-        if turn and linked.isEmpty():
-            if turn >= TURNS or found.isEmpty():
-                break
-            continue
-        roots = own.stage(components(found, "a", "b", write=own.stage), "roots")
-        rooted = own.stage(_rooted(shared, roots), "rooted")
-    split = rooted.drop("members").repartition("key").sortWithinPartitions("key", "n")
-    rest = split.mapInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    return found.unionByName(_verified(own, own.stage(rest, "across"), nodes, texts))
+    with Scratch(own.spark) as last:  # holds the components and prefixes of one turn at a time
+        for turn in range(TURNS + GAP_TURNS):
+            with Scratch(own.spark) as step:
+                fresh = _stars(rooted, turn) if turn < TURNS else _by_gaps(step, found, roots, rooted, nodes, texts, turn - TURNS)
+                fresh = own.stage(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "stars")
+            linked = _verified(own, fresh, nodes, texts)
+            tried = fresh if tried is None else tried.unionByName(fresh)
+            found = linked if found is None else found.unionByName(linked)
+            if turn and linked.isEmpty():
+                if turn >= TURNS or found.isEmpty():
+                    break
+                continue
+            last.clear()
+            with Scratch(own.spark) as step:
+                roots = last.stage(components(found, "a", "b", write=step.stage), "roots")
+            rooted = last.stage(_rooted(shared, roots), "rooted")
+        split = rooted.drop("members").repartition("key").sortWithinPartitions("key", "n")
+        rest = split.mapInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        across = own.stage(rest, "across")
+    return found.unionByName(_verified(own, across, nodes, texts))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -408,8 +419,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     and texts without words are copies of each other. An empty table gives no rows; columns may have any names.
     """
     names = _Names(docs)
-    marked = stage(_marked(docs, names), "marked")
-    with Scratch(docs.sparkSession) as own:
+    with settings(docs.sparkSession, BATCH), Scratch(docs.sparkSession) as own:
+        marked = stage(_marked(docs, names), "marked")
         slim = marked.select(F.col(names.row).alias("row"), F.col(names.node).alias("node"), F.col("doc_id").cast("long").alias("id"))
         roots = own.stage(components(links(own, marked, names), "a", "b", write=own.stage), "roots")
         nodes = slim.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"))

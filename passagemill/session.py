@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORK_DIR_SETTING = "spark.checkpoint.dir"
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -29,11 +32,31 @@ def new_work_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """SQL settings of the session for what runs in the block."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so lost executors cost no recomputation."""
+    """Write ``df`` to the shared folder and read it back, so lost executors cost no recomputation.
+
+    Its shuffle files go with the write; else they stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = path or new_work_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, {CLEANUP_SETTING: "true"}):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,8 +84,12 @@ class Scratch:
         return stage(df, name, self.paths[-1])
 
     def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
-        for path in self.paths:
-            remove(self.spark, path)
+        self.clear()
+
+    def clear(self) -> None:
+        """Delete what was staged so far."""
+        while self.paths:
+            remove(self.spark, self.paths.pop())
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
