@@ -22,7 +22,7 @@ from passagemill.operators.embedding import HashEmbedder, check_dimensions, embe
 from passagemill.operators.search import hybrid_search, search_by_concept, search_similar
 from passagemill.plans.summary import corpus_summary
 from passagemill.session import small, stage
-from passagemill.sources.files import DEFAULT_EXCLUDE, DEFAULT_INCLUDE, list_tree, read_files, scan_corpus
+from passagemill.sources.files import DEFAULT_EXCLUDE, DEFAULT_INCLUDE, is_staged, list_tree, read_files, scan_corpus
 from passagemill.sources.store import CHUNK_SCHEMA, ChunkStore, nearest, read_json_record
 
 VERSION = "1"
@@ -73,7 +73,9 @@ class CorpusIndex:
 
     # ------------------------------------------------------------- inputs
 
-    def files(self, with_content: bool = True, tree: DataFrame | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    def files(
+        self, with_content: bool = True, tree: DataFrame | None = None, only: Sequence[str] | DataFrame | None = None
+    ) -> DataFrame:
         return scan_corpus(self.spark, self.root, self.include, self.exclude, with_content, tree, only)
 
     def changes(self, tree: DataFrame | None = None) -> DataFrame:
@@ -186,12 +188,14 @@ class CorpusIndex:
         return IndexResult(n, created, True)
 
     def _changed_files(self, changed: DataFrame, tree: DataFrame) -> DataFrame:
-        """Texts of new and newer files of a listing; up to ``NAMED_FILES`` of them are the only ones opened."""
+        """Texts of new and newer files of a listing. They are the only ones opened; where Spark listed, up to ``NAMED_FILES``."""
         names = changed.filter(F.col("change").isin("added", "modified")).select("filepath")
+        if is_staged(tree):
+            return self.files(tree=tree, only=names)
         some = [r["filepath"] for r in names.limit(NAMED_FILES + 1).collect()]
         if len(some) <= NAMED_FILES:
             return self.files(tree=tree, only=some)
-        return self.files(tree=tree).join(names, "filepath", "left_semi")
+        return self.files(tree=tree, only=names)
 
     def _write_record(self, per_file: DataFrame) -> int:
         n = self.store.count_rows()

@@ -338,3 +338,55 @@ def test_written_files(spark, tmp_path):
     assert tree.write_texts(rows, str(tmp_path / "t")) == 2 and tree.write_texts(rows.limit(0), str(tmp_path / "t")) == 0
     assert (tmp_path / "t/a/b c.txt").read_text() == "é\n" and (tmp_path / "t/a/d%2F.txt").read_text() == "x"
     assert {r["filepath"] for r in tree.file_stats(spark, str(tmp_path / "t"), ["**/*"], []).collect()} == {"a/b c.txt", "a/d%2F.txt"}
+
+
+def walked(root):
+    found = (os.path.relpath(os.path.join(folder, name), root) for folder, _, names in os.walk(root) for name in names)
+    return sorted(found)
+
+
+def test_the_driver_holds_no_file_of_a_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "LISTED_BELOW", 20)  # so that several rounds list it
+    for i in range(300):
+        path = tmp_path / f"t/d{i % 7}/e{i % 3}/f{i}.py"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"x = {i}\n")
+    listing = tree.list_tree(spark, f"{tmp_path}/t")
+    assert len(listing.inputFiles()) < 50
+    found = tree.scan_corpus(spark, f"{tmp_path}/t", tree=listing)
+    assert len(found.inputFiles()) < 50
+    got = {r["filepath"]: r["content"] for r in found.collect()}
+    assert sorted(got) == walked(tmp_path / "t") and all(text == f"x = {path.split('/f')[1][:-3]}\n" for path, text in got.items())
+    some = spark.createDataFrame([("d0/e0/f0.py",), ("d1/e1/f1.py",), ("none.py",)], "filepath string")
+    assert sorted(r["content"] for r in tree.scan_corpus(spark, f"{tmp_path}/t", tree=listing, only=some).collect()) == ["x = 0\n", "x = 1\n"]
+
+
+def test_a_listing_is_that_of_sparks_readers(spark, tmp_path):
+    root = tmp_path / "a tree+%20é"
+    for name in ("a.py", "k=_v/_a=b.py", "_h/c.py", "_metadata_d/f.py", "_metadata_f.py", ".h/x.py", "s/.h.py", "c.py._COPYING_", "s p+%2F é.py", "d#x/q?.py", "d/" * 30 + "z.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / "empty.py").write_text("")
+    (root / "none").mkdir()
+    os.symlink("k=_v", root / "link")
+    os.symlink("nowhere", root / "broken.py")
+    (root / "bytes.py").write_bytes(b"\xff\x00a")
+    spark_read = tree._by_spark(tree._binary(spark, str(root), recursiveFileLookup=True), str(root))
+    want = sorted(map(tuple, tree.scan_corpus(spark, str(root), ["**/*"], [], tree=spark_read).collect()))
+    assert len(want) == 8
+    assert sorted(map(tuple, tree.scan_corpus(spark, str(root), ["**/*"], []).collect())) == want
+    assert sorted(map(tuple, tree.file_stats(spark, str(root), ["**/*"], []).collect())) == [r[:3] for r in want]
+
+
+def test_a_file_that_went_away_is_left_out_and_one_that_cannot_be_read_fails(spark, tmp_path):
+    for name in ("a.py", "b.py"):
+        (tmp_path / name).write_text("x")
+    found = tree.scan_corpus(spark, str(tmp_path))
+    os.remove(tmp_path / "a.py")
+    assert [r["filepath"] for r in found.collect()] == ["b.py"]
+    os.remove(tmp_path / "b.py")
+    (tmp_path / "b.py").mkdir()
+    with pytest.raises(Exception, match="b.py"):
+        found.collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tree.list_tree(spark, f"{tmp_path}/none")
