@@ -404,3 +404,14 @@ def test_changed_files_do_not_pass_the_driver(spark, root, tmp_path, monkeypatch
     monkeypatch.setattr(type(listing), "collect", counted)
     found = index._changed_files(listing, tree.list_tree(spark, str(root)))
     assert sorted(r["filepath"] for r in collect(found)) == ["src/a/x.py", "src/b.ts", "src/long.kt"]
+
+
+def test_concepts_of_a_tree_that_the_driver_never_lists(spark, root, tmp_path, monkeypatch):
+    reader = type(spark.read)
+    by_format = reader.format
+    monkeypatch.setattr(reader, "format", lambda self, kind: pytest.fail("listed by the driver") if kind == "binaryFile" else by_format(self, kind))
+    index = CorpusIndex(spark, str(root), str(tmp_path / "store"))
+    assert index.index().files_indexed == 3
+    first = {tuple(r) for r in index.concepts(k=2)[0].select("id", "cluster_id").collect()}
+    assert len(first) == index.store.count_rows()
+    assert {tuple(r) for r in index.concepts(k=2)[0].select("id", "cluster_id").collect()} == first
